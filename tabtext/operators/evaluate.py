@@ -157,6 +157,23 @@ def regression_metrics(pred: DataFrame, label: str = "label", predicted: str = "
         F.try_divide(F.lit(1.0), mse).alias("inv_mse"))
 
 
+def regression_metrics_by(pred: DataFrame, by: str, label: str = "label",
+                          predicted: str = "predicted_label") -> DataFrame:
+    """EVA-8/9 per group (one row per model / run): ``(by, n, mse, mae, rmse, r2)``."""
+    y = F.col(label).cast("double")
+    p = F.col(predicted).cast("double")
+    a = pred.filter(F.col(label).isNotNull() & F.col(predicted).isNotNull()).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((p - y) * (p - y)).alias("ss_res"),
+        F.sum(F.abs(p - y)).alias("sae"), F.avg(y).alias("mean_y"), F.sum(y * y).alias("syy"),
+        F.sum(y).alias("sy"))
+    ss_tot = F.col("syy") - F.col("sy") * F.col("mean_y")
+    mse = F.col("ss_res") / F.col("n")
+    return a.select(by, F.col("n").cast("bigint").alias("n"), mse.alias("mse"),
+                    (F.col("sae") / F.col("n")).alias("mae"), F.sqrt(mse).alias("rmse"),
+                    F.when(ss_tot > 0, F.lit(1.0) - F.col("ss_res") / ss_tot)
+                    .otherwise(F.when(F.col("ss_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("r2"))
+
+
 def regression_metrics_exact(pred: DataFrame, label: str = "label",
                              predicted: str = "predicted_label") -> DataFrame:
     """Same as ``regression_metrics`` but with the centered ``SS_tot`` taken against a

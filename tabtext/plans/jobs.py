@@ -43,3 +43,165 @@ def text_linear_report(df: DataFrame, vocab_size: int = 10000) -> DataFrame:
     back), so the four parts of the report do not each re-run the text job."""
     scores = cut_lineage(text_linear_scores(df, vocab_size))
     return E.metric_report(scores, "tfidf_linear")
+
+
+# ---------------------------------------------------------------- model jobs
+# Inputs follow FIXTURES.md: ``key``, ``split``, a target/label column and
+# features (numeric columns) or ``sentence`` (text).  Outputs are prediction
+# tables in the canonical schema ``(key, label, predicted_label, ...)``.
+
+from collections.abc import Sequence  # noqa: E402
+
+from ..operators import models as M  # noqa: E402
+
+
+def _features(df: DataFrame, target: str, key: str = "key") -> list[str]:
+    return [c for c in df.columns if c not in (key, "split", target)]
+
+
+def run_numeric_classifier(df: DataFrame, target: str = "target", algo: str = "rf", profile: str = "fast",
+                           features: Sequence[str] | None = None, impute_missing: bool = False,
+                           key: str = "key", return_model: bool = False):
+    """MOD-1/2/3 (+ FEA-5/6/7/9, MOD-17, PRJ-2): fit on train, score validation.
+
+    ``impute_missing``: labels are coded over train + validation and every label
+    absent from train gets one row of train feature means (FEA-7); otherwise the
+    code mapping is fitted on train and an unseen validation label raises."""
+    feats = list(features or _features(df, target, key))
+    tr, va = FE.resplit(df)
+    if impute_missing:
+        tr = FE.impute_missing_classes(tr.select(key, "split", target, *feats), va, target, feats)
+        tr_e, mapping = M.encode_target(tr, target, fit_on=df)
+    else:
+        tr_e, mapping = M.encode_target(tr, target)
+    va_e = FE.encode_labels(va, target, mapping, out="code", unseen="error")
+    k = mapping.count()  # number of classes: one small aggregate
+    est = M.classifier(algo, k, profile)
+    model = M.numeric_pipeline(feats, est).fit(tr_e)
+    scored = M.predict_codes(model, va_e)
+    out = M.decode_target(scored, mapping).select(key, F.col(target).alias("label"), "predicted_label", *feats)
+    return (out, model, mapping) if return_model else out
+
+
+def run_text_classifier(df: DataFrame, algo: str = "rf", profile: str = "fast", vocab_size: int = 1000,
+                        key: str = "key", text: str = "sentence", label: str = "label",
+                        return_model: bool = False):
+    """MOD-4/5/6/15 (+ FEA-1/2/3/5, PRJ-3): TF-IDF fitted on all rows, classifier on
+    train, predictions for validation."""
+    tfidf, vocab = M.fit_text_features(df, vocab_size, key, text)
+    feats = tfidf.transform(M.with_tokens(df, text)).withColumnRenamed("tfidf", "features")
+    tr, va = FE.resplit(feats)
+    tr_e, mapping = M.encode_target(tr, label)
+    va_e = FE.encode_labels(va, label, mapping, out="code", unseen="error")
+    k = mapping.count()
+    model = M.classifier(algo, k, profile).fit(tr_e)
+    scored = M.predict_codes(model, va_e)
+    out = M.decode_target(scored, mapping).select(key, F.col(label).alias("label"), "predicted_label", text)
+    return (out, model, tfidf, vocab, mapping) if return_model else out
+
+
+def run_numeric_regressor(df: DataFrame, target: str = "target", algo: str = "rf", profile: str = "fast",
+                          features: Sequence[str] | None = None, key: str = "key", return_model: bool = False):
+    """MOD-8/9/10 (+ PRJ-4): predictions ``(key, label, predicted_label, features)``."""
+    feats = list(features or _features(df, target, key))
+    tr, va = FE.resplit(df)
+    est = M.regressor(algo, profile, label=target)
+    model = M.numeric_pipeline(feats, est).fit(tr)
+    out = model.transform(va).select(key, F.col(target).alias("label"),
+                                     F.col("prediction").alias("predicted_label"), *feats)
+    return (out, model) if return_model else out
+
+
+def run_text_regressor(df: DataFrame, algo: str = "rf", profile: str = "fast", vocab_size: int = 1000,
+                       scale_target: bool = False, key: str = "key", text: str = "sentence",
+                       label: str = "label", return_model: bool = False):
+    """MOD-11/12/13/16 (+ FEA-8, EVA-10, PRJ-5): TF-IDF regressor; with
+    ``scale_target`` the label is min-max scaled on train and predictions and
+    labels are mapped back to the original scale."""
+    tfidf, vocab = M.fit_text_features(df, vocab_size, key, text)
+    feats = tfidf.transform(M.with_tokens(df, text)).withColumnRenamed("tfidf", "features")
+    feats = feats.withColumn(label, F.col(label).cast("double"))
+    tr, va = FE.resplit(feats)
+    stats = None
+    if scale_target:
+        stats = FE.minmax_fit(tr, label)
+        tr = FE.minmax_transform(tr, label, stats)
+        va = FE.minmax_transform(va, label, stats)
+    model = M.regressor(algo, profile, label=label).fit(tr)
+    out = model.transform(va).select(key, label, F.col("prediction").alias("predicted_label"), text)
+    if scale_target:
+        out = FE.minmax_inverse(out, [label, "predicted_label"], stats)
+    return (out, model, tfidf, vocab) if return_model else out
+
+
+def compare_text_regressors(df: DataFrame, algos: Sequence[str] = ("rf", "gbt_depth", "gbt_leaf"),
+                            profile: str = "fast", vocab_size: int = 1000, key: str = "key",
+                            text: str = "sentence", label: str = "label") -> DataFrame:
+    """MOD-14: one TF-IDF feature set (fitted once), one fit per candidate, one
+    metric row per candidate (EVA-8/9)."""
+    tfidf, _ = M.fit_text_features(df, vocab_size, key, text)
+    feats = tfidf.transform(M.with_tokens(df, text)).withColumnRenamed("tfidf", "features")
+    feats = cut_lineage(feats.withColumn(label, F.col(label).cast("double")).select(key, "split", label, "features"))
+    tr, va = FE.resplit(feats)
+    out = None
+    for algo in algos:
+        model = M.regressor(algo, profile, label=label).fit(tr)
+        pred = model.transform(va).select(F.lit(algo).alias("model"), label,
+                                          F.col("prediction").alias("predicted_label"))
+        out = pred if out is None else out.unionByName(pred)
+    return E.regression_metrics_by(out, "model")
+
+
+def run_dummy_classifier(df: DataFrame, categorical: Sequence[str], target: str = "target",
+                         profile: str = "fast", key: str = "key") -> DataFrame:
+    """MOD-7 (+ SET-1, FEA-4, PRJ-6/1, EVA-7): dummies over both splits, forest on
+    train, sign-collapsed metrics on validation."""
+    d = FE.dummies(df, categorical)
+    pred = run_numeric_classifier(d, target, "rf", profile, key=key)
+    return E.collapsed_summary(pred)
+
+
+def score_with_saved_model(df: DataFrame, target: str = "target", algo: str = "rf",
+                           profile: str = "fast", path: str | None = None) -> DataFrame:
+    """SNK-3 + MOD-18: fit, save the fitted pipeline under the shared checkpoint
+    folder (or ``path``), load it back and batch-score the validation rows."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    _, model, mapping = run_numeric_classifier(df, target, algo, profile, return_model=True)
+    path = path or f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/models/{uuid.uuid4().hex}"
+    M.save_model(model, path)
+    loaded = M.load_pipeline(path)
+    _, va = FE.resplit(df)
+    feats = _features(df, target)
+    scored = M.predict_codes(loaded, va)
+    return M.decode_target(scored, mapping).select("key", F.col(target).alias("label"), "predicted_label", *feats)
+
+
+def numeric_tree_attributions(df: DataFrame, target: str = "target", algo: str = "rf",
+                              profile: str = "fast", classifier: bool = True, key: str = "key") -> DataFrame:
+    """XPL-1/2 for the numeric jobs: attributions of the validation rows."""
+    from ..operators.treeshap import tree_attributions
+    feats = _features(df, target, key)
+    if classifier:
+        _, model, _ = run_numeric_classifier(df, target, algo, profile, return_model=True)
+    else:
+        _, model = run_numeric_regressor(df, target, algo, profile, return_model=True)
+    _, va = FE.resplit(df)
+    if classifier:
+        va = va.drop(target)
+    scored = model.transform(va)
+    return tree_attributions(model, scored, feats, key)
+
+
+def text_tree_attributions(df: DataFrame, algo: str = "rf", profile: str = "fast", vocab_size: int = 1000,
+                           classifier: bool = True, key: str = "key") -> DataFrame:
+    """XPL-1/2 for the text jobs: token attributions (non-zero only) of the
+    validation rows."""
+    from ..operators.treeshap import tree_attributions
+    if classifier:
+        _, model, tfidf, vocab, _ = run_text_classifier(df, algo, profile, vocab_size, return_model=True)
+    else:
+        _, model, tfidf, vocab = run_text_regressor(df, algo, profile, vocab_size, return_model=True)
+    _, va = FE.resplit(df)
+    feats = tfidf.transform(M.with_tokens(va)).withColumnRenamed("tfidf", "features")
+    return tree_attributions(model, feats, vocab, key)

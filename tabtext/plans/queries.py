@@ -713,3 +713,134 @@ def run_text_linear_report(spark, sf):
 def run_text_linear_scores(spark, sf):
     from .jobs import text_linear_scores
     return text_linear_scores(X.fx_text_class(spark, sf))
+
+
+# ------------------------------------------------------------------ models (rows-only: fits have no SQL twin)
+# Profile ``fast`` (see operators/models.py); the reference settings are the
+# ``reference`` profile of the same jobs.
+
+
+def _jobs():
+    from . import jobs
+    return jobs
+
+
+def _num_class(spark, sf):
+    return X.fx_num_class(spark, sf).drop("p_type")
+
+
+@query("mod_1_rf_num_class")
+def mod_1(spark, sf):
+    return _jobs().run_numeric_classifier(_num_class(spark, sf), algo="rf")
+
+
+@query("mod_2_gbt_leaf_num_class")
+def mod_2(spark, sf):
+    return _jobs().run_numeric_classifier(_num_class(spark, sf), algo="gbt_leaf")
+
+
+@query("mod_3_gbt_depth_num_class")
+def mod_3(spark, sf):
+    return _jobs().run_numeric_classifier(_num_class(spark, sf), algo="gbt_depth")
+
+
+def _text_class(spark, sf):
+    return X.fx_text_class(spark, sf).drop("n_chars")
+
+
+@query("mod_4_rf_text_class")
+def mod_4(spark, sf):
+    return _jobs().run_text_classifier(_text_class(spark, sf), algo="rf")
+
+
+@query("mod_5_gbt_leaf_text_class")
+def mod_5(spark, sf):
+    return _jobs().run_text_classifier(_text_class(spark, sf), algo="gbt_leaf")
+
+
+@query("mod_6_gbt_depth_text_class")
+def mod_6(spark, sf):
+    return _jobs().run_text_classifier(_text_class(spark, sf), algo="gbt_depth")
+
+
+@query("mod_7_rf_dummies")
+def mod_7(spark, sf):
+    return _jobs().run_dummy_classifier(X.fx_cat(spark, sf), ["o_orderstatus", "o_orderpriority", "o_month"])
+
+
+@query("mod_8_rf_num_reg")
+def mod_8(spark, sf):
+    return _jobs().run_numeric_regressor(X.fx_num_reg(spark, sf), algo="rf")
+
+
+@query("mod_9_gbt_leaf_num_reg")
+def mod_9(spark, sf):
+    return _jobs().run_numeric_regressor(X.fx_num_reg(spark, sf), algo="gbt_leaf")
+
+
+@query("mod_10_gbt_depth_num_reg")
+def mod_10(spark, sf):
+    return _jobs().run_numeric_regressor(X.fx_num_reg(spark, sf), algo="gbt_depth")
+
+
+def _text_reg(spark, sf):
+    return X.fx_text_reg(spark, sf).drop("lang")
+
+
+@query("mod_11_rf_text_reg")
+def mod_11(spark, sf):
+    return _jobs().run_text_regressor(_text_reg(spark, sf), algo="rf")
+
+
+@query("mod_12_gbt_leaf_text_reg")
+def mod_12(spark, sf):
+    return _jobs().run_text_regressor(_text_reg(spark, sf), algo="gbt_leaf")
+
+
+@query("mod_13_gbt_depth_text_reg")
+def mod_13(spark, sf):
+    return _jobs().run_text_regressor(_text_reg(spark, sf), algo="gbt_depth")
+
+
+@query("mod_14_compare_text_regressors")
+def mod_14(spark, sf):
+    return _jobs().compare_text_regressors(_text_reg(spark, sf))
+
+
+@query("mod_15_linear_text_class")
+def mod_15(spark, sf):
+    return _jobs().run_text_classifier(_text_class(spark, sf), algo="linear")
+
+
+@query("mod_16_linear_text_reg_scaled")
+def mod_16(spark, sf):
+    return _jobs().run_text_regressor(_text_reg(spark, sf), algo="linear", scale_target=True)
+
+
+@query("mod_17_predict_proba_missing_classes")
+def mod_17(spark, sf):
+    return _jobs().run_numeric_classifier(X.fx_missing(spark, sf).drop("p_type"), algo="rf",
+                                          impute_missing=True)
+
+
+@query("mod_18_batch_scoring_saved_model")
+def mod_18(spark, sf):
+    return _jobs().score_with_saved_model(_num_class(spark, sf))
+
+
+# ------------------------------------------------------------------ tree attributions (rows-only + additivity tests)
+
+
+@query("xpl_1_tree_attributions_class")
+def xpl_1(spark, sf):
+    return _jobs().numeric_tree_attributions(_num_class(spark, sf), algo="rf")
+
+
+@query("xpl_1_tree_attributions_text")
+def xpl_1b(spark, sf):
+    return _jobs().text_tree_attributions(_text_class(spark, sf), algo="rf")
+
+
+@query("xpl_2_tree_attributions_reg")
+def xpl_2(spark, sf):
+    return _jobs().numeric_tree_attributions(X.fx_num_reg(spark, sf), algo="gbt_depth", classifier=False)
