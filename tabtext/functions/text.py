@@ -54,12 +54,14 @@ def tokens(text, mode: str = "word", n: int = 2) -> Column:
 
 def remove_stop(toks, stop_words=ENGLISH_STOP_WORDS, min_len: int = 2) -> Column:
     """FEA-2: drop stop words and short tokens, keeping order and repeats
-    (``array_except`` would de-duplicate)."""
-    stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))]) if stop_words else None
+    (``array_except`` would de-duplicate).  The word list becomes an ``InSet``
+    (hash lookup) inside the lambda, not a scan of a literal array per token."""
+    words = sorted(set(stop_words)) if stop_words else []
+
     def keep(t):
         cond = F.length(t) >= min_len
-        if stop is not None:
-            cond = cond & ~F.array_contains(stop, t)
+        if words:
+            cond = cond & ~t.isin(words)
         return cond
     return F.filter(_col(toks), keep)
 

@@ -108,3 +108,34 @@ def token_summary(attr: DataFrame, num_appear: int = 3, top_n: int = 10,
     # Inner join = semi join + the rank column; the right side has at most
     # top_n rows per class.
     return clean.join(bounded_broadcast(top, top_n * 10_000), ["class", "token"])
+
+
+def occlusion_attributions(df: DataFrame, scorer, key: str = "key", text: str = "sentence",
+                           max_len: int = 128, classes: Sequence | None = None) -> DataFrame:
+    """XPL-3 with any scorer (UDF-3): leave-one-token-out attribution.
+
+    ``scorer(df)`` takes a DataFrame with ``key`` and ``text`` and returns it with
+    an ``array<double>`` column ``scores`` (one entry per class, e.g. logits of
+    the class probabilities).  Each document's first ``max_len`` tokens are
+    exploded (at most ``max_len`` variants per document, so the work is linear
+    in the data), every variant drops one token, all variants are scored in the
+    same distributed job, and ``shap_value = score(full) - score(without token)``
+    per class.  Output ``(sample, token, class, shap_value)``."""
+    from ..functions.text import tokens as tok_fn
+    toks = F.slice(tok_fn(F.col(text)), 1, max_len)
+    base = df.select(key, toks.alias("__toks"))
+    full = base.select(key, F.lit(-1).alias("__pos"), F.array_join("__toks", " ").alias(text))
+    variants = base.select(key, F.posexplode("__toks").alias("__pos", "__tok"), "__toks").select(
+        key, "__pos",
+        F.array_join(F.filter("__toks", lambda t, i: i != F.col("__pos")), " ").alias(text))
+    scored = scorer(full.unionByName(variants)).select(key, "__pos", "scores")
+    ref = scored.filter(F.col("__pos") == -1).select(key, F.col("scores").alias("__full"))
+    drops = scored.filter(F.col("__pos") >= 0)
+    toks_pos = base.select(key, F.posexplode("__toks").alias("__pos", "token"))
+    j = drops.join(ref, key).join(toks_pos, [key, "__pos"])
+    diff = F.transform(F.arrays_zip(F.col("__full").alias("f"), F.col("scores").alias("s")),
+                       lambda z: z["f"] - z["s"])
+    e = j.select(F.col(key).alias("sample"), "token", F.posexplode(diff).alias("__c", "shap_value"))
+    cls = (F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("__c") + 1) if classes
+           else F.col("__c").cast("int"))
+    return e.select("sample", "token", cls.alias("class"), "shap_value")

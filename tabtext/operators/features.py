@@ -230,12 +230,24 @@ def tfidf_long(df: DataFrame, key: str = "key", text: str = "sentence", vocab_si
     n_docs = one_row(df.agg(F.count(F.lit(1)).alias("n")))
     bound = vocab_size if vocab_size is not None else 10**9
     idf = (bounded_broadcast(vocab, bound).crossJoin(n_docs)
-           .select("term", "term_id", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df")))
-                                       + F.lit(1.0)).alias("idf")))
+           .select("term", "term_id", idf_expr(F.col("n"), F.col("df")).alias("idf")))
+    return tfidf_cells(terms, idf, key, bound).select(key, "term", "term_id", "tf", "weight")
+
+
+def idf_expr(n, df) -> Column:
+    """Smoothed idf: ``ln((1 + n) / (1 + df)) + 1``."""
+    return F.log((F.lit(1.0) + n) / (F.lit(1.0) + df)) + F.lit(1.0)
+
+
+def tfidf_cells(terms: DataFrame, idf: DataFrame, key: str = "key", bound: int = 10000) -> DataFrame:
+    """Join term counts with a bounded ``(term, idf, ...)`` table (broadcast) and
+    L2-normalise per document.  ``terms`` is hash-partitioned by key
+    (``doc_terms``), so the per-document window needs no further shuffle.
+    Extra columns of ``idf`` ride along."""
     cells = terms.join(bounded_broadcast(idf, bound), "term")
-    raw = cells.withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "term_id", "tf", (F.col("raw") / norm).alias("weight"))
+    raw = cells.withColumn("__raw", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("__raw") * F.col("__raw")).over(Window.partitionBy(key)))
+    return raw.withColumn("weight", F.col("__raw") / norm).drop("__raw")
 
 
 def tfidf_model(df: DataFrame, key: str = "key", text: str = "sentence", vocab_size: int = 10000,

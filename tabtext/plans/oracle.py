@@ -593,3 +593,7 @@ SQL["run_text_linear_scores"] = W(LINEAR_SCORES + " SELECT * FROM pred", "fx_tex
 
 SQL["run_text_linear_report"] = W(LINEAR_SCORES + report("pred", "tfidf_linear").replace("WITH pl", ", pl", 1),
                                   "fx_text_class")
+
+SQL["jon_4_key_zip"] = W("""
+    SELECT p.key, p.label, p.predicted_label, d.lang, d.source
+    FROM fx_pred_bin p JOIN documents d ON p.key = d.doc_id""", "fx_pred_bin")

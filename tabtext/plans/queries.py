@@ -844,3 +844,15 @@ def xpl_1b(spark, sf):
 @query("xpl_2_tree_attributions_reg")
 def xpl_2(spark, sf):
     return _jobs().numeric_tree_attributions(X.fx_num_reg(spark, sf), algo="gbt_depth", classifier=False)
+
+
+@query("xpl_3_occlusion_attributions")
+def xpl_3b(spark, sf):
+    return _jobs().text_occlusion_attributions(_text_class(spark, sf), num=20)
+
+
+@query("jon_4_key_zip")
+def jon_4(spark, sf):
+    p = X.fx_pred_bin(spark, sf)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "lang", "source")
+    return p.join(d, "key")
