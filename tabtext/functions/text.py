@@ -45,10 +45,17 @@ def tokens(text, mode: str = "word", n: int = 2) -> Column:
     if mode == "word":
         return F.regexp_extract_all(t, F.lit(WORD_PATTERN), 0)
     if mode == "char_ngram":
-        s = F.regexp_replace(t, r"\s+", "")
-        return F.when(F.length(s) < n, F.array().cast("array<string>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.length(s) - n + 1),
-                        lambda i: F.substring(s, i, n)))
+        # Characters (code points) once, then n-grams by zipping shifted slices:
+        # O(length).  (``substring`` at growing offsets rescans the UTF-8 text, and
+        # an array expression referenced inside a lambda is re-evaluated per element.)
+        s = F.regexp_replace(t, r"[ \t\n\r\f\x0B]+", "")
+        chars = F.regexp_extract_all(s, F.lit("(?s)."), 0)
+        m = F.size(chars) - n + 1
+        grams = F.slice(chars, 1, F.greatest(m, F.lit(1)))
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(chars, k + 1, F.greatest(m, F.lit(1))),
+                               lambda a, b: F.concat(a, b))
+        return F.when(F.size(chars) < n, F.array().cast("array<string>")).otherwise(grams)
     raise ValueError(f"unknown token mode {mode!r}")
 
 
