@@ -79,6 +79,29 @@ def _features(df: DataFrame, target: str, key: str = "key") -> list[str]:
     return [c for c in df.columns if c not in (key, "split", target)]
 
 
+RESERVED = ("label", "predicted_label")
+
+
+def _check_feature_names(feats: Sequence[str], target: str) -> None:
+    """PRJ-2 / SURVEY 2.13.17: a feature named like an output column would give the
+    predictions table two columns of one name; fail early."""
+    clash = [f for f in feats if f in RESERVED and f != target]
+    if clash:
+        raise ValueError(f"feature columns {clash} collide with prediction columns {RESERVED}")
+
+
+def _fit(estimator, train: DataFrame):
+    """Fit with the training rows persisted: tree learners scan their input once
+    per level, and the input may be a whole text pipeline.  Executors that are
+    lost recompute their blocks from lineage."""
+    from pyspark import StorageLevel
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(train)
+    finally:
+        train.unpersist()
+
+
 def run_numeric_classifier(df: DataFrame, target: str = "target", algo: str = "rf", profile: str = "fast",
                            features: Sequence[str] | None = None, impute_missing: bool = False,
                            key: str = "key", return_model: bool = False):
@@ -88,6 +111,7 @@ def run_numeric_classifier(df: DataFrame, target: str = "target", algo: str = "r
     absent from train gets one row of train feature means (FEA-7); otherwise the
     code mapping is fitted on train and an unseen validation label raises."""
     feats = list(features or _features(df, target, key))
+    _check_feature_names(feats, target)
     tr, va = FE.resplit(df)
     if impute_missing:
         tr = FE.impute_missing_classes(tr.select(key, "split", target, *feats), va, target, feats)
@@ -97,7 +121,7 @@ def run_numeric_classifier(df: DataFrame, target: str = "target", algo: str = "r
     va_e = FE.encode_labels(va, target, mapping, out="code", unseen="error")
     k = mapping.count()  # number of classes: one small aggregate
     est = M.classifier(algo, k, profile)
-    model = M.numeric_pipeline(feats, est).fit(tr_e)
+    model = _fit(M.numeric_pipeline(feats, est), tr_e)
     scored = M.predict_codes(model, va_e)
     out = M.decode_target(scored, mapping).select(key, F.col(target).alias("label"), "predicted_label", *feats)
     return (out, model, mapping) if return_model else out
@@ -114,7 +138,7 @@ def run_text_classifier(df: DataFrame, algo: str = "rf", profile: str = "fast",
     tr_e, mapping = M.encode_target(tr, label)
     va_e = FE.encode_labels(va, label, mapping, out="code", unseen="error")
     k = mapping.count()
-    model = M.classifier(algo, k, profile).fit(tr_e)
+    model = _fit(M.classifier(algo, k, profile), tr_e.select(key, label, "code", "features"))
     scored = M.predict_codes(model, va_e)
     out = M.decode_target(scored, mapping).select(key, F.col(label).alias("label"), "predicted_label", text)
     return (out, model, tfidf, vocab, mapping) if return_model else out
@@ -124,9 +148,10 @@ def run_numeric_regressor(df: DataFrame, target: str = "target", algo: str = "rf
                           features: Sequence[str] | None = None, key: str = "key", return_model: bool = False):
     """MOD-8/9/10 (+ PRJ-4): predictions ``(key, label, predicted_label, features)``."""
     feats = list(features or _features(df, target, key))
+    _check_feature_names(feats, target)
     tr, va = FE.resplit(df)
     est = M.regressor(algo, profile, label=target)
-    model = M.numeric_pipeline(feats, est).fit(tr)
+    model = _fit(M.numeric_pipeline(feats, est), tr)
     out = model.transform(va).select(key, F.col(target).alias("label"),
                                      F.col("prediction").alias("predicted_label"), *feats)
     return (out, model) if return_model else out
@@ -147,7 +172,7 @@ def run_text_regressor(df: DataFrame, algo: str = "rf", profile: str = "fast", v
         stats = FE.minmax_fit(tr, label)
         tr = FE.minmax_transform(tr, label, stats)
         va = FE.minmax_transform(va, label, stats)
-    model = M.regressor(algo, profile, label=label).fit(tr)
+    model = _fit(M.regressor(algo, profile, label=label), tr.select(key, label, "features"))
     out = model.transform(va).select(key, label, F.col("prediction").alias("predicted_label"), text)
     if scale_target:
         out = FE.minmax_inverse(out, [label, "predicted_label"], stats)
@@ -165,7 +190,7 @@ def compare_text_regressors(df: DataFrame, algos: Sequence[str] = ("rf", "gbt_de
     tr, va = FE.resplit(feats)
     out = None
     for algo in algos:
-        model = M.regressor(algo, profile, label=label).fit(tr)
+        model = _fit(M.regressor(algo, profile, label=label), tr)
         pred = model.transform(va).select(F.lit(algo).alias("model"), label,
                                           F.col("prediction").alias("predicted_label"))
         out = pred if out is None else out.unionByName(pred)

@@ -24,7 +24,7 @@ BOOL_VALUES = ("True", "False", "true", "false", "TRUE", "FALSE")
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("mode", "FAILFAST").option("nullValue", None).csv(path))
+            .option("mode", "FAILFAST").csv(path))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
