@@ -56,7 +56,8 @@ def reciprocal(x) -> Column:
 def int_range(lo, hi) -> Column:
     """FUN-9: ``[lo, hi]`` as an array of integers (empty when hi < lo)."""
     lo, hi = _col(lo), _col(hi)
-    return F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    # sequence(lo, lo) filtered empty keeps the element type of lo/hi
+    return F.filter(F.sequence(lo, F.greatest(lo, hi)), lambda x: x <= hi)
 
 
 def squared_error(pred, label) -> Column:

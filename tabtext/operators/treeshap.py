@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 MAX_NODES = 5_000_000
+# Upper bound on the attribution buffer (rows x used features x outputs) held
+# at once inside a Python worker; batches are cut into row chunks below it.
+MAX_PHI_CELLS = 20_000_000
 
 # The Python workers run the numpy core below; ship this module by value with
 # the task closure so executors need no installed copy of the package.
@@ -249,26 +252,30 @@ def tree_attributions(model, df: DataFrame, feature_names: Sequence[str], key: s
         for pdf in batches:
             if len(pdf) == 0 or not b["names"]:
                 continue
-            X = np.stack(pdf["x"].to_numpy()).astype(float)
-            parts = []
+            X_all = np.stack(pdf["x"].to_numpy()).astype(float)
+            samples = pdf["sample"].to_numpy()
             for c, spec in b["specs"]:
                 n_out = spec["trees"][0]["value"].shape[1]
-                phi = np.zeros((X.shape[0], X.shape[1], n_out))
-                for t, w in zip(spec["trees"], spec["weights"]):
-                    tree_shap(X, t, phi, w)
-                outs = range(n_out)
-                if c is None and n_out == 2 and b["binary_positive_only"]:
-                    outs = [1]
-                for o in outs:
-                    cls = c if c is not None else o
-                    label = b["classes"][cls] if b["classes"] else cls
-                    s_idx, f_idx = np.nonzero(phi[:, :, o])
-                    parts.append(pd.DataFrame({
-                        "sample": pdf["sample"].to_numpy()[s_idx],
-                        "feature": np.asarray(b["names"], dtype=object)[f_idx],
-                        "class": np.full(len(s_idx), int(label), dtype=np.int32),
-                        "shap_value": phi[s_idx, f_idx, o]}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                step = max(1, MAX_PHI_CELLS // max(1, X_all.shape[1] * n_out))
+                for lo in range(0, X_all.shape[0], step):
+                    X = X_all[lo:lo + step]
+                    phi = np.zeros((X.shape[0], X.shape[1], n_out))
+                    for t, w in zip(spec["trees"], spec["weights"]):
+                        tree_shap(X, t, phi, w)
+                    outs = range(n_out)
+                    if c is None and n_out == 2 and b["binary_positive_only"]:
+                        outs = [1]
+                    parts = []
+                    for o in outs:
+                        cls = c if c is not None else o
+                        label = b["classes"][cls] if b["classes"] else cls
+                        s_idx, f_idx = np.nonzero(phi[:, :, o])
+                        parts.append(pd.DataFrame({
+                            "sample": samples[lo:lo + step][s_idx],
+                            "feature": np.asarray(b["names"], dtype=object)[f_idx],
+                            "class": np.full(len(s_idx), int(label), dtype=np.int32),
+                            "shap_value": phi[s_idx, f_idx, o]}))
+                    if parts:
+                        yield pd.concat(parts, ignore_index=True)
 
     return sub.mapInPandas(run, "sample bigint, feature string, class int, shap_value double")

@@ -43,6 +43,25 @@ def _rows(cols, rows):
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), str(x)) for x in r))
 
 
+SPARK_TYPES = {"int": "int32", "bigint": "int64", "double": "float64", "string": "string", "boolean": "bool",
+               "smallint": "int16", "tinyint": "int8", "float": "float32", "date": "date"}
+DUCK_TYPES = {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "VARCHAR": "string",
+              "BOOLEAN": "bool", "SMALLINT": "int16", "TINYINT": "int8", "FLOAT": "float32", "DATE": "date"}
+
+
+def _spark_type(t: str) -> str:
+    if t.startswith("array<"):
+        return "list<" + _spark_type(t[6:-1]) + ">"
+    return SPARK_TYPES.get(t, t)
+
+
+def _duck_type(t: str) -> str:
+    t = str(t)
+    if t.endswith("[]"):
+        return "list<" + _duck_type(t[:-2]) + ">"
+    return DUCK_TYPES.get(t, t)
+
+
 def compare(spark, sf_dir: str, name: str, con=None) -> dict:
     from .oracle import SQL
     from .queries import QUERIES
@@ -54,8 +73,14 @@ def compare(spark, sf_dir: str, name: str, con=None) -> dict:
     d_cols = [c[0] for c in res.description]
     d_rows = res.fetchall()
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
+    s_types = {c: _spark_type(t) for c, t in df.dtypes}
+    d_types = {c[0]: _duck_type(c[1]) for c in res.description}
     out = {"name": name, "rows_spark": len(a), "rows_oracle": len(b),
-           "cols_match": sorted(s_cols) == sorted(d_cols), "values_match": a == b}
+           "cols_match": sorted(s_cols) == sorted(d_cols), "values_match": a == b,
+           "types_match": s_types == d_types}
+    if not out["types_match"]:
+        out["types"] = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
+                        if s_types.get(c) != d_types.get(c)}
     if not out["values_match"]:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
         out["first_diffs"] = diff

@@ -20,3 +20,4 @@ def test_query_matches_oracle(spark, duck001, name):
     assert r["cols_match"], r
     assert r["rows_spark"] == r["rows_oracle"], r
     assert r["values_match"], r
+    assert r["types_match"], r
