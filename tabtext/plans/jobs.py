@@ -277,3 +277,61 @@ def text_occlusion_attributions(df: DataFrame, num: int = 20, algo: str = "linea
     rows = head(va.select(key, "sentence"), num, key)
     classes = [r["value"] for r in mapping.orderBy("code").collect()]  # one entry per class
     return occlusion_attributions(rows, model_scorer(tfidf, model), key, classes=classes)
+
+
+def run_embedding_classifier(df: DataFrame, algo: str = "linear", profile: str = "fast", key: str = "key",
+                             vector: str = "embedding", label: str = "label") -> DataFrame:
+    """MOD-15 over a precomputed ``array<float>`` embedding (``array_to_vector``):
+    predictions ``(key, label, predicted_label)`` for the validation rows."""
+    from pyspark.ml.functions import array_to_vector
+    feats = df.select(key, "split", label, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    tr, va = FE.resplit(feats)
+    tr_e, mapping = M.encode_target(tr, label)
+    va_e = FE.encode_labels(va, label, mapping, out="code", unseen="error")
+    model = _fit(M.classifier(algo, mapping.count(), profile), tr_e)
+    scored = M.predict_codes(model, va_e)
+    return M.decode_target(scored, mapping).select(key, F.col(label).alias("label"), "predicted_label")
+
+
+def model_feature_importance(model, feature_names: Sequence[str], top_n: int | None = None) -> DataFrame:
+    """XPL-6, model side: a fitted tree ensemble's ``featureImportances`` as
+    ``(feature, importance, rank)``; only non-zero entries (the vector is sparse
+    and bounded by the feature count)."""
+    from pyspark.sql import SparkSession
+    m = model.stages[-1] if hasattr(model, "stages") else model
+    imp = m.featureImportances
+    idx = imp.indices if hasattr(imp, "indices") else range(len(imp))
+    rows = [(feature_names[int(i)], float(imp[int(i)])) for i in idx if float(imp[int(i)]) != 0.0]
+    spark = SparkSession.getActiveSession()
+    d = spark.createDataFrame(rows, "feature string, importance double")
+    from ..operators.topk import top_n_per_group
+    ranked = top_n_per_group(d.withColumn("__g", F.lit(0)), ["__g"], [F.desc("importance"), F.asc("feature")],
+                             top_n or len(rows) or 1, "rank")
+    return ranked.drop("__g")
+
+
+def select_best_candidate(df: DataFrame, candidates: dict[str, dict], algo: str = "rf",
+                          vocab_size: int = 1000, key: str = "key", text: str = "sentence",
+                          label: str = "label") -> DataFrame:
+    """TOP-7 over real fits: one TF-IDF feature set, one classifier per candidate
+    setting (``name -> estimator params``), all candidates' validation predictions
+    evaluated in one pass (``by=run``), the best macro F1 picked (ties: name).
+    Output ``(run, f1, best)``."""
+    tfidf, _ = M.fit_text_features(df, vocab_size, key, text)
+    feats = tfidf.transform(M.with_tokens(df, text)).withColumnRenamed("tfidf", "features")
+    feats = cut_lineage(feats.select(key, "split", label, "features"))
+    tr, va = FE.resplit(feats)
+    tr_e, mapping = M.encode_target(tr, label)
+    va_e = FE.encode_labels(va, label, mapping, out="code", unseen="error")
+    k = mapping.count()
+    preds = None
+    for name, params in candidates.items():
+        est = M.classifier(algo, k)
+        model = _fit(est.copy({est.getParam(p): v for p, v in params.items()}), tr_e)
+        p = M.predict_codes(model, va_e).select(F.lit(name).alias("run"), F.col("code").alias("label"),
+                                                F.col("predicted_code").cast("double").alias("predicted_label"))
+        preds = p if preds is None else preds.unionByName(p)
+    runs = E.summary(preds, by=("run",)).select("run", F.col("macro_f1").alias("f1"))
+    from ..operators.topk import select_best
+    best = select_best(runs, "f1").select("run", F.lit(True).alias("best"))
+    return runs.join(best, "run", "left").select("run", "f1", F.coalesce("best", F.lit(False)).alias("best"))

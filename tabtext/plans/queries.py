@@ -856,3 +856,24 @@ def jon_4(spark, sf):
     p = X.fx_pred_bin(spark, sf)
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "lang", "source")
     return p.join(d, "key")
+
+
+@query("mod_15_linear_embeddings")
+def mod_15b(spark, sf):
+    e = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("key"), F.when(F.col("vec_id") % 5 == 0, "valid").otherwise("train").alias("split"),
+        "embedding", "label")
+    return _jobs().run_embedding_classifier(e)
+
+
+@query("xpl_6_model_importances")
+def xpl_6b(spark, sf):
+    df = _num_class(spark, sf)
+    _, model, _ = _jobs().run_numeric_classifier(df, algo="rf", return_model=True)
+    return _jobs().model_feature_importance(model, ["p_size", "p_retailprice"])
+
+
+@query("top_7_best_candidate_model")
+def top_7b(spark, sf):
+    return _jobs().select_best_candidate(_text_class(spark, sf), {
+        "trees-5": {"numTrees": 5}, "trees-10": {"numTrees": 10}, "trees-20": {"numTrees": 20}})

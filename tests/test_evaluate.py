@@ -116,3 +116,16 @@ def test_custom_metric_callbacks(spark):
     pred = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0)], "label double, predicted_label double")
     r = E.custom_metrics(pred, {"max_err": lambda d: F.max(F.abs(F.col("predicted_label") - F.col("label")))})
     assert r.first()["max_err"] == 1.0
+
+
+def test_weighted_matches_spark_evaluator(spark):
+    """EVA-4 cross-check with Spark ML's own evaluator."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    pred = _pred_from_matrix(spark, GOLDEN["confusion_matrix_num_xgb"][0])
+    d = pred.select(pred["label"].cast("double").alias("label"),
+                    pred["predicted_label"].cast("double").alias("prediction"))
+    s = E.summary(pred).first()
+    for metric, col in (("weightedPrecision", "weighted_precision"), ("weightedRecall", "weighted_recall"),
+                        ("accuracy", "accuracy"), ("weightedFMeasure", "weighted_f1")):
+        ev = MulticlassClassificationEvaluator(metricName=metric)
+        assert ev.evaluate(d) == pytest.approx(s[col])
