@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Imputer, Normalizer,
                                 VectorAssembler)
 from pyspark.ml.linalg import Vectors

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax
-from ..functions.text import tokens
 from ..operators.common import split_col
 from ..operators.features import encode_labels, label_mapping
 from ..sources.tables import table

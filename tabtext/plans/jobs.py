@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import attributions as A
 from ..operators import evaluate as E
 from ..operators import features as FE
 from ..operators.common import one_row
