@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Largest row count we hand to ``broadcast()`` on the strength of a parameter
@@ -18,9 +18,14 @@ def bounded_broadcast(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if bound <= MAX_BROADCAST_ROWS else df
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """A global aggregate yields exactly one row: always safe to broadcast."""
-    return F.broadcast(df)
+def scalars(agg: DataFrame) -> Column:
+    """A global aggregate (exactly one row) as a struct-valued scalar subquery.
+
+    Spark runs the subquery once, ahead of the main query, and folds the value
+    into the projection as a literal: no join, no cross product, and the
+    consuming stage keeps its whole-stage codegen.  Read fields with
+    ``s["name"]``."""
+    return agg.select(F.struct(*agg.columns).alias("__s")).scalar()
 
 
 def split_col(key: str = "key", modulus: int = 5) -> "F.Column":

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sign
-from .common import one_row
+from .common import scalars
 
 
 def pair_counts(pred: DataFrame, label: str = "label", predicted: str = "predicted_label",
@@ -111,12 +111,12 @@ def per_class(pred: DataFrame, label: str = "label", predicted: str = "predicted
 
 
 def label_share(pred: DataFrame, label: str = "label") -> DataFrame:
-    """AGG-3: ``(label, n, share)``; the total is a one-row broadcast, not an
+    """AGG-3: ``(label, n, share)``; the total is a scalar subquery, not an
     unpartitioned window."""
     counts = pred.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(
         F.count(F.lit(1)).alias("n"))
-    total = one_row(counts.agg(F.sum("n").alias("total")))
-    return counts.crossJoin(total).select("label", "n", (F.col("n") / F.col("total")).alias("share"))
+    total = scalars(counts.agg(F.sum("n").alias("total")))["total"]
+    return counts.select("label", "n", (F.col("n") / total).alias("share"))
 
 
 def baseline(pred: DataFrame, label: str = "label") -> DataFrame:
@@ -176,15 +176,15 @@ def regression_metrics_by(pred: DataFrame, by: str, label: str = "label",
 
 def regression_metrics_exact(pred: DataFrame, label: str = "label",
                              predicted: str = "predicted_label") -> DataFrame:
-    """Same as ``regression_metrics`` but with the centered ``SS_tot`` taken against a
-    broadcast one-row mean (numerically robust for large targets)."""
+    """Same as ``regression_metrics`` but with the centered ``SS_tot`` taken against
+    the mean as a scalar subquery (numerically robust for large targets)."""
     y = F.col(label).cast("double")
     p = F.col(predicted).cast("double")
     base = pred.filter(F.col(label).isNotNull() & F.col(predicted).isNotNull())
-    m = one_row(base.agg(F.avg(y).alias("__m")))
-    a = base.crossJoin(m).agg(
+    m = scalars(base.agg(F.avg(y).alias("m")))["m"]
+    a = base.agg(
         F.count(F.lit(1)).alias("n"), F.sum((p - y) * (p - y)).alias("ss_res"),
-        F.sum(F.abs(p - y)).alias("sae"), F.sum((y - F.col("__m")) * (y - F.col("__m"))).alias("ss_tot"))
+        F.sum(F.abs(p - y)).alias("sae"), F.sum((y - m) * (y - m)).alias("ss_tot"))
     mse = F.col("ss_res") / F.col("n")
     return a.select(
         F.col("n").cast("bigint").alias("n"), mse.alias("mse"), (F.col("sae") / F.col("n")).alias("mae"),
@@ -213,8 +213,8 @@ def metric_report(pred: DataFrame, method: str = "proposed", label: str = "label
     # every true label has support > 0, so the union of classes is irrelevant for
     # shares; macro precision/recall of the model need the full universe:
     full = per_label(pred, label, predicted)
-    total = one_row(pl.agg(F.sum("support").alias("__total")))
-    sh = pl.crossJoin(total).select("label", (F.col("support") / F.col("__total")).alias("share"))
+    total = scalars(pl.agg(F.sum("support").alias("total")))["total"]
+    sh = pl.select("label", (F.col("support") / total).alias("share"))
     cls = lambda c: c.cast("string")
     rows = [
         full.agg(F.lit(method).alias("method"), F.lit("all").alias("class"),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH_STOP_WORDS, remove_stop, tokens
-from .common import bounded_broadcast, one_row
+from .common import bounded_broadcast, scalars
 
 META_COLS = ("key", "split")
 
@@ -102,12 +102,12 @@ def impute_missing_classes(tr: DataFrame, va: DataFrame, target: str,
                            features: Sequence[str]) -> DataFrame:
     """FEA-7: append one row of *train* feature means for every label present in the
     pair but absent from train.  Appending a mean row leaves the means unchanged,
-    so all missing labels share the same row (JON-5: cross join of a one-row
-    broadcast)."""
+    so all missing labels share the same row (JON-5: the one-row means are a
+    scalar subquery attached to each missing label, not a join)."""
     miss = missing_labels(tr, va, target)
-    means = one_row(column_means(tr, features))
-    extra = miss.crossJoin(means).select(
-        *[(F.col(c) if c != target else F.col(target)).cast(tr.schema[c].dataType).alias(c)
+    means = scalars(column_means(tr, features))
+    extra = miss.select(
+        *[(F.col(target) if c == target else means[c]).cast(tr.schema[c].dataType).alias(c)
           if c == target or c in features else F.lit(None).cast(tr.schema[c].dataType).alias(c)
           for c in tr.columns])
     if "split" in tr.columns:
@@ -168,16 +168,14 @@ def _range(stats_lo: Column, stats_hi: Column) -> Column:
 def minmax_transform(df: DataFrame, col: str, stats: DataFrame, out: str | None = None) -> DataFrame:
     """``(x - lo) / (hi - lo)``, no clipping; a zero range divides by 1."""
     out = out or col
-    j = df.crossJoin(one_row(stats))
-    return j.withColumn(out, (F.col(col) - F.col("lo")) / _range(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    s = scalars(stats)
+    return df.withColumn(out, (F.col(col) - s["lo"]) / _range(s["lo"], s["hi"]))
 
 
 def minmax_inverse(df: DataFrame, cols: Sequence[str], stats: DataFrame) -> DataFrame:
     """Inverse of ``minmax_transform`` for each column in ``cols``."""
-    j = df.crossJoin(one_row(stats))
-    for c in cols:
-        j = j.withColumn(c, F.col(c) * _range(F.col("lo"), F.col("hi")) + F.col("lo"))
-    return j.drop("lo", "hi")
+    s = scalars(stats)
+    return df.withColumns({c: F.col(c) * _range(s["lo"], s["hi"]) + s["lo"] for c in cols})
 
 
 # ---------------------------------------------------------------- vectors
@@ -213,21 +211,24 @@ def doc_terms(df: DataFrame, key: str = "key", text: str = "sentence",
             .groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def vocabulary(terms: DataFrame, size: int | None = 10000, key: str = "key") -> DataFrame:
+def vocabulary(terms: DataFrame, size: int = 10000, key: str = "key") -> DataFrame:
     """TOP-3: ``(term, term_id, total, df)`` for the ``size`` most frequent terms
     (total count desc, term asc); ``term_id`` from 0.  ``terms`` is ``doc_terms``
     output.  Map-side partial aggregation absorbs heavy terms; the cap makes the
-    result a bounded ``TakeOrderedAndProject``."""
+    result a bounded ``TakeOrderedAndProject`` (each task ships at most ``size``
+    rows), so the id window runs over at most ``size`` rows.  The cap is
+    mandatory: the reference always caps the vocabulary, and an uncapped id
+    assignment would need the whole term table in one ordered task."""
+    if size is None or size < 1:
+        raise ValueError("vocabulary size must be a positive integer")
     stats = terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    ordered = stats.orderBy(F.desc("total"), F.asc("term"))
-    if size is not None:
-        ordered = ordered.limit(size)
+    ordered = stats.orderBy(F.desc("total"), F.asc("term")).limit(size)
     w = Window.orderBy(F.desc("total"), F.asc("term"))
     return ordered.select("term", (F.row_number().over(w) - 1).cast("int").alias("term_id"),
                           "total", "df")
 
 
-def tfidf_long(df: DataFrame, key: str = "key", text: str = "sentence", vocab_size: int | None = 10000,
+def tfidf_long(df: DataFrame, key: str = "key", text: str = "sentence", vocab_size: int = 10000,
                stop_words: Sequence[str] | None = ENGLISH_STOP_WORDS, mode: str = "word",
                terms: DataFrame | None = None) -> DataFrame:
     """FEA-3, relational form: ``(key, term, tf, weight)`` non-zero cells.
@@ -238,10 +239,9 @@ def tfidf_long(df: DataFrame, key: str = "key", text: str = "sentence", vocab_si
     """
     terms = terms if terms is not None else doc_terms(df, key, text, stop_words, mode)
     vocab = vocabulary(terms, vocab_size, key)
-    n_docs = one_row(df.agg(F.count(F.lit(1)).alias("n")))
-    bound = vocab_size if vocab_size is not None else 10**9
-    idf = (bounded_broadcast(vocab, bound).crossJoin(n_docs)
-           .select("term", "term_id", idf_expr(F.col("n"), F.col("df")).alias("idf")))
+    n_docs = scalars(df.agg(F.count(F.lit(1)).alias("n")))["n"]
+    bound = vocab_size
+    idf = vocab.select("term", "term_id", idf_expr(n_docs, F.col("df")).alias("idf"))
     return tfidf_cells(terms, idf, key, bound).select(key, "term", "term_id", "tf", "weight")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import run_step
+from .common import scalars
 
 
 def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
@@ -46,10 +47,9 @@ def feature_importance(attr: DataFrame, top_n: int = 20, group: str = "class", f
     """TOP-5 / XPL-6: mean |attribution| per (class, feature), the top ``top_n`` per
     class.  Rows without a feature's attribution count as 0, so the mean runs
     over the samples of the attribution table (``n_samples``)."""
-    n = attr.select("sample").distinct().agg(F.count(F.lit(1)).alias("n_samples"))
+    n = scalars(attr.agg(F.count_distinct("sample").alias("n")))["n"]
     s = (attr.groupBy(group, feature).agg(F.sum(F.abs(value)).alias("sum_abs"))
-         .crossJoin(F.broadcast(n))
-         .select(group, feature, (F.col("sum_abs") / F.col("n_samples")).alias("mean_abs")))
+         .select(group, feature, (F.col("sum_abs") / n).alias("mean_abs")))
     return top_n_per_group(s, [group], [F.col("mean_abs").desc(), F.col(feature).asc()], top_n, "rank")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import features as FE
-from ..operators.common import one_row
+from ..operators.common import scalars
 from ..session import cut_lineage
 
 
@@ -34,18 +34,18 @@ def text_linear_scores(df: DataFrame, vocab_size: int = 10000, key: str = "key",
         F.sum(F.when(train & (F.col(label) == 1), F.col("tf")).otherwise(0)).alias("n1"),
         F.sum(F.when(train & (F.col(label) == 0), F.col("tf")).otherwise(0)).alias("n0"))
     vocab = stats.orderBy(F.desc("total"), F.asc("term")).limit(vocab_size)
-    n_docs = one_row(df.agg(F.count(F.lit(1)).alias("n")))
-    idf = vocab.crossJoin(n_docs).select(
-        "term", FE.idf_expr(F.col("n"), F.col("df")).alias("idf"),
+    n_docs = scalars(df.agg(F.count(F.lit(1)).alias("n")))["n"]
+    idf = vocab.select(
+        "term", FE.idf_expr(n_docs, F.col("df")).alias("idf"),
         F.log((F.col("n1") + F.lit(1.0)) / (F.col("n0") + F.lit(1.0))).alias("w"))
     cells = FE.tfidf_cells(terms.select(key, "term", "tf"), idf, key, vocab_size)
     contrib = cells.groupBy(key).agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
     tr = df.filter(train)
-    prior = one_row(tr.agg(F.log((F.sum(F.when(F.col(label) == 1, 1).otherwise(0)) + F.lit(1.0))
-                                 / (F.sum(F.when(F.col(label) == 0, 1).otherwise(0)) + F.lit(1.0))).alias("b")))
+    prior = scalars(tr.agg(F.log((F.sum(F.when(F.col(label) == 1, 1).otherwise(0)) + F.lit(1.0))
+                                 / (F.sum(F.when(F.col(label) == 0, 1).otherwise(0)) + F.lit(1.0))).alias("b")))["b"]
     va = df.filter(F.col("split") == "valid").select(key, label)
-    scored = va.join(contrib, key, "left").crossJoin(prior)
-    score = F.round(F.coalesce(F.col("s"), F.lit(0.0)) + F.col("b"), 9)
+    scored = va.join(contrib, key, "left")
+    score = F.round(F.coalesce(F.col("s"), F.lit(0.0)) + prior, 9)
     return scored.select(key, label, score.alias("score"), (score > 0).cast("int").alias("predicted_label"))
 
 

@@ -21,6 +21,7 @@ from ..operators import evaluate as E
 from ..operators import features as FE
 from ..operators import joins as J
 from ..operators import topk as K
+from ..operators.common import scalars
 from ..sources.tables import table
 from . import fixtures as X
 
@@ -244,8 +245,9 @@ def jon_5(spark, sf):
     tr, va = FE.resplit(X.fx_missing(spark, sf, ("PROMO", "SMALL")))
     feats = ["p_size", "p_retailprice"]
     miss = FE.missing_labels(tr, va, "target")
-    means = FE.column_means(tr, feats)
-    return rounded(miss.crossJoin(F.broadcast(means)), {"p_size": 9, "p_retailprice": 6})
+    means = scalars(FE.column_means(tr, feats))
+    return rounded(miss.select("target", *[means[c].alias(c) for c in feats]),
+                   {"p_size": 9, "p_retailprice": 6})
 
 
 @query("jon_6_label_grid")
