@@ -8,6 +8,7 @@ with the same places as the Spark side.
 from __future__ import annotations
 
 from ..functions.text import WORD_PATTERN, stop_words_sql
+from ..sources.csv import NA_VALUES
 from .fixture_sql import with_fixtures as W
 
 SQL: dict[str, str] = {}
@@ -597,3 +598,40 @@ SQL["run_text_linear_report"] = W(LINEAR_SCORES + report("pred", "tfidf_linear")
 SQL["jon_4_key_zip"] = W("""
     SELECT p.key, p.label, p.predicted_label, d.lang, d.source
     FROM fx_pred_bin p JOIN documents d ON p.key = d.doc_id""", "fx_pred_bin")
+
+
+# ------------------------------------------------------------------ sources and sinks
+# A CSV round trip reads the pandas missing-value tokens back as NULL.
+NA_LIST = "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in NA_VALUES) + ")"
+
+
+def na(x: str) -> str:
+    return f"CASE WHEN {x} IN {NA_LIST} THEN NULL ELSE {x} END"
+
+
+SQL["src_1_read_pair"] = W(f"""
+    SELECT split, {na('sentence')} AS sentence, CAST(label AS BIGINT) AS label FROM fx_text_class""",
+                           "fx_text_class")
+
+SQL["src_2_read_confusion"] = W(f"""
+    SELECT CAST(label AS VARCHAR) AS label, CAST(predicted_label AS VARCHAR) AS predicted_label, n
+    FROM ({confusion('fx_pred_multi')})""", "fx_pred_multi")
+
+SQL["src_3_read_predictions"] = W(report("fx_pred_bin", "proposed").replace("WITH pl", ", pl", 1), "fx_pred_bin")
+
+SQL["src_4_read_attributions"] = W(f"""
+    SELECT sample, {na('token')} AS token, CAST(class AS BIGINT) AS class, round(shap_value, 6) + 0.0 AS shap_value
+    FROM fx_attr""", "fx_attr")
+
+SQL["src_5_visualize_labels"] = """
+    SELECT CAST(quality AS BIGINT) AS label, 'ラベル' || CAST(quality AS VARCHAR) AS label_name, count(*) AS n
+    FROM labels GROUP BY quality"""
+
+SQL["snk_1_write_predictions"] = W("""
+    SELECT key, label AS actual_target, round(predicted_label, 6) + 0.0 AS predicted_target FROM fx_pred_reg""",
+                                   "fx_pred_reg")
+
+SQL["snk_2_write_confusion"] = W(f"""
+    , cells AS ({confusion('fx_pred_multi')})
+    PIVOT (SELECT CAST(label AS BIGINT) AS label, CAST(predicted_label AS VARCHAR) AS predicted_label, n FROM cells)
+    ON predicted_label USING first(n) GROUP BY label""", "fx_pred_multi")

@@ -879,3 +879,90 @@ def xpl_6b(spark, sf):
 def top_7b(spark, sf):
     return _jobs().select_best_candidate(_text_class(spark, sf), {
         "trees-5": {"numTrees": 5}, "trees-10": {"numTrees": 10}, "trees-20": {"numTrees": 20}})
+
+
+# ------------------------------------------------------------------ sources and sinks
+# The reference hands data between its scripts as CSV files.  These queries
+# write tables derived from the driver's parquet inputs with the sinks into
+# the shared checkpoint folder, then read them back with the sources, so each
+# file step runs over the whole table and is checked against DuckDB.
+
+
+def _files(spark, name: str) -> str:
+    from ..session import scratch_path
+    return scratch_path(spark, name)
+
+
+@query("src_1_read_pair")
+def src_1(spark, sf):
+    from ..sources import csv as SC
+    from ..sources import sinks as SK
+    t = X.fx_text_class(spark, sf)
+    base = _files(spark, "pair")
+    SK.write_table(t.filter(F.col("split") == "train").select("sentence", "label"), f"{base}/train.csv")
+    SK.write_table(t.filter(F.col("split") == "valid").select("sentence", "label"), f"{base}/valid.csv")
+    return SC.read_pair(spark, f"{base}/train.csv", f"{base}/valid.csv").drop("key")
+
+
+@query("src_2_read_confusion")
+def src_2(spark, sf):
+    from ..plans.entrypoints import vis
+    from ..sources import sinks as SK
+    base = _files(spark, "confusion")
+    pred = X.fx_pred_multi(spark, sf)
+    SK.write_confusion(pred, f"{base}/cm.csv")
+    SK.write_predictions(pred, f"{base}/results.csv")
+    cells, _ = vis(spark, f"{base}/cm.csv", f"{base}/results.csv")
+    return cells
+
+
+@query("src_3_read_predictions")
+def src_3(spark, sf):
+    from ..plans.entrypoints import vis
+    from ..sources import sinks as SK
+    base = _files(spark, "predictions")
+    pred = X.fx_pred_bin(spark, sf)
+    SK.write_confusion(pred, f"{base}/cm.csv")
+    SK.write_predictions(pred, f"{base}/results.csv", drop=("key",))
+    _, report = vis(spark, f"{base}/cm.csv", f"{base}/results.csv", "proposed")
+    return rounded(report, METRIC_PLACES)
+
+
+@query("src_4_read_attributions")
+def src_4(spark, sf):
+    from ..sources import csv as SC
+    from ..sources import sinks as SK
+    path = f"{_files(spark, 'attributions')}/shap.csv"
+    SK.write_table(_attr(spark, sf), path)
+    return rounded(SC.read_attributions(spark, path), {"shap_value": 6})
+
+
+@query("src_5_visualize_labels")
+def src_5(spark, sf):
+    from ..plans.entrypoints import visualize_labels
+    from ..sources import sinks as SK
+    path = f"{_files(spark, 'labels')}/labels.csv"
+    SK.write_table(table(spark, sf, "labels"), path)
+    ok, why, dist = visualize_labels(spark, path, "quality")
+    if not ok:
+        raise RuntimeError(why)
+    return dist
+
+
+@query("snk_1_write_predictions")
+def snk_1(spark, sf):
+    from ..sources import csv as SC
+    from ..sources import sinks as SK
+    path = f"{_files(spark, 'regression')}/results.csv"
+    SK.write_predictions(X.fx_pred_reg(spark, sf), path,
+                         rename={"label": "actual_target", "predicted_label": "predicted_target"})
+    return rounded(SC.read_predictions(spark, path), {"predicted_target": 6})
+
+
+@query("snk_2_write_confusion")
+def snk_2(spark, sf):
+    from ..sources import csv as SC
+    from ..sources import sinks as SK
+    path = f"{_files(spark, 'matrix')}/cm.csv"
+    SK.write_confusion(X.fx_pred_multi(spark, sf), path)
+    return SC.read_csv(spark, path)

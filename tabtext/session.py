@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +68,11 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into ``spark.checkpoint.dir`` (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder, for files one step of a
+    job writes and a later step reads (the reference hands predictions, matrices
+    and attributions between its scripts as files)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tabtext-files/{name}-{uuid.uuid4().hex}"

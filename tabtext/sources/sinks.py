@@ -13,7 +13,9 @@ from ..operators.evaluate import confusion_wide, metric_report
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> str:
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        # Whitespace is data: the CSV writer trims values unless told not to.
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
     return path
