@@ -46,7 +46,7 @@ def confusion(pred: DataFrame, label: str = "label", predicted: str = "predicted
     grid = (u.agg(F.array_sort(F.collect_list("label")).alias("u"))
             .select(F.explode("u").alias("label"), "u")
             .select("label", F.explode("u").alias("predicted_label")))
-    return (grid.join(F.broadcast(c), ["label", "predicted_label"], "left")
+    return (grid.join(c, ["label", "predicted_label"], "left")
             .select("label", "predicted_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 

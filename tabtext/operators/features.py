@@ -70,8 +70,13 @@ def label_mapping(df: DataFrame, col: str, fit_on: DataFrame | None = None) -> D
 def encode_labels(df: DataFrame, col: str, mapping: DataFrame, out: str = "code",
                   unseen: str = "error") -> DataFrame:
     """FEA-5 apply: join the mapping; an unseen non-null value raises (``unseen='error'``)
-    or becomes NULL (``'keep'``)."""
-    m = F.broadcast(mapping.withColumnRenamed("value", "__v").withColumnRenamed("code", out))
+    or becomes NULL (``'keep'``).
+
+    The mapping has one row per class.  The class count is data, not a
+    parameter, so the join carries no broadcast hint: AQE measures the mapping
+    at run time and broadcasts it when small (always, for real label sets),
+    else keeps a sort-merge join whose skewed partitions it splits."""
+    m = mapping.withColumnRenamed("value", "__v").withColumnRenamed("code", out)
     j = df.join(m, df[col] == m["__v"], "left").drop("__v")
     if unseen == "error":
         j = j.withColumn(out, F.when(F.col(col).isNotNull() & F.col(out).isNull(),
@@ -83,7 +88,7 @@ def encode_labels(df: DataFrame, col: str, mapping: DataFrame, out: str = "code"
 
 def decode_labels(df: DataFrame, code_col: str, mapping: DataFrame, out: str) -> DataFrame:
     """FEA-6: code -> original value."""
-    m = F.broadcast(mapping.withColumnRenamed("value", out).withColumnRenamed("code", "__c"))
+    m = mapping.withColumnRenamed("value", out).withColumnRenamed("code", "__c")
     return df.join(m, F.col(code_col) == m["__c"], "left").drop("__c")
 
 
