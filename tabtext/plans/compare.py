@@ -7,6 +7,7 @@ name, values normalised: ints as ints, floats as floats, arrays as tuples).
 from __future__ import annotations
 
 import math
+import re
 
 from ..sources.tables import TABLES
 
@@ -62,12 +63,17 @@ def _duck_type(t: str) -> str:
     return DUCK_TYPES.get(t, t)
 
 
+# Join operators a plan of this package must not contain (a cross product).
+NESTED_LOOP = re.compile(r"NestedLoopJoin|CartesianProduct")
+
+
 def compare(spark, sf_dir: str, name: str, con=None) -> dict:
     from .oracle import SQL
     from .queries import QUERIES
     df = QUERIES[name](spark, sf_dir)
     s_cols = df.columns
     s_rows = [tuple(r) for r in df.collect()]
+    plan = df._jdf.queryExecution().executedPlan().toString()
     con = con or duck(sf_dir)
     res = con.execute(SQL[name])
     d_cols = [c[0] for c in res.description]
@@ -77,7 +83,8 @@ def compare(spark, sf_dir: str, name: str, con=None) -> dict:
     d_types = {c[0]: _duck_type(c[1]) for c in res.description}
     out = {"name": name, "rows_spark": len(a), "rows_oracle": len(b),
            "cols_match": sorted(s_cols) == sorted(d_cols), "values_match": a == b,
-           "types_match": s_types == d_types}
+           "types_match": s_types == d_types,
+           "nested_loop_join": bool(NESTED_LOOP.search(plan))}
     if not out["types_match"]:
         out["types"] = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
                         if s_types.get(c) != d_types.get(c)}

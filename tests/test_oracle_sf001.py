@@ -21,3 +21,4 @@ def test_query_matches_oracle(spark, duck001, name):
     assert r["rows_spark"] == r["rows_oracle"], r
     assert r["values_match"], r
     assert r["types_match"], r
+    assert not r["nested_loop_join"], r

@@ -15,5 +15,7 @@ def test_rows_only_query(spark, name):
     df = QUERIES[name](spark, SF001)
     schema = df.schema
     rows = df.collect()
+    from tabtext.plans.compare import NESTED_LOOP
+    assert not NESTED_LOOP.search(df._jdf.queryExecution().executedPlan().toString())
     assert len(rows) > 0
     assert df.schema == schema
