@@ -298,14 +298,16 @@ def encode_ids(df: DataFrame, vocab: DataFrame, key: str = "key", text: str = "s
 
     Truncation happens before the explode, so each document contributes at most
     ``max_len`` rows; the regrouping by key collects at most ``max_len`` entries
-    per group."""
+    per group.  ``posexplode_outer`` keeps a document without tokens as one
+    row with a NULL position, so empty documents survive the single
+    ``groupBy(key)`` and no join back to the documents is needed."""
     toks = F.slice(tokens(F.col(text)), 1, max_len)
-    pos = df.select(key, F.posexplode(toks).alias("pos", "term"))
+    pos = df.select(key, F.posexplode_outer(toks).alias("pos", "term"))
     ids = bounded_broadcast(vocab.select("term", (F.col("term_id") + 1).alias("id")), vocab_bound)
     j = pos.join(ids, "term", "left").select(key, "pos", F.coalesce("id", F.lit(0)).alias("id"))
-    seq = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
-    seq = df.select(key).join(seq, key, "left")
-    arr = F.coalesce(F.transform("s", lambda x: x["id"]), F.array().cast("array<int>"))
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
+    seq = j.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    arr = F.transform("s", lambda x: x["id"])
     padded = F.concat(arr, F.array_repeat(F.lit(0), F.lit(max_len) - F.size(arr)))
     return seq.select(key, padded.alias("ids")).withColumn(
         "mask", F.transform("ids", lambda x: (x != 0).cast("int")))
