@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_blanks
@@ -22,14 +22,24 @@ from .topk import top_tokens
 CLASSIFICATION_EXCLUDE = ("the", "a")
 
 
-def linear_token_weights(terms: DataFrame, label: str = "label", pos: int = 1, neg: int = 0) -> DataFrame:
+def linear_token_weights(terms: DataFrame, label: str = "label", pos: int = 1, neg: int = 0,
+                         fit: Column | None = None) -> DataFrame:
     """Token weights of a smoothed log-ratio (naive-Bayes-style) linear scorer:
     ``w = ln((n_pos + 1) / (n_neg + 1))`` with ``n_c`` the token's occurrences in
-    class-``c`` documents.  ``terms`` is ``(term, tf, label)`` of the fitting
-    documents; one partial aggregation, no join."""
-    return terms.groupBy(F.col("term").alias("token")).agg(
-        F.log((F.sum(F.when(F.col(label) == pos, F.col("tf")).otherwise(0)) + F.lit(1.0))
-              / (F.sum(F.when(F.col(label) == neg, F.col("tf")).otherwise(0)) + F.lit(1.0))).alias("w"))
+    class-``c`` documents.  ``terms`` is ``(term, tf, label)`` of the documents;
+    one partial aggregation, no join.
+
+    ``fit`` (e.g. ``split = 'train'``) selects the fitting rows inside the
+    aggregation rather than by a filter before it: the weights then read the
+    same token stream as the attributions of all documents (one shuffle of the
+    text, reused), instead of a second, filtered copy.  Tokens that never occur
+    in a fitting row get no weight."""
+    sel = fit if fit is not None else F.lit(True)
+    n = lambda c: F.sum(F.when(sel & (F.col(label) == c), F.col("tf")).otherwise(0))
+    return (terms.groupBy(F.col("term").alias("token"))
+            .agg(F.log((n(pos) + F.lit(1.0)) / (n(neg) + F.lit(1.0))).alias("w"),
+                 F.max(sel.cast("int")).alias("__fit"))
+            .filter(F.col("__fit") == 1).drop("__fit"))
 
 
 def linear_token_attributions(terms: DataFrame, weights: DataFrame, classes: Sequence[int] = (0, 1),

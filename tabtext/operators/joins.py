@@ -44,9 +44,16 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_cols:
     hot key; a hash, not ``rand``, so a recomputed task routes rows the same
     way), ``small`` is exploded once per salt, and the join runs on
     ``on + salt``.  A hot key is thus split over ``buckets`` tasks; ``small``
-    grows ``buckets`` times, so it must be the side with one row per key."""
+    grows ``buckets`` times, so it must be the side with one row per key.
+
+    ``buckets`` is rounded up to a power of two and the salt is the hash's low
+    bits (``& (buckets - 1)``): unlike ``pmod`` the expression is not nullable,
+    so the optimizer infers no ``isnotnull(salt)`` filter, pushes nothing into
+    the big side's scan, and a shared input (the token stream of one text
+    shuffle) stays identical across branches for exchange reuse."""
     if buckets <= 1:
         return big.join(small, list(on), how)
-    b = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_cols), F.lit(buckets)).cast("int"))
+    buckets = 1 << (int(buckets) - 1).bit_length()
+    b = big.withColumn("__salt", F.xxhash64(*salt_cols).bitwiseAND(F.lit(buckets - 1)).cast("int"))
     s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return b.join(s, [*on, "__salt"], how).drop("__salt")

@@ -110,6 +110,5 @@ def fx_attr(spark: SparkSession, sf: str) -> DataFrame:
     """FX-ATTR: exact attributions of the log-ratio linear scorer fitted on train."""
     from ..operators.attributions import linear_token_attributions, linear_token_weights
     dt = fx_doc_tokens(spark, sf)
-    tr = dt.filter(F.col("split") == "train")
-    w = linear_token_weights(tr.select("term", "tf", "label"))
+    w = linear_token_weights(dt, fit=F.col("split") == "train")
     return linear_token_attributions(dt.select("key", "term", "tf"), w)
