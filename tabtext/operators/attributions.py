@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_blanks
 from .common import bounded_broadcast
-from .joins import salted_join
+from .joins import hot_key_join
 from .topk import top_tokens
 
 # Tokens excluded from the classification token summary.
@@ -25,9 +25,10 @@ CLASSIFICATION_EXCLUDE = ("the", "a")
 def linear_token_weights(terms: DataFrame, label: str = "label", pos: int = 1, neg: int = 0,
                          fit: Column | None = None) -> DataFrame:
     """Token weights of a smoothed log-ratio (naive-Bayes-style) linear scorer:
-    ``w = ln((n_pos + 1) / (n_neg + 1))`` with ``n_c`` the token's occurrences in
-    class-``c`` documents.  ``terms`` is ``(term, tf, label)`` of the documents;
-    one partial aggregation, no join.
+    ``(token, w, n_rows)`` with ``w = ln((n_pos + 1) / (n_neg + 1))``, ``n_c`` the
+    token's occurrences in class-``c`` documents, and ``n_rows`` the number of
+    ``terms`` rows of the token (its document frequency: the hot-key measure
+    of the attribution join).  One partial aggregation, no join.
 
     ``fit`` (e.g. ``split = 'train'``) selects the fitting rows inside the
     aggregation rather than by a filter before it: the weights then read the
@@ -38,21 +39,26 @@ def linear_token_weights(terms: DataFrame, label: str = "label", pos: int = 1, n
     n = lambda c: F.sum(F.when(sel & (F.col(label) == c), F.col("tf")).otherwise(0))
     return (terms.groupBy(F.col("term").alias("token"))
             .agg(F.log((n(pos) + F.lit(1.0)) / (n(neg) + F.lit(1.0))).alias("w"),
-                 F.max(sel.cast("int")).alias("__fit"))
+                 F.count(F.lit(1)).alias("n_rows"), F.max(sel.cast("int")).alias("__fit"))
             .filter(F.col("__fit") == 1).drop("__fit"))
 
 
 def linear_token_attributions(terms: DataFrame, weights: DataFrame, classes: Sequence[int] = (0, 1),
-                              key: str = "key", salt_buckets: int = 16) -> DataFrame:
+                              key: str = "key", hot_n: int = 10_000) -> DataFrame:
     """XPL-3 for a linear scorer in logit space, exact: with the empty text as
     background, the Shapley value of a token is its weight times its count.
     Binary: ``+w*tf`` for the positive class, ``-w*tf`` for the other.  One row
     per (document, distinct token, class); tokens without a weight are dropped.
 
-    The token join is salted: a stop-word-like token may occur in most
-    documents and would otherwise land on one reducer."""
-    j = salted_join(terms.select(key, F.col("term").alias("token"), "tf"), weights, ["token"],
-                    salt_cols=[key], buckets=salt_buckets)
+    A stop-word-like token may occur in most documents, so the token join is a
+    ``hot_key_join``: the ``hot_n`` most frequent tokens (by ``n_rows`` of the
+    weights) are joined by a bounded broadcast, the others by a shuffle join in
+    which no token holds more than ``1 / hot_n`` of the rows."""
+    big = terms.select(key, F.col("term").alias("token"), "tf")
+    if "n_rows" in weights.columns:
+        j = hot_key_join(big, weights.select("token", "w", "n_rows"), "token", "n_rows", hot_n)
+    else:
+        j = big.join(weights.select("token", "w"), "token")
     pos = max(classes)
     cls = F.explode(F.array(*[F.lit(c) for c in classes]))
     return (j.select(F.col(key).alias("sample"), "token", cls.alias("class"), "w", "tf")

@@ -1,9 +1,9 @@
 """Join helpers (JON-1..3).
 
 The reference never joins on keys; its membership tests become semi/anti joins
-and its dictionaries become lookup joins.  ``salted_join`` spreads a hot join
-key (a frequent token can hold a third of all rows) over ``buckets`` reducers:
-the big side gets a random salt, the small side is replicated once per salt.
+and its dictionaries become lookup joins.  ``hot_key_join`` handles a join key
+that may hold a third of all rows (a frequent token): its hot keys are joined
+by a bounded broadcast, the rest by an ordinary shuffle join.
 """
 
 from __future__ import annotations
@@ -37,23 +37,43 @@ def lookup(df: DataFrame, mapping: DataFrame, left_on: str, right_on: str, bound
     return df.join(m, df[left_on] == m[right_on], how).drop(m[right_on])
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_cols: Sequence[str],
-                how: str = "inner", buckets: int = 16) -> DataFrame:
-    """Equi-join where a single key may dominate ``big``: each ``big`` row gets a
-    salt in ``[0, buckets)`` hashed from ``salt_cols`` (columns that vary inside a
-    hot key; a hash, not ``rand``, so a recomputed task routes rows the same
-    way), ``small`` is exploded once per salt, and the join runs on
-    ``on + salt``.  A hot key is thus split over ``buckets`` tasks; ``small``
-    grows ``buckets`` times, so it must be the side with one row per key.
-
-    ``buckets`` is rounded up to a power of two and the salt is the hash's low
-    bits (``& (buckets - 1)``): unlike ``pmod`` the expression is not nullable,
-    so the optimizer infers no ``isnotnull(salt)`` filter, pushes nothing into
-    the big side's scan, and a shared input (the token stream of one text
-    shuffle) stays identical across branches for exchange reuse."""
-    if buckets <= 1:
-        return big.join(small, list(on), how)
-    buckets = 1 << (int(buckets) - 1).bit_length()
-    b = big.withColumn("__salt", F.xxhash64(*salt_cols).bitwiseAND(F.lit(buckets - 1)).cast("int"))
-    s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return b.join(s, [*on, "__salt"], how).drop("__salt")
+def hot_key_join(big: DataFrame, small: DataFrame, on: str, freq: str, hot_n: int = 10_000,
+                 how: str = "inner", spread: int = 1024) -> DataFrame:
+    """Equi-join on one key column where a few keys may hold a large share of
+    ``big`` (a token such as "the" occurs in nearly every document).
+
+    ``small`` has one row per key and a column ``freq`` counting (or
+    approximating) that key's rows in ``big``; the choice of hot keys only
+    affects balance, never the result.
+
+    * The ``hot_n`` most frequent keys (``TakeOrdered`` over ``small``: at most
+      ``hot_n`` rows, a proven broadcast bound) are joined map-side by a
+      broadcast hash join, so their rows are never grouped by key.
+    * Every other key holds at most ``1 / hot_n`` of ``big`` (each is rarer than
+      all hot keys) and goes through an ordinary shuffle join, which AQE may
+      still turn into a broadcast after measuring ``small``.
+    * Rows already matched by the broadcast enter the shuffle join with a NULL
+      key, which matches nothing, and a hash spread column, so they are spread
+      over ``spread`` buckets instead of collecting on the NULL key's partition.
+
+    One pass over ``big``; output = ``big``'s columns + ``small``'s value columns."""
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    vals = [c for c in small.columns if c not in (on, freq)]
+    hot = (small.orderBy(F.desc(freq), F.asc(on)).limit(hot_n)
+           .select(on, *[F.col(c).alias(f"__h_{c}") for c in vals], F.lit(True).alias("__hot")))
+    b = big.join(bounded_broadcast(hot, hot_n), on, "left")
+    is_hot = F.col("__hot").isNotNull()
+    spread = 1 << (int(spread) - 1).bit_length()
+    # One struct key (key or NULL, spread bucket): the optimizer cannot fold the
+    # cold side's constant bucket out of it, so the shuffle join partitions on
+    # both parts and the matched rows stay spread.
+    b = b.select("*", F.struct(F.when(~is_hot, F.col(on)).alias("k"),
+                               F.when(is_hot, F.xxhash64(*big.columns).bitwiseAND(F.lit(spread - 1)))
+                               .otherwise(F.lit(0)).cast("int").alias("s")).alias("__k"))
+    cold = small.select(F.struct(F.col(on).alias("k"), F.lit(0).alias("s")).alias("__k"),
+                        *[F.col(c).alias(f"__c_{c}") for c in vals], F.lit(True).alias("__cold"))
+    j = b.join(cold, "__k", "left")
+    if how == "inner":
+        j = j.filter(is_hot | F.col("__cold").isNotNull())
+    return j.select(*big.columns, *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__c_{c}")).alias(c) for c in vals])

@@ -72,3 +72,37 @@ def test_round_trip_query_reads_whole_table(spark):
     n = spark.read.parquet(f"{SF001}/labels.parquet").join(
         spark.read.parquet(f"{SF001}/documents.parquet"), "doc_id").count()
     assert out.count() == n
+
+
+def test_hot_key_join_is_exact_and_balanced(spark):
+    """One token holds a third of the rows: the hot-key join gives the plain
+    join's rows, and with broadcasts off the shuffle join's partitions stay even."""
+    from pyspark.sql import functions as F
+    from tabtext.operators.joins import hot_key_join
+    big = spark.range(30000).select(
+        F.col("id").alias("doc"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(
+            F.concat(F.lit("t"), (F.col("id") % 1000).cast("string"))).alias("token"))
+    small = (big.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows"))
+             .withColumn("w", F.length("token")).filter(F.col("token") != "t7"))
+    ref = big.join(small.select("token", "w"), "token")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        j = hot_key_join(big, small, "token", "n_rows", hot_n=3)
+        assert j.exceptAll(ref.select(*j.columns)).count() == 0
+        assert ref.select(*j.columns).exceptAll(j).count() == 0
+        left = hot_key_join(big, small, "token", "n_rows", hot_n=3, how="left")
+        assert left.count() == big.count()
+        sizes = [r["n"] for r in j.groupBy(F.spark_partition_id().alias("p"))
+                 .agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert max(sizes) < 2 * (sum(sizes) / len(sizes)), sizes
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
