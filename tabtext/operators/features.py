@@ -130,17 +130,18 @@ def categories(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS)
     """Sorted distinct non-null categories per column.
 
     The category lists become column names, so they must live on the driver; they
-    are bounded by the number of levels, not by the row count.  The levels are
-    counted first (partial aggregation), and a column above ``max_levels`` is
-    refused before anything is gathered."""
+    are bounded by the number of levels, not by the row count.  Two passes over
+    the table whatever the number of columns: the levels are counted first
+    (partial aggregation) and a column above ``max_levels`` is refused before
+    anything is gathered; then one aggregate collects every column's level set
+    (map-side partial sets, nulls skipped) sorted in the column's natural
+    order."""
     n = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
     wide = {c: n[c] for c in cols if n[c] > max_levels}
     if wide:
         raise ValueError(f"too many levels for dummies: {wide} (max_levels={max_levels})")
-    levels = {}
-    for c in cols:
-        levels[c] = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
-    return levels
+    sets = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
+    return {c: list(sets[c]) for c in cols}
 
 
 def dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
