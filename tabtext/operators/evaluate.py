@@ -50,10 +50,17 @@ def confusion(pred: DataFrame, label: str = "label", predicted: str = "predicted
             .select("label", "predicted_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
+MAX_PIVOT_LABELS = 10_000  # Spark's own default limit for pivot values
+
+
 def confusion_wide(pred: DataFrame, label: str = "label", predicted: str = "predicted_label") -> DataFrame:
     """EVA-1 pivot form: rows = true label, one column per predicted label."""
     cells = confusion(pred, label, predicted)
-    labels = [r[0] for r in label_universe(pred, label, predicted).collect()]  # k values
+    # The labels become column names, so they come to the driver: at most
+    # MAX_PIVOT_LABELS + 1 rows are fetched, and more labels are refused.
+    labels = [r[0] for r in label_universe(pred, label, predicted).limit(MAX_PIVOT_LABELS + 1).collect()]
+    if len(labels) > MAX_PIVOT_LABELS:
+        raise ValueError(f"more than {MAX_PIVOT_LABELS} labels: use the long form (confusion)")
     return (cells.groupBy("label").pivot("predicted_label", labels).agg(F.sum("n"))
             .orderBy("label"))
 
