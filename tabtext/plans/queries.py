@@ -21,7 +21,7 @@ from ..operators import evaluate as E
 from ..operators import features as FE
 from ..operators import joins as J
 from ..operators import topk as K
-from ..operators.common import scalars
+from ..operators.common import scalars, split_col
 from ..sources.tables import table
 from . import fixtures as X
 
@@ -177,8 +177,7 @@ def set_1(spark, sf):
 
 
 def _doc_split(spark, sf):
-    d = table(spark, sf, "documents").withColumn("split", F.when(F.col("doc_id") % 5 == 0, "valid")
-                                                 .otherwise("train"))
+    d = table(spark, sf, "documents").withColumn("split", split_col("doc_id"))
     return FE.resplit(d)
 
 
@@ -864,7 +863,7 @@ def jon_4(spark, sf):
 @query("mod_15_linear_embeddings")
 def mod_15b(spark, sf):
     e = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("key"), F.when(F.col("vec_id") % 5 == 0, "valid").otherwise("train").alias("split"),
+        F.col("vec_id").alias("key"), split_col("vec_id").alias("split"),
         "embedding", "label")
     return _jobs().run_embedding_classifier(e)
 
