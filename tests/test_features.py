@@ -106,3 +106,17 @@ def test_softmax_logit(spark):
     z = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "p double").select(logit("p").alias("l")).collect()
     assert [x["l"] for x in z] == [None, 0.0, None]
     assert math.isclose(spark.range(1).select(logit(F.lit(0.75))).first()[0], math.log(3))
+
+
+def test_encode_ids_keeps_documents_without_tokens(spark):
+    """FEA-10: a document with no tokens gives all-zero ids and mask (kept by
+    ``posexplode_outer``, no join back to the documents)."""
+    from tabtext.operators.features import encode_ids
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, "!! ?"), (3, "")], "key long, sentence string")
+    vocab = spark.createDataFrame([("alpha", 0), ("beta", 1)], "term string, term_id int")
+    got = {r["key"]: (r["ids"], r["mask"]) for r in encode_ids(docs, vocab, max_len=4).collect()}
+    assert got[1] == ([1, 2, 1, 0], [1, 1, 1, 0])
+    assert got[2] == ([0, 0, 0, 0], [0, 0, 0, 0])
+    assert got[3] == ([0, 0, 0, 0], [0, 0, 0, 0])
+    plan = encode_ids(docs, vocab, max_len=4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
