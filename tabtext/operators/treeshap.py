@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-MAX_NODES = 5_000_000
+# Nodes of one fitted ensemble that may be gathered and broadcast: the
+# reference's largest forest (100 trees, depth 10) has at most 100 x 2,047
+# nodes; one million nodes of a few numbers each stay near 100 MB.
+MAX_NODES = 1_000_000
 # Upper bound on the attribution buffer (rows x used features x outputs) held
 # at once inside a Python worker; batches are cut into row chunks below it.
 MAX_PHI_CELLS = 20_000_000
