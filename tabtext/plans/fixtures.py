@@ -88,14 +88,17 @@ def fx_pred_zero(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fx_pred_reg(spark: SparkSession, sf: str) -> DataFrame:
-    """orders valid rows; predicted = train mean of ``o_totalprice`` per priority
-    (a five-row table, broadcast)."""
+    """orders valid rows; predicted = train mean of ``o_totalprice`` per priority.
+    Each priority holds a fifth of the rows, so the lookup is a hot-key join
+    (the train count per priority measures it): the priorities are broadcast
+    from a bounded list and no priority is gathered in one task."""
+    from ..operators.joins import hot_key_join
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     tagged = o.withColumn("split", split_col("o_orderkey"))
     means = (tagged.filter(F.col("split") == "train").groupBy("o_orderpriority")
-             .agg(F.avg("o_totalprice").alias("predicted_label")))
+             .agg(F.avg("o_totalprice").alias("predicted_label"), F.count(F.lit(1)).alias("n")))
     va = tagged.filter(F.col("split") == "valid")
-    return va.join(means, "o_orderpriority").select(
+    return hot_key_join(va, means, "o_orderpriority", "n").select(
         F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("label"), "predicted_label")
 
 

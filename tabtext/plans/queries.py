@@ -96,9 +96,9 @@ def _text_reg_pred(spark, sf) -> DataFrame:
     """Fixed predictions for FX-TEXT-REG valid rows: train mean label per language."""
     f = X.fx_text_reg(spark, sf)
     tr, va = FE.resplit(f)
-    means = tr.groupBy("lang").agg(F.avg("label").alias("predicted_label"))
-    # One row per language: AQE measures it and broadcasts it at run time.
-    return va.join(means, "lang", "left")
+    means = tr.groupBy("lang").agg(F.avg("label").alias("predicted_label"), F.count(F.lit(1)).alias("n"))
+    # A language holds a large share of the rows: hot-key lookup.
+    return J.hot_key_join(va, means, "lang", "n", how="left")
 
 
 @query("prj_5_predictions_reg_text")
@@ -588,8 +588,8 @@ def eva_10(spark, sf):
     stats = FE.minmax_fit(tr, "label")
     trs = FE.minmax_transform(tr, "label", stats)
     vas = FE.minmax_transform(va, "label", stats)
-    means = trs.groupBy("lang").agg(F.avg("label").alias("predicted_label"))
-    pred = vas.join(means, "lang", "left")
+    means = trs.groupBy("lang").agg(F.avg("label").alias("predicted_label"), F.count(F.lit(1)).alias("n"))
+    pred = J.hot_key_join(vas, means, "lang", "n", how="left")
     back = FE.minmax_inverse(pred, ["label", "predicted_label"], stats)
     m = E.regression_metrics(back)
     return rounded(m.select("n", "mse", "mae", "rmse", "r2"), {"mse": 3, "mae": 6, "rmse": 6, "r2": P9})
