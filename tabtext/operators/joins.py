@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, UserDefinedType
 
 from .common import bounded_broadcast
 
@@ -68,8 +69,12 @@ def hot_key_join(big: DataFrame, small: DataFrame, on: str, freq: str, hot_n: in
     # One struct key (key or NULL, spread bucket): the optimizer cannot fold the
     # cold side's constant bucket out of it, so the shuffle join partitions on
     # both parts and the matched rows stay spread.
+    # Spread by a hash of the row's atomic columns (deterministic, so a
+    # recomputed task routes its rows the same way; vectors and arrays skipped).
+    atomic = [f.name for f in big.schema.fields
+              if not isinstance(f.dataType, (ArrayType, MapType, StructType, UserDefinedType))] or big.columns
     b = b.select("*", F.struct(F.when(~is_hot, F.col(on)).alias("k"),
-                               F.when(is_hot, F.xxhash64(*big.columns).bitwiseAND(F.lit(spread - 1)))
+                               F.when(is_hot, F.xxhash64(*atomic).bitwiseAND(F.lit(spread - 1)))
                                .otherwise(F.lit(0)).cast("int").alias("s")).alias("__k"))
     cold = small.select(F.struct(F.col(on).alias("k"), F.lit(0).alias("s")).alias("__k"),
                         *[F.col(c).alias(f"__c_{c}") for c in vals], F.lit(True).alias("__cold"))
