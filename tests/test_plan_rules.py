@@ -106,3 +106,16 @@ def test_hot_key_join_is_exact_and_balanced(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_attribution_fixture_shuffles_text_once(spark):
+    """Weights and attributions read one key-partitioned text exchange: the
+    executed plan has one text repartition and reuses it."""
+    from tabtext.plans.fixtures import fx_attr
+    df = fx_attr(spark, SF001)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and "REPARTITION_BY_COL" in final
+    text_exchanges = [l for l in final.split("\n") if "REPARTITION_BY_COL" in l and "ReusedExchange" not in l]
+    assert len(text_exchanges) == 1, text_exchanges
