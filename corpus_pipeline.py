@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabtext.llm import exact_dedup, mixing, packing, quality_qda
+from tabtext.llm import exact_dedup, mixing, ngram_join, packing, quality_qda
 from tabtext.llm.common import written
 from tabtext.llm.queries import tokenizer_path
 from tabtext.sources.tables import table
@@ -24,6 +24,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.keep_last(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies."""
+    return ngram_join.keep_first(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it."""
     return mixing.mix(docs)
@@ -34,8 +39,8 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("quality_classifier", quality), ("exact_dedup", exact_copies), ("mixing", mixture),
-          ("best_fit_packing", sequences)]
+STAGES = [("quality_classifier", quality), ("exact_dedup", exact_copies), ("ngram_jaccard_join", near_copies),
+          ("mixing", mixture), ("best_fit_packing", sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import exact_dedup, mixing, packing, quality_qda, quality_rules, sql
+from . import exact_dedup, mixing, ngram_join, packing, quality_qda, quality_rules, sql
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op4_quality_qda, op6_quality_rules, op8_exact_dedup, op10_best_fit_packing)}
+    f.__name__: f for f in (op1_ngram_join, op2_mixing, op4_quality_qda, op6_quality_rules, op8_exact_dedup, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {"op2_mixing": sql.OP2, "op8_exact_dedup": sql.OP8}
