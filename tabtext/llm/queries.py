@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import exact_dedup, mixing, ngram_join, packing, quality_qda, quality_rules, sql
+from . import exact_dedup, licenses, mixing, ngram_join, packing, quality_qda, quality_rules, secrets, sql, token_matrix, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,23 +24,40 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_matrix.write_matrices(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_findings(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_mixing, op4_quality_qda, op6_quality_rules, op8_exact_dedup, op10_best_fit_packing)}
+    f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_warc, op4_quality_qda, op5_license_scan,
+        op6_quality_rules, op7_token_matrices, op8_exact_dedup, op9_secret_scan, op10_best_fit_packing)}
 
-SQL: dict[str, str] = {"op2_mixing": sql.OP2, "op8_exact_dedup": sql.OP8}
+SQL: dict[str, str] = {"op2_mixing": sql.OP2, "op5_license_scan": sql.OP5, "op8_exact_dedup": sql.OP8}

@@ -53,3 +53,26 @@ WITH h AS (SELECT doc_id, sha256({LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
 FROM h WINDOW g AS (PARTITION BY text_sha256)"""
+
+
+def _op5() -> str:
+    from .licenses import COPYRIGHT_LINE, SPELLINGS, digests
+    q = lambda s: s.replace("'", "''")
+    c = f"regexp_replace({LOWER}, '{q(COPYRIGHT_LINE)}', '', 'g')"
+    for old, new in SPELLINGS:
+        c = f"replace({c}, '{q(old)}', '{q(new)}')"
+    c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    known = ", ".join(f"('{v}', '{k}')" for k, v in digests().items())
+    return f"""
+WITH known(text_digest, license_id) AS (VALUES {known}),
+c AS (SELECT doc_id, row_number() OVER () AS r, {c} AS c FROM documents),
+hit AS (
+  SELECT r, k.license_id AS notice
+  FROM (SELECT r, sha256(trim(unnest(string_split(c, chr(10))))) AS d FROM c) l JOIN known k ON k.text_digest = l.d),
+found AS (SELECT r, count(*) AS n, string_agg(DISTINCT notice, ',' ORDER BY notice) AS ids FROM hit GROUP BY r),
+whole AS (SELECT doc_id, r, sha256(trim(regexp_replace(c, '[ \\n]+', ' ', 'g'))) AS text_digest FROM c)
+SELECT doc_id, whole.text_digest, license_id, coalesce(n, 0) AS n_notices, coalesce(ids, '') AS notice_ids
+FROM whole LEFT JOIN known USING (text_digest) LEFT JOIN found ON whole.r = found.r"""
+
+
+OP5 = _op5()
