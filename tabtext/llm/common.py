@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -29,10 +27,6 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def rows_in(df: DataFrame) -> int:
-    return df.count()
-
-
 def attach(rows: DataFrame, groups: DataFrame, key: str, freq: str, total: int, how: str = "left") -> DataFrame:
     """Equi-join of ``rows`` with ``groups`` (one row per key, ``freq`` = its rows), safe for hot keys.
 
@@ -50,9 +44,13 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, freq: str, total: int,
     return done.unionByName(rest)
 
 
-def table_or_empty(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named ``__c0, __c1, ...``, and their names by column: no helper column of an
+    operator can clash with one of the caller's."""
+    names = [f"__c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
 
 
-def keep_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in names])
+def own_names(df: DataFrame, at: dict[str, str]) -> DataFrame:
+    """The caller's columns under their own names."""
+    return df.select(*[F.col(n).alias(c) for c, n in at.items()])

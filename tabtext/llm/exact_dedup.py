@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, lower_ascii, written
+from .common import attach, lower_ascii, own_names, plain_names, written
 
 BITS_PER_ROW = 16
 MAX_BROADCAST_WORDS = 1 << 20
@@ -98,11 +98,19 @@ def mark_duplicates(rows: DataFrame, keys: DataFrame, doc_id: str = "doc_id") ->
     return both.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
 
 
+def _marked(inner: DataFrame, doc_id: str, text: str) -> DataFrame:
+    keys = written(inner.select(F.col(doc_id).alias("__id"), text_key(text).alias("__key")), "dedup-keys")
+    return mark_duplicates(inner.withColumns({"__key": text_key(text), "__id": F.col(doc_id)}), keys, "__id")
+
+
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows with their columns and ``keep_id, group_size, kept, text_sha256``."""
-    keys = written(docs.select(F.col(f"`{doc_id}`").alias("__id"), text_key(text).alias("__key")), "dedup-keys")
-    out = mark_duplicates(docs.withColumn("__key", text_key(text)).withColumn("__id", F.col(f"`{doc_id}`")), keys, "__id")
-    return out.withColumn("text_sha256", F.lower(F.hex("__key"))).drop("__key", "__id")
+    """All rows with their columns and ``keep_id, group_size, kept, text_sha256``; a column of the input with one of
+    these four names is replaced."""
+    inner, at = plain_names(docs)
+    out = _marked(inner, at[doc_id], at[text])
+    new = {"keep_id": F.col("keep_id"), "group_size": F.col("group_size"), "kept": F.col("kept"),
+           "text_sha256": F.lower(F.hex("__key"))}
+    return out.select(*[F.col(n).alias(c) for c, n in at.items() if c not in new], *[v.alias(c) for c, v in new.items()])
 
 
 def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,6 +121,7 @@ def dedup_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                       F.lower(F.hex("__key")).alias("text_sha256"))
 
 
-def keep_last(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns."""
-    return exact_dedup(docs).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_last(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that stay, with their columns.  Rows with equal texts and equal ids all stay."""
+    inner, at = plain_names(docs)
+    return own_names(_marked(inner, at[doc_id], at[text]).filter("kept"), at)

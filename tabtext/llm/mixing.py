@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, own_names, plain_names, written
 
 WEIGHTS = (3, 1, 2)
 SHARE_PCT = 150
@@ -138,9 +138,6 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """The mixture itself: every document as many times as it is taken, with its columns.  No text is shuffled
     while the sources' plan may be broadcast."""
     plan = mix_plan(_sizes(docs, doc_id, text, source), seed, **how)
-    names = [f"__c{i}" for i in range(len(docs.columns))]
-    at = dict(zip(docs.columns, names))
-    inner = docs.toDF(*names).withColumn("__size", n_words(at[text]))
-    out = with_copies(inner, plan, at[doc_id], at[source], "__size", seed).filter("copies > 0")
-    return (out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-            .select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)]))
+    inner, at = plain_names(docs)
+    out = with_copies(inner.withColumn("__size", n_words(at[text])), plan, at[doc_id], at[source], "__size", seed)
+    return own_names(out.filter("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), at)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import attach, written
+from .common import attach, own_names, plain_names, written
 from .components import connected_components
 
 GRAM = 5
@@ -254,11 +254,12 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                       F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest id (all, if several rows have that id), with its
-    columns.  Documents that share no id with a component, null ids included, stay."""
-    out = ngram_components(docs.select("doc_id", "text"))
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id, with its columns.  Rows with that id all stay, and
+    so do rows without an id."""
+    out = ngram_components(docs, doc_id, text)
     gone = written(out.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")), "ngram-gone")
     if gone.count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    inner, at = plain_names(docs)
+    return own_names(inner.join(gone, F.col(at[doc_id]) == F.col("__gone"), "left_anti"), at)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import written
+from .common import own_names, plain_names, written
 from .quality_rules import LOWER, SHOUT, SYMBOLS, UPPER, Run
 
 DIGITS = ts.lut(b"0123456789")
@@ -77,25 +77,20 @@ def statistics(r: Run) -> np.ndarray:
     ], axis=1)
 
 
-def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
-                        ) -> DataFrame:
-    """``doc_id`` (and the columns of ``keep``, unchanged) with the array ``x`` of transformed statistics."""
-    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *[F.col(f"`{c}`") for c in keep],
-                         F.col(f"`{text}`").cast("string").alias("__text"))
-    fields = [f for f in narrow.schema.fields if f.name != "__text"]
+def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` with the array ``x`` of transformed statistics."""
+    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def task(batches):
         for batch in batches:
-            for first, data, offs in ts.text_runs(batch.column("__text")):
+            for first, data, offs in ts.text_runs(batch.column("text")):
                 x = statistics(Run(data, offs))
-                flat = pa.array(x.ravel(), pa.float64())
                 ends = pa.array(np.arange(0, x.size + 1, len(FEATURES)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(f.name).slice(first, len(x)) for f in fields),
-                     pa.ListArray.from_arrays(ends, flat)], names=[*(f.name for f in fields), "x"])
+                    [batch.column("doc_id").slice(first, len(x)), pa.ListArray.from_arrays(ends, pa.array(x.ravel(), pa.float64()))],
+                    names=["doc_id", "x"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "x array<double>"])
-    return narrow.mapInArrow(task, schema)
+    return narrow.mapInArrow(task, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -153,48 +148,42 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                   threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted``; learned from the labelled rows not held out."""
+def learned(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Discriminant]:
+    """The written statistics of all documents, and the discriminant fitted on the labelled ones not held out."""
     table = written(document_statistics(docs, doc_id, text), "qda-statistics")
-    marks = labels.select(F.col("doc_id"), F.col("quality").alias("label")).filter("doc_id is not null")
-    model = fit(table.filter(~held_out()).join(marks, "doc_id"))
-    return score_table(table.withColumn("held_out", held_out()), model, threshold).select(
-        "doc_id", "held_out", "score", "predicted")
+    marks = labels.select("doc_id", F.col("quality").alias("label")).filter("doc_id is not null")
+    return table, fit(table.filter(~held_out()).join(marks, "doc_id"))
 
 
-def score_table(table: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
-    """The table's columns without ``x``, then ``score`` and ``predicted``."""
-    fields = [f for f in table.schema.fields if f.name != "x"]
+def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                   threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: ``doc_id, held_out, score, predicted``; learned from the labelled rows not held out."""
+    table, model = learned(docs, labels, doc_id, text)
 
     def task(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             x = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, len(FEATURES))
             s = model.score(x)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in fields), pa.array(s), pa.array(s >= threshold).cast(pa.int32())],
-                names=[*(f.name for f in fields), "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s),
+                                              pa.array(s >= threshold).cast(pa.int32())],
+                                             names=["doc_id", "held_out", "score", "predicted"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double, predicted int"])
-    return table.mapInArrow(task, schema)
+    id_type = table.schema["doc_id"].dataType.simpleString()
+    return table.withColumn("held_out", held_out()).select("doc_id", "held_out", "x").mapInArrow(
+        task, f"doc_id {id_type}, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, with their columns: statistics and text travel
-    through one scan, so no text is shuffled and documents without an id are judged as well."""
-    table = written(document_statistics(docs.select("doc_id", "text"), "doc_id", "text"), "qda-statistics")
-    marks = labels.select(F.col("doc_id"), F.col("quality").alias("label")).filter("doc_id is not null")
-    model = fit(table.filter(~held_out()).join(marks, "doc_id"))
-    fields = docs.schema.fields
-    narrow = docs.withColumn("__text", F.col("text").cast("string"))
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
+              threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score reaches the threshold, with their columns.  The second scan judges every row by its
+    own text, so no text is shuffled and rows without an id are judged as well."""
+    _, model = learned(docs, labels, doc_id, text)
+    inner, at = plain_names(docs)
 
     def task(batches):
         for batch in batches:
             for first, data, offs in ts.text_runs(batch.column("__text")):
                 ok = model.score(statistics(Run(data, offs))) >= threshold
-                part = batch.slice(first, len(ok)).select([f.name for f in fields])
-                yield part.filter(pa.array(ok))
+                yield batch.slice(first, len(ok)).select(list(at.values())).filter(pa.array(ok))
 
-    return narrow.mapInArrow(task, docs.schema)
+    return own_names(inner.withColumn("__text", F.col(at[text]).cast("string")).mapInArrow(task, inner.schema), at)

@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives (operator 9).
 
-Candidates are words of 8 characters or more with two digits or more (found vectorised in whole texts, quotes and
-punctuation around them stripped).  Their features: length, shares and transitions of character classes, entropy, how
+Candidates are words of 8 characters or more with two digits or more, or with 12 capitals or more and no small letter
+(found vectorised in whole texts, quotes and punctuation around them stripped).  Their features: length, shares and transitions of character classes, entropy, how
 surprising their neighbouring characters are in the corpus's words, how much of them dictionary words cover, the path
 (``source``) they come from, and hashes of the neighbouring words.  The dictionary and the character transitions are counted over
 all documents.
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .common import written
 
-MIN_LENGTH, MIN_DIGITS = 8, 2
+MIN_LENGTH, MIN_DIGITS, MIN_CAPITALS = 8, 2, 12
 DICTIONARY_WORDS = 50_000
 TRAIN_ROWS = 20_000
 SEED = 5
 TREES, DEPTH = 40, 8
 THRESHOLD = 0.5
-DIGIT = ts.lut(b"0123456789")
+DIGIT, CAPITAL, SMALL = ts.lut(b"0123456789"), ts.lut(bytes(range(65, 91))), ts.lut(bytes(range(97, 123)))
 STRIP = "\"'`()[]{}<>,;.!?"
 CONTEXT_BUCKETS = 32
 
@@ -124,6 +124,12 @@ def _features(word: bytes, raw: bytes, before: bytes, after: bytes, path: str |
             *(float((kind == k).mean()) for k in range(4)), *near[0], *near[1]]
 
 
+def _inside(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """How many bytes of the table each word has."""
+    at = np.flatnonzero(table[data])
+    return np.searchsorted(at, ends) - np.searchsorted(at, starts)
+
+
 def candidates(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text",
                path: str = "source") -> DataFrame:
     """``doc_id, start, candidate, before, x``: every candidate with its byte offset and features."""
@@ -139,8 +145,8 @@ def candidates(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], doc_id: st
             paths = batch.column("path")
             for first, data, offs in ts.text_runs(batch.column("text")):
                 starts, ends, wb = ts.words(data, offs)
-                digits = np.flatnonzero(DIGIT[data])
-                many = np.searchsorted(digits, ends) - np.searchsorted(digits, starts) >= MIN_DIGITS
+                many = (_inside(data, starts, ends, DIGIT) >= MIN_DIGITS) | (
+                    _inside(data, starts, ends, CAPITAL) >= MIN_CAPITALS) & (_inside(data, starts, ends, SMALL) == 0)
                 doc = ts.doc_of(wb)
                 for k in np.flatnonzero(many & (ends - starts >= MIN_LENGTH)):
                     raw = data[starts[k]:ends[k]].tobytes()
