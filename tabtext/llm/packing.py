@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_tasks, written
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -113,7 +113,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part long, nth long" + ", ids array<int>" * with_ids
-    return narrow.mapInArrow(task, schema)
+    return in_tasks(narrow, task, schema)
 
 
 # -- packing --------------------------------------------------------------------------------------
@@ -226,7 +226,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                                              names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join([*(f"`{n}` {types[n]}" for n in names), "sequence_id long, offset long"])
-    return ranked.select(*names, "rank").mapInArrow(task, schema)
+    return in_tasks(ranked.select(*names, "rank"), task, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id",

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import own_names, plain_names, written
+from .common import in_tasks, own_names, plain_names, written
 from .quality_rules import LOWER, SHOUT, SYMBOLS, UPPER, Run
 
 DIGITS = ts.lut(b"0123456789")
@@ -90,7 +90,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
                     [batch.column("doc_id").slice(first, len(x)), pa.ListArray.from_arrays(ends, pa.array(x.ravel(), pa.float64()))],
                     names=["doc_id", "x"])
 
-    return narrow.mapInArrow(task, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return in_tasks(narrow, task, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -169,8 +169,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
                                              names=["doc_id", "held_out", "score", "predicted"])
 
     id_type = table.schema["doc_id"].dataType.simpleString()
-    return table.withColumn("held_out", held_out()).select("doc_id", "held_out", "x").mapInArrow(
-        task, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    return in_tasks(
+        table.withColumn("held_out", held_out()).select("doc_id", "held_out", "x"), task,
+        f"doc_id {id_type}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -186,4 +187,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
                 ok = model.score(statistics(Run(data, offs))) >= threshold
                 yield batch.slice(first, len(ok)).select(list(at.values())).filter(pa.array(ok))
 
-    return own_names(inner.withColumn("__text", F.col(at[text]).cast("string")).mapInArrow(task, inner.schema), at)
+    return own_names(in_tasks(inner.withColumn("__text", F.col(at[text]).cast("string")), task, inner.schema), at)

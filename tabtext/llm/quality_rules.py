@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .common import in_tasks
 
 SYMBOLS = ts.lut(b"#*$%&|<>")
 UPPER = ts.lut(bytes(range(65, 91)))
@@ -161,7 +162,7 @@ def measure(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
                                          schema=pa.schema([("k", pa.int32()), ("s", pa.float64()),
                                                            ("hits", pa.int64()), ("n", pa.int64())]))
 
-    got = (part.mapInArrow(task, "k int, s double, hits long, n long").groupBy("k")
+    got = (in_tasks(part, task, "k int, s double, hits long, n long").groupBy("k")
            .agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect())
     by = {r["k"]: r for r in got}
     return [(r.name, by[k]["s"] / max(1, by[k]["n"]), by[k]["hits"] / max(1, by[k]["n"])) if k in by
@@ -209,4 +210,4 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
                 [batch.column("doc_id").slice(first, run.n), *(pa.array(c, t) for c, (_, t) in zip(cols, ARROW))],
                 names=["doc_id", *(n for n, _ in ARROW)])
 
-    return narrow.mapInArrow(task, f"doc_id {id_type}, {SCHEMA}")
+    return in_tasks(narrow, task, f"doc_id {id_type}, {SCHEMA}")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import written
+from .common import in_tasks, written
 
 MIN_LENGTH, MIN_DIGITS, MIN_CAPITALS = 8, 2, 12
 DICTIONARY_WORDS = 50_000
@@ -85,7 +85,7 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                  pa.array(np.concatenate([h.view(np.int64), at])), pa.array(np.concatenate([n, pairs[at]]))],
                 names=["kind", "code", "n"])
 
-    return narrow.mapInArrow(task, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    return in_tasks(narrow, task, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
 def dictionary(counts: DataFrame, words: int = DICTIONARY_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ def candidates(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], doc_id: st
                     [batch.column("doc_id").take(pa.array(rows)), pa.array(start, pa.int64()), pa.array(word), pa.array(before),
                      pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "start", "candidate", "before", "x"])
 
-    return narrow.mapInArrow(task, f"doc_id {id_type}, start long, candidate string, before string, x array<double>")
+    return in_tasks(narrow, task, f"doc_id {id_type}, start long, candidate string, before string, x array<double>")
 
 
 def rule_labels() -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_tasks, written
 from .files import read_stream, shared_folder, write_bytes
 from .packing import CAPACITY, encode, pieces_of
 
@@ -158,4 +158,4 @@ def write_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, bl
             yield closed(pa.concat_arrays(known), meta, pieces)
 
     schema = (f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, file string, row long, offset long")
-    return written(narrow.mapInArrow(task, schema), "token-manifest")
+    return written(in_tasks(narrow, task, schema), "token-manifest")

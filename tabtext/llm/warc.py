@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, written
+from .common import attach, in_tasks, written
 from .files import opened, read_stream, shared_folder
 
 MIN_BYTES = 0
@@ -209,7 +209,7 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, archive_bytes:
             out.close()
             yield _listed(uri, n, size)
 
-    return written(rows.mapInArrow(task, "uri string, records long, bytes long"), "warc-archives")
+    return written(in_tasks(rows, task, "uri string, records long, bytes long"), "warc-archives")
 
 
 def _listed(uri: str, n: int, size: int) -> pa.RecordBatch:
@@ -243,7 +243,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     files = max(1, archives.count())
     schema = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
               + ", payload binary" * with_payload)
-    return archives.select("uri").repartition(files).mapInArrow(task, schema)
+    return in_tasks(archives.select("uri").repartition(files), task, schema)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
