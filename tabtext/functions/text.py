@@ -6,6 +6,8 @@ functions and ``size``; no Python runs per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # English stop words. This is Spark ML's own default English list
 # (``StopWordsRemover.loadDefaultStopWords('english')``), written out so that the
 # Spark jobs and the SQL oracle use the very same words.
-ENGLISH_STOP_WORDS = tuple("""
+_ENGLISH = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
 she her hers herself it its itself they them their theirs themselves what which who whom this
 that these those am is are was were be been being have has had having do does did doing a an
@@ -28,7 +30,10 @@ they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they'r
 you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't
 wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's
 there's what's when's where's who's why's would
-""".split())
+"""
+
+# A contraction never survives the word pattern; its pieces of two characters or more do, and are the stop words.
+ENGLISH_STOP_WORDS = tuple(sorted({p for w in _ENGLISH.split() for p in re.findall(r"\w{2,}", w)}))
 
 
 def _col(c) -> Column:

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_blanks
-from .common import bounded_broadcast
 from .joins import hot_key_join
 from .topk import top_tokens
 
@@ -33,14 +32,13 @@ def linear_token_weights(terms: DataFrame, label: str = "label", pos: int = 1, n
     ``fit`` (e.g. ``split = 'train'``) selects the fitting rows inside the
     aggregation rather than by a filter before it: the weights then read the
     same token stream as the attributions of all documents (one shuffle of the
-    text, reused), instead of a second, filtered copy.  Tokens that never occur
-    in a fitting row get no weight."""
+    text, reused), instead of a second, filtered copy.  A token that never occurs
+    in a fitting row has both counts 0 and so the weight ln(1) = 0."""
     sel = fit if fit is not None else F.lit(True)
     n = lambda c: F.sum(F.when(sel & (F.col(label) == c), F.col("tf")).otherwise(0))
     return (terms.groupBy(F.col("term").alias("token"))
             .agg(F.log((n(pos) + F.lit(1.0)) / (n(neg) + F.lit(1.0))).alias("w"),
-                 F.count(F.lit(1)).alias("n_rows"), F.max(sel.cast("int")).alias("__fit"))
-            .filter(F.col("__fit") == 1).drop("__fit"))
+                 F.count(F.lit(1)).alias("n_rows")))
 
 
 def linear_token_attributions(terms: DataFrame, weights: DataFrame, classes: Sequence[int] = (0, 1),
@@ -48,7 +46,8 @@ def linear_token_attributions(terms: DataFrame, weights: DataFrame, classes: Seq
     """XPL-3 for a linear scorer in logit space, exact: with the empty text as
     background, the Shapley value of a token is its weight times its count.
     Binary: ``+w*tf`` for the positive class, ``-w*tf`` for the other.  One row
-    per (document, distinct token, class); tokens without a weight are dropped.
+    per (document, distinct token, class); a token unseen in the fitting rows has
+    weight 0 and keeps its rows.
 
     A stop-word-like token may occur in most documents, so the token join is a
     ``hot_key_join``: the ``hot_n`` most frequent tokens (by ``n_rows`` of the
@@ -117,13 +116,13 @@ def top_token_table(attr: DataFrame, num_appear: int = 3, top_n: int = 10,
 def token_summary(attr: DataFrame, num_appear: int = 3, top_n: int = 10,
                   exclude: Sequence[str] = ()) -> DataFrame:
     """XPL-5: the points behind the summary plot: attribution rows of each class's
-    top tokens, with the token's rank (JON-1 semi join on a broadcast list of at
-    most ``top_n`` x classes rows)."""
+    top tokens, with the token's rank (JON-1: semi join with the list of ``top_n``
+    x classes tokens)."""
     clean = clean_tokens(attr, exclude)
     top = top_token_table(attr, num_appear, top_n, exclude).select("class", "token", "token_rank")
-    # Inner join = semi join + the rank column; the right side has at most
-    # top_n rows per class.
-    return clean.join(bounded_broadcast(top, top_n * 10_000), ["class", "token"])
+    # Inner join = semi join + the rank column.  The list has top_n rows per class; how many
+    # classes there are is data, so AQE measures it before it broadcasts.
+    return clean.join(top, ["class", "token"])
 
 
 def occlusion_attributions(df: DataFrame, scorer, key: str = "key", text: str = "sentence",

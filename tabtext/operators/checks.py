@@ -96,12 +96,13 @@ def missing_codes(df: DataFrame, col: str) -> DataFrame:
 def target_stats(df: DataFrame, col: str) -> DataFrame:
     """One aggregate pass: count, nulls, min, max, distinct count."""
     return df.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count(col)).alias("n_null"),
-                  F.min(col).cast("double").alias("min_value"), F.max(col).cast("double").alias("max_value"),
+                  F.min(col).alias("min_value"), F.max(col).alias("max_value"),
                   F.count_distinct(col).alias("n_distinct"))
 
 
 def validate_target(df: DataFrame, col: str = "target") -> DataFrame:
-    """VAL-2: one row ``(ok, rule, min_value, max_value, n_missing)``.
+    """VAL-2: one row ``(ok, rule, min_value, max_value, n_missing)``; the extreme values as text, as
+    the column's type holds them (a double would round integers above 2**53).
 
     Rules in order, the first failing one is reported: ``exists`` (column
     present), ``integer`` (integral type, no null), ``min`` (min = 0), ``gap``
@@ -110,15 +111,17 @@ def validate_target(df: DataFrame, col: str = "target") -> DataFrame:
     spark = df.sparkSession
     if not has_column(df, col):
         return spark.range(1).select(F.lit(False).alias("ok"), F.lit("exists").alias("rule"),
-                                     F.lit(None).cast("double").alias("min_value"),
-                                     F.lit(None).cast("double").alias("max_value"),
+                                     F.lit(None).cast("string").alias("min_value"),
+                                     F.lit(None).cast("string").alias("max_value"),
                                      F.lit(None).cast("bigint").alias("n_missing"))
     integral = is_integer_type(df, col)
     s = target_stats(df, col)
-    n_missing = (F.col("max_value") - F.col("min_value") + 1 - F.col("n_distinct")).cast("bigint")
+    # Exact for every integer type: the span of a bigint column needs more than 64 bits.
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    n_missing = (wide("max_value") - wide("min_value") + 1 - wide("n_distinct")).try_cast("bigint")
     rule = (F.when(~F.lit(integral) | (F.col("n_null") > 0), F.lit("integer"))
             .when(F.col("min_value") != 0, F.lit("min"))
             .when(n_missing > 0, F.lit("gap")))
     return s.select(rule.isNull().alias("ok"), F.coalesce(rule, F.lit("ok")).alias("rule"),
-                    "min_value", "max_value",
+                    F.col("min_value").cast("string").alias("min_value"), F.col("max_value").cast("string").alias("max_value"),
                     F.when(F.lit(integral), n_missing).alias("n_missing"))

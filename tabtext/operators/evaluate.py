@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sign
+from ..session import written_table
 from .common import scalars
 
 
@@ -39,13 +40,19 @@ def label_universe(pred: DataFrame, label: str = "label", predicted: str = "pred
 def confusion(pred: DataFrame, label: str = "label", predicted: str = "predicted_label",
               counts: DataFrame | None = None) -> DataFrame:
     """EVA-1 (long form) / EVA-11 heat-map cells: every (true, predicted) pair of
-    the label universe with its count, zeros included.  The grid is built from
-    the k-element universe array (k*k rows, the size of the matrix itself)."""
+    the label universe with its count, zeros included.  The grid is a distributed
+    range of k*k numbers (the size of the matrix itself), decoded by two lookups
+    of the label codes; no task holds all labels."""
+    from .features import label_mapping
     c = counts if counts is not None else pair_counts(pred, label, predicted)
-    u = c.select("label").union(c.select(F.col("predicted_label").alias("label"))).distinct()
-    grid = (u.agg(F.array_sort(F.collect_list("label")).alias("u"))
-            .select(F.explode("u").alias("label"), "u")
-            .select("label", F.explode("u").alias("predicted_label")))
+    c = written_table(c, "pair-counts")
+    u = c.select("label").union(c.select(F.col("predicted_label").alias("label")))
+    codes = label_mapping(u, "label")
+    k = codes.count()
+    cells = pred.sparkSession.range(k * k).select(F.floor(F.col("id") / F.lit(max(1, k))).cast("int").alias("i"),
+                                                  (F.col("id") % F.lit(max(1, k))).cast("int").alias("j"))
+    grid = (cells.join(codes.select(F.col("code").alias("i"), F.col("value").alias("label")), "i")
+            .join(codes.select(F.col("code").alias("j"), F.col("value").alias("predicted_label")), "j"))
     return (grid.join(c, ["label", "predicted_label"], "left")
             .select("label", "predicted_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
@@ -142,61 +149,32 @@ def collapsed_summary(pred: DataFrame, label: str = "label", predicted: str = "p
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", predicted: str = "predicted_label") -> DataFrame:
-    """EVA-8/9: MSE, MAE, RMSE, R^2 and 1/MSE in one pass plus a one-row mean.
+    """EVA-8/9: MSE, MAE, RMSE, R^2 and 1/MSE in one pass.
 
-    ``R^2 = 1 - SS_res / SS_tot`` with ``SS_tot = sum(y^2) - n * mean^2`` computed
-    from the same aggregate (no second scan); a constant label gives 1 if the fit
-    is perfect else 0."""
-    y = F.col(label).cast("double")
-    p = F.col(predicted).cast("double")
-    a = pred.filter(F.col(label).isNotNull() & F.col(predicted).isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.sum((p - y) * (p - y)).alias("ss_res"),
-        F.sum(F.abs(p - y)).alias("sae"), F.avg(y).alias("mean_y"),
-        F.sum(y * y).alias("syy"), F.sum(y).alias("sy"))
-    # Centered sum of squares from a second, tiny correction: sum((y-m)^2) = syy - sy*m.
-    ss_tot = F.col("syy") - F.col("sy") * F.col("mean_y")
-    mse = F.col("ss_res") / F.col("n")
-    return a.select(
-        F.col("n").cast("bigint").alias("n"), mse.alias("mse"), (F.col("sae") / F.col("n")).alias("mae"),
-        F.sqrt(mse).alias("rmse"),
-        F.when(ss_tot > 0, F.lit(1.0) - F.col("ss_res") / ss_tot)
-         .otherwise(F.when(F.col("ss_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("r2"),
-        F.try_divide(F.lit(1.0), mse).alias("inv_mse"))
+    ``R^2 = 1 - SS_res / SS_tot``; ``SS_tot`` is ``n`` times the population variance,
+    which Spark merges as centred moments, so large targets lose no digits.  A
+    constant label gives 1 if the fit is perfect else 0."""
+    return _regression(pred, [], label, predicted)
 
 
 def regression_metrics_by(pred: DataFrame, by: str, label: str = "label",
                           predicted: str = "predicted_label") -> DataFrame:
-    """EVA-8/9 per group (one row per model / run): ``(by, n, mse, mae, rmse, r2)``."""
-    y = F.col(label).cast("double")
-    p = F.col(predicted).cast("double")
-    a = pred.filter(F.col(label).isNotNull() & F.col(predicted).isNotNull()).groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum((p - y) * (p - y)).alias("ss_res"),
-        F.sum(F.abs(p - y)).alias("sae"), F.avg(y).alias("mean_y"), F.sum(y * y).alias("syy"),
-        F.sum(y).alias("sy"))
-    ss_tot = F.col("syy") - F.col("sy") * F.col("mean_y")
-    mse = F.col("ss_res") / F.col("n")
-    return a.select(by, F.col("n").cast("bigint").alias("n"), mse.alias("mse"),
-                    (F.col("sae") / F.col("n")).alias("mae"), F.sqrt(mse).alias("rmse"),
-                    F.when(ss_tot > 0, F.lit(1.0) - F.col("ss_res") / ss_tot)
-                    .otherwise(F.when(F.col("ss_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("r2"))
+    """EVA-8/9 per group (one row per model / run)."""
+    return _regression(pred, [by], label, predicted)
 
 
-def regression_metrics_exact(pred: DataFrame, label: str = "label",
-                             predicted: str = "predicted_label") -> DataFrame:
-    """Same as ``regression_metrics`` but with the centered ``SS_tot`` taken against
-    the mean as a scalar subquery (numerically robust for large targets)."""
+def _regression(pred: DataFrame, by: list[str], label: str, predicted: str) -> DataFrame:
     y = F.col(label).cast("double")
     p = F.col(predicted).cast("double")
-    base = pred.filter(F.col(label).isNotNull() & F.col(predicted).isNotNull())
-    m = scalars(base.agg(F.avg(y).alias("m")))["m"]
-    a = base.agg(
+    a = pred.filter(F.col(label).isNotNull() & F.col(predicted).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sum((p - y) * (p - y)).alias("ss_res"),
-        F.sum(F.abs(p - y)).alias("sae"), F.sum((y - m) * (y - m)).alias("ss_tot"))
+        F.sum(F.abs(p - y)).alias("sae"), F.var_pop(y).alias("var"))
+    ss_tot = F.col("var") * F.col("n")
     mse = F.col("ss_res") / F.col("n")
     return a.select(
-        F.col("n").cast("bigint").alias("n"), mse.alias("mse"), (F.col("sae") / F.col("n")).alias("mae"),
+        *by, F.col("n").cast("bigint").alias("n"), mse.alias("mse"), (F.col("sae") / F.col("n")).alias("mae"),
         F.sqrt(mse).alias("rmse"),
-        F.when(F.col("ss_tot") > 0, F.lit(1.0) - F.col("ss_res") / F.col("ss_tot"))
+        F.when(ss_tot > 0, F.lit(1.0) - F.col("ss_res") / ss_tot)
          .otherwise(F.when(F.col("ss_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("r2"),
         F.try_divide(F.lit(1.0), mse).alias("inv_mse"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH_STOP_WORDS, remove_stop, tokens
+from ..session import written_table
 from .common import bounded_broadcast, scalars
 
 META_COLS = ("key", "split")
@@ -58,13 +59,20 @@ def label_mapping(df: DataFrame, col: str, fit_on: DataFrame | None = None) -> D
     """FEA-5: ``(value, code)`` with codes 0..k-1 in the natural sort order of the
     values (numbers numerically, text as text; nulls are not classes).
 
-    The distinct set has one row per class; the rank window over it runs on that
-    small set only, after the distinct has been aggregated across the cluster.
+    The distinct values are range-partitioned and written once (train, validation and
+    decoding all read the same table); a code is the value's rank in its range plus
+    the sizes of the ranges before.  So no task sees all values, however many
+    classes there are; only the list of ranges goes through one ordered window.
     """
     src = (fit_on if fit_on is not None else df).select(F.col(col).alias("value"))
-    distinct = src.filter(F.col("value").isNotNull()).distinct()
-    return distinct.select("value", (F.row_number().over(Window.orderBy("value")) - 1)
-                           .cast("int").alias("code"))
+    values = src.filter(F.col("value").isNotNull()).distinct().repartitionByRange("value")
+    ranged = written_table(values.withColumn("__range", F.spark_partition_id()), "label-values")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy("value"))
+    return written_table(ranged.withColumn("__rank", rank).join(offsets, "__range").select(
+        "value", (F.col("__base") + F.col("__rank") - 1).cast("int").alias("code")), "label-codes")
 
 
 def encode_labels(df: DataFrame, col: str, mapping: DataFrame, out: str = "code",
@@ -94,8 +102,11 @@ def decode_labels(df: DataFrame, code_col: str, mapping: DataFrame, out: str) ->
 
 def missing_labels(tr: DataFrame, va: DataFrame, col: str) -> DataFrame:
     """SET-5: labels present in the pair but absent from train."""
-    allv = tr.select(col).unionByName(va.select(col)).filter(F.col(col).isNotNull())
-    return allv.subtract(tr.select(col))
+    # One aggregation instead of an anti join: map-side it leaves one row per class and
+    # task, so no class, however frequent, sends its rows to one place.
+    both = tr.select(col, F.lit(1).alias("__in_train")).unionByName(va.select(col, F.lit(0).alias("__in_train")))
+    return (both.filter(F.col(col).isNotNull()).groupBy(col).agg(F.max("__in_train").alias("__in_train"))
+            .filter("__in_train = 0").select(col))
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -108,7 +119,9 @@ def impute_missing_classes(tr: DataFrame, va: DataFrame, target: str,
     """FEA-7: append one row of *train* feature means for every label present in the
     pair but absent from train.  Appending a mean row leaves the means unchanged,
     so all missing labels share the same row (JON-5: the one-row means are a
-    scalar subquery attached to each missing label, not a join)."""
+    scalar subquery attached to each missing label, not a join).  Means are
+    doubles, so the feature columns become doubles."""
+    tr = tr.withColumns({c: F.col(c).cast("double") for c in features})
     miss = missing_labels(tr, va, target)
     means = scalars(column_means(tr, features))
     extra = miss.select(
@@ -117,7 +130,6 @@ def impute_missing_classes(tr: DataFrame, va: DataFrame, target: str,
           for c in tr.columns])
     if "split" in tr.columns:
         extra = extra.withColumn("split", F.lit("train"))
-    # Means are doubles; integer feature columns keep their type only if asked.
     return tr.unionByName(extra)
 
 

@@ -36,7 +36,8 @@ FX = {
                CAST(date_diff('day', DATE '1995-01-01', CAST(o.o_orderdate AS DATE)) AS DOUBLE) AS days
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
     "fx_logits": """
-        SELECT vec_id AS key, CAST(embedding[1:10] AS DOUBLE[]) AS logits,
+        SELECT vec_id AS key, list_transform(range(10), lambda c: list_reduce(
+                 list_filter(CAST(embedding AS DOUBLE[]), lambda x, i: (i - 1) % 10 = c), lambda a, x: a + x)) AS logits,
                CAST(label AS INTEGER) AS label
         FROM embeddings""",
     "fx_pred_bin": """
@@ -46,7 +47,7 @@ FX = {
         FROM fx_logits""",
     "fx_pred_zero": """
         SELECT key, label,
-               CAST(list_position(logits[1:3], list_max(logits[1:3])) - 1 AS INTEGER) AS predicted_label
+               CAST((list_position(logits, list_max(logits)) - 1) % 3 AS INTEGER) AS predicted_label
         FROM fx_logits""",
     "fx_pred_reg": f"""
         SELECT o.o_orderkey AS key, o.o_totalprice AS label, m.predicted_label
@@ -64,9 +65,9 @@ FX = {
         FROM fx_doc_tokens WHERE split = 'train' GROUP BY token""",
     "fx_attr": """
         SELECT t.key AS sample, t.token, c.class,
-               CASE WHEN c.class = 1 THEN 1 ELSE -1 END * w.w * t.tf AS shap_value
+               CASE WHEN c.class = 1 THEN 1 ELSE -1 END * COALESCE(w.w, 0.0) * t.tf AS shap_value
         FROM (SELECT key, token, count(*) AS tf FROM fx_doc_tokens GROUP BY key, token) t
-        JOIN fx_token_weights w ON t.token = w.token
+        LEFT JOIN fx_token_weights w ON t.token = w.token
         CROSS JOIN (SELECT 0 AS class UNION ALL SELECT 1) c""",
 }
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import argmax
 from ..operators.common import split_col
 from ..operators.features import encode_labels, label_mapping
+from ..session import written_table
 from ..sources.tables import table
 
 
@@ -66,10 +67,16 @@ def fx_num_reg(spark: SparkSession, sf: str) -> DataFrame:
                     .cast("double").alias("days"))
 
 
+N_LOGITS = 10
+
+
 def fx_logits(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("key"),
-                    F.slice("embedding", 1, 10).cast("array<double>").alias("logits"),
+    """Ten logits from the whole vector: logit ``c`` is the sum of the entries whose
+    position is ``c`` modulo ten, added in order."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+    part = lambda c: F.aggregate(
+        F.filter("v", lambda x, i: i % N_LOGITS == c), F.lit(0.0), lambda a, x: a + x)
+    return e.select(F.col("vec_id").alias("key"), F.array(*[part(c) for c in range(N_LOGITS)]).alias("logits"),
                     F.col("label").cast("int").alias("label"))
 
 
@@ -83,11 +90,11 @@ def fx_pred_multi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fx_pred_zero(spark: SparkSession, sf: str) -> DataFrame:
-    return fx_logits(spark, sf).select("key", "label",
-                                       argmax(F.slice("logits", 1, 3)).alias("predicted_label"))
+    """Only the labels 0, 1 and 2 are predicted, so seven classes never are."""
+    return fx_logits(spark, sf).select("key", "label", (argmax("logits") % 3).cast("int").alias("predicted_label"))
 
 
-def fx_pred_reg(spark: SparkSession, sf: str) -> DataFrame:
+def fx_pred_reg(spark: SparkSession, sf: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """orders valid rows; predicted = train mean of ``o_totalprice`` per priority.
     Each priority holds a fifth of the rows, so the lookup is a hot-key join
     (the train count per priority measures it): the priorities are broadcast
@@ -99,7 +106,7 @@ def fx_pred_reg(spark: SparkSession, sf: str) -> DataFrame:
              .agg(F.avg("o_totalprice").alias("predicted_label"), F.count(F.lit(1)).alias("n")))
     va = tagged.filter(F.col("split") == "valid")
     return hot_key_join(va, means, "o_orderpriority", "n").select(
-        F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("label"), "predicted_label")
+        F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("label"), "predicted_label", *carry)
 
 
 def fx_doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,6 +119,8 @@ def fx_doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def fx_attr(spark: SparkSession, sf: str) -> DataFrame:
     """FX-ATTR: exact attributions of the log-ratio linear scorer fitted on train."""
     from ..operators.attributions import linear_token_attributions, linear_token_weights
-    dt = fx_doc_tokens(spark, sf)
-    w = linear_token_weights(dt, fit=F.col("split") == "train")
+    # The term counts are written once: the weights and the attributions read them, and the text
+    # is tokenised once however often a summary uses this table.
+    dt = written_table(fx_doc_tokens(spark, sf), "attribution-terms")
+    w = written_table(linear_token_weights(dt, fit=F.col("split") == "train"), "attribution-weights")
     return linear_token_attributions(dt.select("key", "term", "tf"), w)

@@ -246,9 +246,9 @@ SQL["agg_2_token_length_histogram"] = f"""
 SQL["agg_3_label_share"] = W(f"SELECT label, n, round(share, 9) AS share FROM ({share('fx_pred_multi')})",
                              "fx_pred_multi")
 
-SQL["agg_4_min_max"] = """
-    SELECT min(p_size) AS min_size, max(p_size) AS max_size, min(p_retailprice) AS min_price,
-           max(p_retailprice) AS max_price FROM part"""
+SQL["agg_4_min_max"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value FROM part"""
+    for c in ("p_size", "p_retailprice"))
 
 SQL["agg_5_column_means"] = W("""
     SELECT round(avg(p_size), 9) AS p_size, round(avg(p_retailprice), 6) AS p_retailprice
@@ -368,10 +368,10 @@ SQL["fea_8_minmax"] = W(f"""
     FROM (SELECT key, label, (label - lo) / {RANGE} AS scaled, lo, hi
           FROM fx_text_reg, {MINMAX} s WHERE split = 'valid')""", "fx_text_reg")
 
-SQL["fea_10_encode_ids"] = W(f"""
+ENCODED = W(f"""
     , dt AS (SELECT key, term, count(*) AS tf FROM (
         SELECT key, unnest({tok('sentence')}) AS term FROM fx_text_class) GROUP BY key, term),
-    voc AS ({VOCAB.format(n=1000)}),
+    voc AS ({VOCAB.format(n=10000)}),
     pos AS (SELECT key, unnest(t[1:128]) AS term, generate_subscripts(t[1:128], 1) AS pos
             FROM (SELECT key, {tok('sentence')} AS t FROM fx_text_class)),
     ids AS (SELECT p.key, p.pos, COALESCE(v.term_id + 1, 0) AS id FROM pos p LEFT JOIN voc v ON p.term = v.term),
@@ -379,6 +379,8 @@ SQL["fea_10_encode_ids"] = W(f"""
     SELECT f.key, array_to_string(list_resize(COALESCE(a.l, []::INTEGER[]), 128, 0), ',') AS ids,
            CAST(COALESCE(len(list_filter(a.l, lambda x: x <> 0)), 0) AS INTEGER) AS n_known
     FROM fx_text_class f LEFT JOIN agg a ON f.key = a.key""", "fx_text_class")
+SQL["fea_10_encode_ids"] = ENCODED
+SQL["fea_10_encode_ids_fit"] = ENCODED.replace("128", "512")
 
 # ------------------------------------------------------------------ scalar functions
 
@@ -536,12 +538,13 @@ def validate(case: str, src: str, col: str, integral: bool) -> str:
     nm = "CAST(max_value - min_value + 1 - n_distinct AS BIGINT)"
     integer_rule = "n_null > 0" if integral else "true"
     return f"""
-      SELECT '{case}' AS "case", rule = 'ok' AS ok, rule, min_value, max_value,
+      SELECT '{case}' AS "case", rule = 'ok' AS ok, rule, CAST(min_value AS VARCHAR) AS min_value,
+             CAST(max_value AS VARCHAR) AS max_value,
              {'n_missing' if integral else 'CAST(NULL AS BIGINT)'} AS n_missing FROM (
         SELECT CASE WHEN {integer_rule} THEN 'integer' WHEN min_value <> 0 THEN 'min'
                     WHEN {nm} > 0 THEN 'gap' ELSE 'ok' END AS rule, min_value, max_value, {nm} AS n_missing
-        FROM (SELECT count(*) - count(v) AS n_null, CAST(min(v) AS DOUBLE) AS min_value,
-                     CAST(max(v) AS DOUBLE) AS max_value, count(DISTINCT v) AS n_distinct
+        FROM (SELECT count(*) - count(v) AS n_null, min(v) AS min_value,
+                     max(v) AS max_value, count(DISTINCT v) AS n_distinct
               FROM (SELECT {col} AS v FROM {src})))"""
 
 
@@ -551,7 +554,7 @@ SQL["val_2_validate_target"] = " UNION ALL ".join([
     validate("p_retailprice", "part", "p_retailprice", False),
     validate("label_gap", "(SELECT * FROM embeddings WHERE label <> 3)", "label", True),
     validate("label_null", "embeddings", "CASE WHEN label <> 3 THEN label END", True),
-    """SELECT 'no_column', false, 'exists', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT)"""])
+    """SELECT 'no_column', false, 'exists', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT)"""])
 
 SQL["val_3_label_table"] = """
     SELECT quality AS label, 'ラベル' || CAST(quality AS VARCHAR) AS label_name, count(*) AS n
@@ -633,5 +636,6 @@ SQL["snk_1_write_predictions"] = W("""
 
 SQL["snk_2_write_confusion"] = W(f"""
     , cells AS ({confusion('fx_pred_multi')})
-    PIVOT (SELECT CAST(label AS BIGINT) AS label, CAST(predicted_label AS VARCHAR) AS predicted_label, n FROM cells)
-    ON predicted_label USING first(n) GROUP BY label""", "fx_pred_multi")
+    SELECT CAST(label AS BIGINT) AS label, {", ".join(
+        f'CAST(sum(CASE WHEN predicted_label = {c} THEN n END) AS BIGINT) AS "{c}"' for c in range(10))}
+    FROM cells GROUP BY label""", "fx_pred_multi")

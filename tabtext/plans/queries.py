@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions import scalars as S
 from ..functions import text as T
@@ -85,11 +86,10 @@ def prj_3(spark, sf):
 
 @query("prj_4_predictions_reg_num")
 def prj_4(spark, sf):
-    p = X.fx_pred_reg(spark, sf)
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_orderpriority")
-    return rounded(p.join(o, "key").select("key", F.col("label").alias("actual_target"),
-                                           F.col("predicted_label").alias("predicted_target"),
-                                           "o_orderpriority"), {"predicted_target": 6})
+    p = X.fx_pred_reg(spark, sf, carry=("o_orderpriority",))
+    return rounded(p.select("key", F.col("label").alias("actual_target"),
+                            F.col("predicted_label").alias("predicted_target"), "o_orderpriority"),
+                   {"predicted_target": 6})
 
 
 def _text_reg_pred(spark, sf) -> DataFrame:
@@ -218,9 +218,10 @@ def set_6(spark, sf):
 
 @query("jon_1_semi")
 def jon_1(spark, sf):
-    a = A.clean_tokens(_attr(spark, sf), A.CLASSIFICATION_EXCLUDE)
-    top = A.top_token_table(_attr(spark, sf), 3, 10, A.CLASSIFICATION_EXCLUDE)
-    return rounded(J.semi(a, top, ["class", "token"], bound=10 * 1000), {"shap_value": 6})
+    attr = _attr(spark, sf)
+    a = A.clean_tokens(attr, A.CLASSIFICATION_EXCLUDE)
+    top = A.top_token_table(attr, 3, 10, A.CLASSIFICATION_EXCLUDE)
+    return rounded(J.semi(a, top, ["class", "token"]), {"shap_value": 6})
 
 
 @query("jon_2_anti")
@@ -236,7 +237,7 @@ def jon_2(spark, sf):
 def jon_3(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_type")
     m = FE.label_mapping(p, "p_type")
-    return J.lookup(p, m, "p_type", "value", bound=10_000).select(
+    return J.lookup(p, m, "p_type", "value").select(
         F.col("p_partkey").alias("key"), "p_type", "code")
 
 
@@ -276,8 +277,9 @@ def agg_3(spark, sf):
 @query("agg_4_min_max")
 def agg_4(spark, sf):
     p = table(spark, sf, "part")
-    return p.agg(F.min("p_size").alias("min_size"), F.max("p_size").alias("max_size"),
-                 F.min("p_retailprice").alias("min_price"), F.max("p_retailprice").alias("max_price"))
+    one = lambda c: C.min_max(p, c).select(F.lit(c).alias("column"), F.col("min_value").cast("double"),
+                                           F.col("max_value").cast("double"))
+    return one("p_size").unionByName(one("p_retailprice"))
 
 
 @query("agg_5_column_means")
@@ -413,7 +415,6 @@ def fea_6(spark, sf):
 @query("fea_7_impute_missing_classes")
 def fea_7(spark, sf):
     tr, va = FE.resplit(X.fx_missing(spark, sf, ("PROMO", "SMALL")).drop("p_type"))
-    tr = tr.withColumn("p_size", F.col("p_size").cast("double"))
     out = FE.impute_missing_classes(tr, va, "target", ["p_size", "p_retailprice"])
     return rounded(out, {"p_size": 9, "p_retailprice": 6})
 
@@ -431,12 +432,22 @@ def fea_8(spark, sf):
 @query("fea_10_encode_ids")
 def fea_10(spark, sf):
     t = X.fx_text_class(spark, sf)
-    vocab = FE.vocabulary(FE.doc_terms(t, stop_words=None), 1000)
-    e = FE.encode_ids(t, vocab, max_len=128, vocab_bound=1000)
+    return _encoded(t, 128)
+
+
+def _encoded(t: DataFrame, max_len: int) -> DataFrame:
+    vocab = FE.vocabulary(FE.doc_terms(t, stop_words=None), 10_000)
+    e = FE.encode_ids(t, vocab, max_len=max_len, vocab_bound=10_000)
     return e.select("key", F.array_join("ids", ",").alias("ids"),
                     F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_known"))
 
 
+@query("fea_10_encode_ids_fit")
+def fea_10b(spark, sf):
+    """The fit-time length."""
+    return _encoded(X.fx_text_class(spark, sf), 512)
+
+
 # ------------------------------------------------------------------ scalar functions
 
 
@@ -566,6 +577,10 @@ def eva_7(spark, sf):
     return rounded(E.collapsed_summary(X.fx_pred_multi(spark, sf)), METRIC_PLACES)
 
 
+#: Columns of a written metric report.
+T_REPORT = StructType([StructField(c, StringType()) for c in ("method", "class")]
+                      + [StructField(c, DoubleType()) for c in ("accuracy", "precision", "recall")])
+
 REG_PLACES = {"mse": 2, "mae": 6, "rmse": 6, "r2": P9}
 
 
@@ -607,7 +622,11 @@ def eva_12(spark, sf):
 
 @query("snk_4_metric_report_multi")
 def snk_4(spark, sf):
-    return rounded(E.metric_report(X.fx_pred_zero(spark, sf), "argmax3"), METRIC_PLACES)
+    from ..sources import csv as SC
+    from ..sources import sinks as SK
+    path = f"{_files(spark, 'report')}/metrics.csv"
+    SK.write_report(X.fx_pred_zero(spark, sf), path, "argmax3")
+    return rounded(SC.read_csv(spark, path, T_REPORT, multi_line=False), METRIC_PLACES)
 
 
 # ------------------------------------------------------------------ attributions
@@ -956,7 +975,7 @@ def snk_1(spark, sf):
     path = f"{_files(spark, 'regression')}/results.csv"
     SK.write_predictions(X.fx_pred_reg(spark, sf), path,
                          rename={"label": "actual_target", "predicted_label": "predicted_target"})
-    return rounded(SC.read_predictions(spark, path), {"predicted_target": 6})
+    return rounded(SC.read_predictions(spark, path, multi_line=False), {"predicted_target": 6})
 
 
 @query("snk_2_write_confusion")
@@ -965,4 +984,4 @@ def snk_2(spark, sf):
     from ..sources import sinks as SK
     path = f"{_files(spark, 'matrix')}/cm.csv"
     SK.write_confusion(X.fx_pred_multi(spark, sf), path)
-    return SC.read_csv(spark, path)
+    return SC.read_csv(spark, path, multi_line=False)

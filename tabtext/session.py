@@ -76,6 +76,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a parquet table under the shared checkpoint folder, read back: computed once however often
+    a job uses it, and safe against lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder, for files one step of a
     job writes and a later step reads (the reference hands predictions, matrices

@@ -5,8 +5,8 @@ The reference reads two CSV files (train, validation) with pandas.  Here:
 columns first as strings; the pandas missing-value tokens become NULL; then
 types are inferred in one aggregate pass (integer, double, boolean, string;
 an integer column holding a NULL becomes double, as in pandas) or taken from a
-given schema.  ``multiLine`` files are not splittable: convert large text
-inputs to parquet once.
+given schema.  ``multiLine`` files are not splittable: tables of numbers and
+tokens are read without it, large text inputs are converted to parquet once.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ INT_RE = r"^\s*[+-]?[0-9]+\s*$"
 BOOL_VALUES = ("True", "False", "true", "false", "TRUE", "FALSE")
 
 
-def _raw(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def _raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``multi_line``: values may hold line ends, and a file is then one task.  Without it large files are split."""
+    return (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
             .option("mode", "FAILFAST").csv(path))
 
 
@@ -55,9 +56,9 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
-             na_values=NA_VALUES) -> DataFrame:
+             na_values=NA_VALUES, multi_line: bool = True) -> DataFrame:
     """One CSV file (or folder) as a typed DataFrame."""
-    raw = _raw(spark, path)
+    raw = _raw(spark, path, multi_line)
     nulled = raw.select(*[F.when(F.col(f"`{c}`").isin(list(na_values)), F.lit(None))
                           .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     if schema is not None:
@@ -93,7 +94,7 @@ def read_pair(spark: SparkSession, train: str, valid: str, schema: StructType |
 def read_confusion(spark: SparkSession, path: str) -> DataFrame:
     """SRC-2: a saved square matrix (first column = true label, header = predicted
     labels) as the long ``(label, predicted_label, n)``; labels stay strings."""
-    raw = _raw(spark, path)
+    raw = _raw(spark, path, multi_line=False)
     first, rest = raw.columns[0], raw.columns[1:]
     long = raw.unpivot([F.col(f"`{first}`").alias("label")], [F.col(f"`{c}`").alias(c) for c in rest],
                        "predicted_label", "n")
@@ -107,22 +108,21 @@ def expand_confusion(cells: DataFrame) -> DataFrame:
     return pos.select("label", "predicted_label", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_i")).drop("_i")
 
 
-def read_predictions(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """SRC-3."""
-    return read_csv(spark, path, schema)
+def read_predictions(spark: SparkSession, path: str, schema: StructType | None = None,
+                     multi_line: bool = True) -> DataFrame:
+    """SRC-3.  Predictions over numbers need no ``multi_line``; those that carry a sentence may."""
+    return read_csv(spark, path, schema, multi_line=multi_line)
 
 
 ATTRIBUTION_SCHEMA = "sample bigint, token string, class string, shap_value double"
 
 
-def read_attributions(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-4: a long attribution table, parquet or CSV."""
-    if path.endswith(".parquet") or not path.endswith(".csv"):
-        try:
-            return spark.read.parquet(path)
-        except Exception:
-            pass
-    df = read_csv(spark, path)
+def read_attributions(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """SRC-4: a long attribution table.  ``fmt`` is ``parquet`` or ``csv``; without it the name decides
+    (``.csv``, else parquet), and a damaged file is an error."""
+    if (fmt or ("csv" if path.endswith(".csv") else "parquet")) == "parquet":
+        return spark.read.parquet(path)
+    df = read_csv(spark, path, multi_line=False)
     return df.select(F.col("sample").cast("bigint"), F.col("token").cast("string"), F.col("class"),
                      F.col("shap_value").cast("double"))
 

@@ -1,5 +1,4 @@
-"""Sinks (SNK-1..4).  All writes are Spark writes (parallel, one file per
-partition) except the k x k confusion matrix, which is one small file."""
+"""Sinks (SNK-1..4).  All writes are Spark writes (parallel, one file per partition)."""
 
 from __future__ import annotations
 
@@ -33,10 +32,9 @@ def write_predictions(pred: DataFrame, path: str, fmt: str = "csv",
 
 def write_confusion(pred: DataFrame, path: str) -> str:
     """SNK-2: the square matrix with the true label as first column (k rows)."""
-    wide = confusion_wide(pred)
-    return write_table(wide.coalesce(1), path, "csv")
+    return write_table(confusion_wide(pred), path, "csv")
 
 
 def write_report(pred: DataFrame, path: str, method: str = "proposed", fmt: str = "csv") -> str:
     """SNK-4: the long metric report."""
-    return write_table(metric_report(pred, method).coalesce(1), path, fmt)
+    return write_table(metric_report(pred, method), path, fmt)

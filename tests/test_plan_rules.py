@@ -108,14 +108,24 @@ def test_hot_key_join_is_exact_and_balanced(spark):
                 spark.conf.set(k, v)
 
 
-def test_attribution_fixture_shuffles_text_once(spark):
-    """Weights and attributions read one key-partitioned text exchange: the
-    executed plan has one text repartition and reuses it."""
-    from tabtext.plans.fixtures import fx_attr
-    df = fx_attr(spark, SF001)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in final and "REPARTITION_BY_COL" in final
-    text_exchanges = [l for l in final.split("\n") if "REPARTITION_BY_COL" in l and "ReusedExchange" not in l]
-    assert len(text_exchanges) == 1, text_exchanges
+def test_attribution_summary_tokenises_once(spark):
+    """The term counts are written once: no plan of a summary tokenises or shuffles the text again."""
+    from tabtext.plans.queries import QUERIES
+    for name in ("xpl_3_token_attributions", "xpl_5_token_summary", "agg_6_token_stats"):
+        df = QUERIES[name](spark, SF001)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "regexp_extract_all" not in final and "REPARTITION_BY_COL" not in final, name
+
+
+def test_label_paths_see_no_whole_column_in_one_task(spark):
+    """Label codes and missing labels come from aggregations of the values, not from joins or windows over all rows."""
+    from tabtext.operators.features import label_mapping, missing_labels
+    df = spark.range(5000).selectExpr("concat('v', id % 700) AS v")
+    m = label_mapping(df, "v")
+    got = m.collect()
+    assert sorted((r["value"], r["code"]) for r in got) == [(v, i) for i, v in enumerate(sorted(f"v{k}" for k in range(700)))]
+    a, b = df.filter("v <> 'v3'"), df
+    miss = missing_labels(a, b, "v")
+    assert [r[0] for r in miss.collect()] == ["v3"]
+    assert "Join" not in miss._jdf.queryExecution().optimizedPlan().toString()
