@@ -264,18 +264,61 @@ def model_scorer(tfidf, model, text: str = "sentence"):
     return score
 
 
-def text_occlusion_attributions(df: DataFrame, num: int = 20, algo: str = "linear", profile: str = "fast",
-                                vocab_size: int = 1000, key: str = "key") -> DataFrame:
-    """``calculate_shap`` re-aimed: fit the text classifier, take the first ``num``
-    validation rows by key (PRJ-8, the reference explains ``head(num)``) and
-    attribute tokens by leave-one-out rescoring."""
+def scorer_occlusion_attributions(df: DataFrame, num: int | None = None, max_len: int | None = None,
+                                  algo: str = "linear", profile: str = "reference", vocab_size: int = 10_000,
+                                  key: str = "key") -> DataFrame:
+    """Leave-one-out rescoring of any fitted text classifier; ``num`` (first validation rows by key,
+    PRJ-8) and ``max_len`` limit the work on request.  Classes are reported by code."""
     from ..operators.attributions import occlusion_attributions
     from ..operators.topk import head
-    _, model, tfidf, _, mapping = run_text_classifier(df, algo, profile, vocab_size, return_model=True)
+    _, model, tfidf, _, _ = run_text_classifier(df, algo, profile, vocab_size, return_model=True)
     _, va = FE.resplit(df)
-    rows = head(va.select(key, "sentence"), num, key)
-    classes = [r["value"] for r in mapping.orderBy("code").collect()]  # one entry per class
-    return occlusion_attributions(rows, model_scorer(tfidf, model), key, classes=classes)
+    rows = va.select(key, "sentence")
+    rows = head(rows, num, key) if num is not None else rows
+    return occlusion_attributions(rows, model_scorer(tfidf, model), key, max_len=max_len)
+
+
+def _raw_cells(df: DataFrame, rows: DataFrame, vocab_size: int, key: str, text: str) -> DataFrame:
+    """``(key, term, term_id, raw)`` of ``rows``: tf x idf over the vocabulary fitted on ``df``."""
+    terms = FE.doc_terms(df, key, text)
+    n = scalars(df.agg(F.count(F.lit(1)).alias("n")))["n"]
+    idf = FE.vocabulary(terms, vocab_size, key).select("term", "term_id", FE.idf_expr(n, F.col("df")).alias("idf"))
+    own = FE.doc_terms(rows, key, text)
+    return own.join(idf, "term").select(key, "term", "term_id", (F.col("tf") * F.col("idf")).alias("raw"))
+
+
+def text_linear_leave_one_out(df: DataFrame, vocab_size: int = 10_000, key: str = "key", text: str = "sentence",
+                              label: str = "label") -> DataFrame:
+    """``calculate_shap`` for the log-ratio scorer of ``text_linear_scores``: every token of every
+    validation document."""
+    from ..operators.attributions import linear_leave_one_out
+    _, va = FE.resplit(df)
+    terms = FE.doc_terms(df, key, text, carry=("split", label))
+    n = lambda c: F.sum(F.when((F.col("split") == "train") & (F.col(label) == c), F.col("tf")).otherwise(0))
+    w = terms.groupBy("term").agg(F.array(F.log((n(1) + F.lit(1.0)) / (n(0) + F.lit(1.0)))).alias("w"))
+    cells = _raw_cells(df, va, vocab_size, key, text)
+    return linear_leave_one_out(cells.join(w, "term"), (0.0,), key)
+
+
+def text_model_leave_one_out(df: DataFrame, classifier: bool = True, profile: str = "reference", vocab_size: int = 10_000,
+                             key: str = "key", text: str = "sentence", label: str = "label") -> DataFrame:
+    """``calculate_shap`` re-aimed: fit the linear text model and attribute every token of every validation
+    document exactly.  Classifier: logits of the class probabilities, classes by code; regressor: the
+    raw output, class 0."""
+    from ..operators.attributions import linear_leave_one_out
+    if classifier:
+        _, model, _, vocab, _ = run_text_classifier(df, "linear", profile, vocab_size, key, text, label, return_model=True)
+        coef, bias = model.coefficientMatrix.toArray(), [float(b) for b in model.interceptVector]
+    else:
+        _, model, _, vocab = run_text_regressor(df, "linear", profile, vocab_size, key=key, text=text, label=label,
+                                                return_model=True)
+        coef, bias = model.coefficients.toArray().reshape(1, -1), [float(model.intercept)]
+    # At most vocab_size rows, as the vocabulary itself.
+    w = df.sparkSession.createDataFrame([(i, [float(x) for x in coef[:, i]]) for i in range(len(vocab))],
+                                        "term_id int, w array<double>")
+    _, va = FE.resplit(df)
+    cells = _raw_cells(df, va, vocab_size, key, text).join(F.broadcast(w), "term_id")
+    return linear_leave_one_out(cells, bias, key, link="softmax_logit" if classifier else "identity")
 
 
 def run_embedding_classifier(df: DataFrame, algo: str = "linear", profile: str = "fast", key: str = "key",

@@ -869,7 +869,17 @@ def xpl_2(spark, sf):
 
 @query("xpl_3_occlusion_attributions")
 def xpl_3b(spark, sf):
-    return _jobs().text_occlusion_attributions(_text_class(spark, sf), num=20)
+    return rounded(_jobs().text_linear_leave_one_out(_text_class(spark, sf)), {"shap_value": P9})
+
+
+@query("xpl_3_occlusion_model_class")
+def xpl_3c(spark, sf):
+    return _jobs().text_model_leave_one_out(_text_class(spark, sf))
+
+
+@query("xpl_3_occlusion_model_reg")
+def xpl_3d(spark, sf):
+    return _jobs().text_model_leave_one_out(_text_reg(spark, sf), classifier=False)
 
 
 @query("jon_4_key_zip")
