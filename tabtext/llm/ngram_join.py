@@ -13,10 +13,11 @@ every document.  Copies with equal sets are one node from the start.
    one class is a signature.  A prefix is extended until ``rare + sum(max(0, class - 1)) > tau``: whichever ``tau`` grams a partner
    lacks, a rare gram or two of one class are left, so linked sets share a signature.
    ``m`` depends on the size class of the longer set of a pair.
-3. *Verification* by exact intersection.  In each signature's bucket the most central set (highest mean
-   document frequency) is compared with the others first.  The links found so far
-   give components; then every set outside the component of its bucket's centre is compared with all
-   sets of the bucket in other components.  Pairs inside a component need no comparison: they
+3. *Verification* by exact intersection.  The most central set of each signature's bucket (highest mean
+   document frequency), its hub, is compared with the others first.  The links found so far
+   give components.  Every set outside its hub's component is then compared with the sets of that hub in
+   other components, where the known intersections with the hub leave a link possible: common grams lie in the hub or
+   outside it, and each part is bounded by either set's.  Pairs inside a component need no comparison, as they
    cannot change it.  So a group of thousands of near copies costs a few comparisons per
    copy, and no link between components is lost.
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import attach, own_names, plain_names, written
+from .common import attach, in_tasks, own_names, plain_names, written
 from .components import connected_components
 
 GRAM = 5
@@ -99,7 +100,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, whole: bool) -> DataF
                     [batch.column("doc_id").slice(first, len(sets)), pa.array([fingerprint(s) for s in sets], pa.int64()),
                      pa.array(n), _lists(grams, pa.int64())], names=["doc_id", "fp", "n", "grams"])
 
-    return narrow.mapInArrow(task, f"doc_id {id_type}, fp long, n int, grams array<long>")
+    return in_tasks(narrow, task, f"doc_id {id_type}, fp long, n int, grams array<long>")
 
 
 def _screened(prefixes: DataFrame) -> DataFrame:
@@ -193,43 +194,49 @@ def signature_rows(sets: DataFrame) -> DataFrame:
                 [pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64), pa.int64()), fp.take(pa.array(at)),
                  pa.array(np.array(centre, np.float64)[at])], names=["sig", "fp", "centre"])
 
-    return sets.select("fp", "n", "grams", "dfs").mapInArrow(task, "sig long, fp long, centre double")
+    return in_tasks(sets.select("fp", "n", "grams", "dfs"), task, "sig long, fp long, centre double")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets link.  Sizes and numbers of shared grams bound the intersection first."""
-    side = lambda c, *v: sets.select(F.col("fp").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in v])
-    size = F.col("n_a") + F.col("n_b")
-    near = (pairs.join(side("a", "n", "s"), "a").join(side("b", "n", "s"), "b")
-            .filter(F.lit(100 + PERCENT) * F.least("s_a", "s_b") >= F.lit(PERCENT) * size))
-    near = written(near.select("a", "b", size.alias("size")), "ngram-near")
-    both = near.join(side("a", "grams"), "a").join(side("b", "grams"), "b")
-    return both.filter(F.lit(100 + PERCENT) * F.size(F.array_intersect("grams_a", "grams_b")) >= F.lit(PERCENT) * F.col("size")
-                       ).select("a", "b")
+def _links(shared, sizes):
+    """Sets of ``sizes`` grams together link when they share ``shared``."""
+    return F.lit(100 + PERCENT) * shared >= F.lit(PERCENT) * sizes
+
+
+def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b`` with ``n_a, s_a, n_b, s_b`` and ``both``, the exact number of common grams."""
+    side = lambda c: sets.select(F.col("fp").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "s", "grams")])
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .select("a", "b", "n_a", "s_a", "n_b", "s_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("both")))
 
 
 def link_components(sets: DataFrame) -> DataFrame:
     """``node, label`` of the sets (a written table of ``_with_frequency``) that link with another."""
     sigs = written(signature_rows(sets), "ngram-signatures")
-    total = sigs.count()
     buckets = written(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.max_by("fp", "centre").alias("hub"))
                       .filter("rows > 1"), "ngram-buckets")
-    members = written(attach(sigs.select("sig", "fp"), buckets, "sig", "rows", total, how="inner"), "ngram-members")
-    star = members.filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    links = written(verified(star, sets), "ngram-links")
+    members = attach(sigs.select("sig", "fp"), buckets, "sig", "rows", sigs.count(), how="inner")
+    star = written(members.filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), "ngram-star")
+    star = written(intersections(star, sets), "ngram-star")
+    links = star.filter(_links(F.col("both"), F.col("n_a") + F.col("n_b"))).select("a", "b")
     first = connected_components(links)
-    # What is still apart: members outside the component of their bucket's hub.
+    # What is still apart: members outside the component of their bucket's centre, here called hub.
     label = lambda c: first.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    named = members.join(label("fp"), "fp", "left").withColumn("fp_label", F.coalesce("fp_label", "fp"))
-    named = named.join(label("hub"), "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-    named = written(named.select("sig", "fp", "fp_label", (F.col("fp_label") != F.col("hub_label")).alias("apart")),
+    named = (star.select(F.col("a").alias("fp"), F.col("b").alias("hub"), F.col("n_a").alias("n"), F.col("s_a").alias("s"), "both")
+             .join(label("fp"), "fp", "left").join(label("hub"), "hub", "left"))
+    named = named.withColumns({"label": F.coalesce("fp_label", "fp"), "hub_label": F.coalesce("hub_label", "hub")})
+    named = written(named.select("hub", "fp", "label", "n", "s", "both", (F.col("label") != F.col("hub_label")).alias("apart")),
                     "ngram-named")
-    outside = named.filter("apart").select("sig", F.col("fp").alias("a"), F.col("fp_label").alias("a_label"))
-    others = named.select("sig", F.col("fp").alias("b"), F.col("fp_label").alias("b_label"), "apart")
-    pairs = (outside.join(others, "sig").filter("a_label <> b_label and (a < b or not apart)")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = verified(pairs, sets)
-    return connected_components(links.unionByName(written(more, "ngram-links")))
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("fp", "label", "n", "s", "both", "apart")]
+    outside, others = named.filter("apart").select("hub", *side("a")), named.select("hub", *side("b"))
+    # Common grams are in the hub or outside it, and each part is bounded by either set's.
+    most = (F.least("both_a", "both_b") + F.least(F.col("s_a") - F.col("both_a"), F.col("s_b") - F.col("both_b")))
+    near = (F.col("label_a") != F.col("label_b")) & (~F.col("apart_b") | (F.col("fp_a") < F.col("fp_b"))) & _links(
+        most, F.col("n_a") + F.col("n_b"))
+    pairs = outside.join(others.withColumnRenamed("hub", "hub_b"), (F.col("hub") == F.col("hub_b")) & near)
+    pairs = pairs.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+    more = written(intersections(written(pairs, "ngram-near"), sets), "ngram-near")
+    more = more.filter(_links(F.col("both"), F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return connected_components(links.unionByName(more))
 
 
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
