@@ -211,22 +211,32 @@ def assemble_stages(features: Sequence[str], out: str = "features") -> list:
 
 def doc_terms(df: DataFrame, key: str = "key", text: str = "sentence",
               stop_words: Sequence[str] | None = ENGLISH_STOP_WORDS,
-              mode: str = "word", carry: Sequence[str] = ()) -> DataFrame:
+              mode: str = "word", carry: Sequence[str] = (), by_key: bool = False) -> DataFrame:
     """``(key, *carry, term, tf)``: raw term counts per document; ``carry`` columns
     (split, label, ...) depend on the key and ride along without a join.
 
-    Documents are first hash-partitioned by key (one shuffle of the narrow
-    ``(key, text)`` projection).  Exploded tokens then never leave their
-    partition: the ``(key, term)`` aggregation and every later per-document
-    window reuse that partitioning instead of shuffling the much larger token
-    stream again.
-    """
-    docs = df.select(key, *carry, text).repartition(key)
+    A document is one row, so its counts need no shuffle: its tokens are sorted and
+    run lengths read off, inside the row.  (The one-element ``explode`` keeps the sorted
+    array as a column; inlined into the lambdas it would be sorted again for every element.)
+
+    ``by_key``: hash-partition the narrow ``(key, text)`` projection by key first and count by
+    aggregation.  For callers with a later per-document window or sum over the terms
+    (the L2 norm of TF-IDF): it reuses that partitioning, and one shuffle of the text
+    replaces one of the larger term stream.  Keys must then be unique or mean one document."""
     toks = tokens(F.col(text), mode)
     if stop_words:
         toks = remove_stop(toks, stop_words)
-    return (docs.select(key, *carry, F.explode(toks).alias("term"))
-            .groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf")))
+    if by_key:
+        docs = df.select(key, *carry, text).repartition(key)
+        return (docs.select(key, *carry, F.explode(toks).alias("term"))
+                .groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf")))
+    ordered = (df.select(key, *carry, F.explode(F.array(F.array_sort(toks))).alias("__s")).filter(F.size("__s") > 0))
+    at = F.sequence(F.lit(0), F.size("__s") - 1)
+    heads = F.filter(at, lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", i - 1)))
+    runs = ordered.select(key, *carry, "__s", F.explode(F.array(heads)).alias("__at"))
+    end = lambda j: F.coalesce(F.get("__at", j + 1), F.size("__s"))
+    counts = F.transform("__at", lambda i, j: F.struct(F.get("__s", i).alias("term"), (end(j) - i).cast("bigint").alias("tf")))
+    return runs.select(key, *carry, F.explode(counts).alias("__t")).select(key, *carry, "__t.term", "__t.tf")
 
 
 def vocabulary(terms: DataFrame, size: int = 10000, key: str = "key") -> DataFrame:
@@ -255,7 +265,7 @@ def tfidf_long(df: DataFrame, key: str = "key", text: str = "sentence", vocab_si
     included), ``weight = tf * idf / ||tf * idf||_2`` over kept terms.
     Fitted on every row of ``df`` (train and validation together).
     """
-    terms = terms if terms is not None else doc_terms(df, key, text, stop_words, mode)
+    terms = terms if terms is not None else doc_terms(df, key, text, stop_words, mode, by_key=True)
     vocab = vocabulary(terms, vocab_size, key)
     n_docs = scalars(df.agg(F.count(F.lit(1)).alias("n")))["n"]
     bound = vocab_size
@@ -271,7 +281,7 @@ def idf_expr(n, df) -> Column:
 def tfidf_cells(terms: DataFrame, idf: DataFrame, key: str = "key", bound: int = 10000) -> DataFrame:
     """Join term counts with a bounded ``(term, idf, ...)`` table (broadcast) and
     L2-normalise per document.  ``terms`` is hash-partitioned by key
-    (``doc_terms``), so the per-document window needs no further shuffle.
+    (``doc_terms`` with ``by_key``), so the per-document window needs no further shuffle.
     Extra columns of ``idf`` ride along."""
     cells = terms.join(bounded_broadcast(idf, bound), "term")
     raw = cells.withColumn("__raw", F.col("tf") * F.col("idf"))

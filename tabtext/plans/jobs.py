@@ -27,7 +27,7 @@ def text_linear_scores(df: DataFrame, vocab_size: int = 10000, key: str = "key",
 
     Output ``(key, label, score, predicted_label)``."""
     if terms is None:
-        terms = FE.doc_terms(df, key, text, carry=("split", label))
+        terms = FE.doc_terms(df, key, text, carry=("split", label), by_key=True)
     train = F.col("split") == "train"
     stats = terms.groupBy("term").agg(
         F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"),
@@ -56,7 +56,7 @@ def text_linear_report(df: DataFrame, vocab_size: int = 10000) -> DataFrame:
     from pyspark import StorageLevel
     # The per-document term counts feed the vocabulary, the TF-IDF cells and the
     # token weights: tokenise and shuffle the text once.
-    terms = FE.doc_terms(df, carry=("split", "label")).persist(StorageLevel.MEMORY_AND_DISK)
+    terms = FE.doc_terms(df, carry=("split", "label"), by_key=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scores = cut_lineage(text_linear_scores(df, vocab_size, terms=terms))
     finally:
@@ -101,7 +101,7 @@ def _fit(estimator, train: DataFrame):
         train.unpersist()
 
 
-def run_numeric_classifier(df: DataFrame, target: str = "target", algo: str = "rf", profile: str = "fast",
+def run_numeric_classifier(df: DataFrame, target: str = "target", algo: str = "rf", profile: str = "reference",
                            features: Sequence[str] | None = None, impute_missing: bool = False,
                            key: str = "key", return_model: bool = False):
     """MOD-1/2/3 (+ FEA-5/6/7/9, MOD-17, PRJ-2): fit on train, score validation.
@@ -126,7 +126,7 @@ def run_numeric_classifier(df: DataFrame, target: str = "target", algo: str = "r
     return (out, model, mapping) if return_model else out
 
 
-def run_text_classifier(df: DataFrame, algo: str = "rf", profile: str = "fast", vocab_size: int = 1000,
+def run_text_classifier(df: DataFrame, algo: str = "rf", profile: str = "reference", vocab_size: int = 10_000,
                         key: str = "key", text: str = "sentence", label: str = "label",
                         return_model: bool = False):
     """MOD-4/5/6/15 (+ FEA-1/2/3/5, PRJ-3): TF-IDF fitted on all rows, classifier on
@@ -143,7 +143,7 @@ def run_text_classifier(df: DataFrame, algo: str = "rf", profile: str = "fast",
     return (out, model, tfidf, vocab, mapping) if return_model else out
 
 
-def run_numeric_regressor(df: DataFrame, target: str = "target", algo: str = "rf", profile: str = "fast",
+def run_numeric_regressor(df: DataFrame, target: str = "target", algo: str = "rf", profile: str = "reference",
                           features: Sequence[str] | None = None, key: str = "key", return_model: bool = False):
     """MOD-8/9/10 (+ PRJ-4): predictions ``(key, label, predicted_label, features)``."""
     feats = list(features or _features(df, target, key))
@@ -156,7 +156,7 @@ def run_numeric_regressor(df: DataFrame, target: str = "target", algo: str = "rf
     return (out, model) if return_model else out
 
 
-def run_text_regressor(df: DataFrame, algo: str = "rf", profile: str = "fast", vocab_size: int = 1000,
+def run_text_regressor(df: DataFrame, algo: str = "rf", profile: str = "reference", vocab_size: int = 10_000,
                        scale_target: bool = False, key: str = "key", text: str = "sentence",
                        label: str = "label", return_model: bool = False):
     """MOD-11/12/13/16 (+ FEA-8, EVA-10, PRJ-5): TF-IDF regressor; with
@@ -179,7 +179,7 @@ def run_text_regressor(df: DataFrame, algo: str = "rf", profile: str = "fast", v
 
 
 def compare_text_regressors(df: DataFrame, algos: Sequence[str] = ("rf", "gbt_depth", "gbt_leaf"),
-                            profile: str = "fast", vocab_size: int = 1000, key: str = "key",
+                            profile: str = "reference", vocab_size: int = 10_000, key: str = "key",
                             text: str = "sentence", label: str = "label") -> DataFrame:
     """MOD-14: one TF-IDF feature set (fitted once), one fit per candidate, one
     metric row per candidate (EVA-8/9)."""
@@ -197,7 +197,7 @@ def compare_text_regressors(df: DataFrame, algos: Sequence[str] = ("rf", "gbt_de
 
 
 def run_dummy_classifier(df: DataFrame, categorical: Sequence[str], target: str = "target",
-                         profile: str = "fast", key: str = "key") -> DataFrame:
+                         profile: str = "reference", key: str = "key") -> DataFrame:
     """MOD-7 (+ SET-1, FEA-4, PRJ-6/1, EVA-7): dummies over both splits, forest on
     train, sign-collapsed metrics on validation."""
     d = FE.dummies(df, categorical)
@@ -206,7 +206,7 @@ def run_dummy_classifier(df: DataFrame, categorical: Sequence[str], target: str
 
 
 def score_with_saved_model(df: DataFrame, target: str = "target", algo: str = "rf",
-                           profile: str = "fast", path: str | None = None) -> DataFrame:
+                           profile: str = "reference", path: str | None = None) -> DataFrame:
     """SNK-3 + MOD-18: fit, save the fitted pipeline under the shared checkpoint
     folder (or ``path``), load it back and batch-score the validation rows."""
     import uuid
@@ -222,7 +222,7 @@ def score_with_saved_model(df: DataFrame, target: str = "target", algo: str = "r
 
 
 def numeric_tree_attributions(df: DataFrame, target: str = "target", algo: str = "rf",
-                              profile: str = "fast", classifier: bool = True, key: str = "key") -> DataFrame:
+                              profile: str = "reference", classifier: bool = True, key: str = "key") -> DataFrame:
     """XPL-1/2 for the numeric jobs: attributions of the validation rows."""
     from ..operators.treeshap import tree_attributions
     feats = _features(df, target, key)
@@ -237,7 +237,7 @@ def numeric_tree_attributions(df: DataFrame, target: str = "target", algo: str =
     return tree_attributions(model, scored, feats, key)
 
 
-def text_tree_attributions(df: DataFrame, algo: str = "rf", profile: str = "fast", vocab_size: int = 1000,
+def text_tree_attributions(df: DataFrame, algo: str = "rf", profile: str = "reference", vocab_size: int = 10_000,
                            classifier: bool = True, key: str = "key") -> DataFrame:
     """XPL-1/2 for the text jobs: token attributions (non-zero only) of the
     validation rows."""
@@ -283,7 +283,7 @@ def _raw_cells(df: DataFrame, rows: DataFrame, vocab_size: int, key: str, text:
     terms = FE.doc_terms(df, key, text)
     n = scalars(df.agg(F.count(F.lit(1)).alias("n")))["n"]
     idf = FE.vocabulary(terms, vocab_size, key).select("term", "term_id", FE.idf_expr(n, F.col("df")).alias("idf"))
-    own = FE.doc_terms(rows, key, text)
+    own = FE.doc_terms(rows, key, text, by_key=True)
     return own.join(idf, "term").select(key, "term", "term_id", (F.col("tf") * F.col("idf")).alias("raw"))
 
 
@@ -321,7 +321,7 @@ def text_model_leave_one_out(df: DataFrame, classifier: bool = True, profile: st
     return linear_leave_one_out(cells, bias, key, link="softmax_logit" if classifier else "identity")
 
 
-def run_embedding_classifier(df: DataFrame, algo: str = "linear", profile: str = "fast", key: str = "key",
+def run_embedding_classifier(df: DataFrame, algo: str = "linear", profile: str = "reference", key: str = "key",
                              vector: str = "embedding", label: str = "label") -> DataFrame:
     """MOD-15 over a precomputed ``array<float>`` embedding (``array_to_vector``):
     predictions ``(key, label, predicted_label)`` for the validation rows."""
@@ -353,7 +353,7 @@ def model_feature_importance(model, feature_names: Sequence[str], top_n: int | N
 
 
 def select_best_candidate(df: DataFrame, candidates: dict[str, dict], algo: str = "rf",
-                          vocab_size: int = 1000, key: str = "key", text: str = "sentence",
+                          profile: str = "reference", vocab_size: int = 10_000, key: str = "key", text: str = "sentence",
                           label: str = "label") -> DataFrame:
     """TOP-7 over real fits: one TF-IDF feature set, one classifier per candidate
     setting (``name -> estimator params``), all candidates' validation predictions
@@ -368,7 +368,7 @@ def select_best_candidate(df: DataFrame, candidates: dict[str, dict], algo: str
     k = mapping.count()
     preds = None
     for name, params in candidates.items():
-        est = M.classifier(algo, k)
+        est = M.classifier(algo, k, profile)
         model = _fit(est.copy({est.getParam(p): v for p, v in params.items()}), tr_e)
         p = M.predict_codes(model, va_e).select(F.lit(name).alias("run"), F.col("code").alias("label"),
                                                 F.col("predicted_code").cast("double").alias("predicted_label"))

@@ -651,3 +651,8 @@ SQL["snk_2_write_confusion"] = W(f"""
     SELECT CAST(label AS BIGINT) AS label, {", ".join(
         f'CAST(sum(CASE WHEN predicted_label = {c} THEN n END) AS BIGINT) AS "{c}"' for c in range(10))}
     FROM cells GROUP BY label""", "fx_pred_multi")
+
+
+from .facts import FACT_SQL  # noqa: E402
+
+SQL.update(FACT_SQL)

@@ -737,8 +737,11 @@ def run_text_linear_scores(spark, sf):
 
 
 # ------------------------------------------------------------------ models (rows-only: fits have no SQL twin)
-# Profile ``fast`` (see operators/models.py); the reference settings are the
-# ``reference`` profile of the same jobs.
+# The numeric, linear and text forest classifier queries run the jobs' defaults: profile
+# ``reference``, vocabulary 10,000.  Boosters and forest regressors over text, and the queries that walk
+# every tree (TreeSHAP) or fit many models, take minutes there on one machine (README: "Model fits") and run ``LIGHT``.
+LIGHT = {"profile": "fast"}
+LIGHT_TEXT = {"profile": "fast", "vocab_size": 1000}
 
 
 def _jobs():
@@ -776,12 +779,12 @@ def mod_4(spark, sf):
 
 @query("mod_5_gbt_leaf_text_class")
 def mod_5(spark, sf):
-    return _jobs().run_text_classifier(_text_class(spark, sf), algo="gbt_leaf")
+    return _jobs().run_text_classifier(_text_class(spark, sf), algo="gbt_leaf", **LIGHT_TEXT)
 
 
 @query("mod_6_gbt_depth_text_class")
 def mod_6(spark, sf):
-    return _jobs().run_text_classifier(_text_class(spark, sf), algo="gbt_depth")
+    return _jobs().run_text_classifier(_text_class(spark, sf), algo="gbt_depth", **LIGHT_TEXT)
 
 
 @query("mod_7_rf_dummies")
@@ -810,22 +813,22 @@ def _text_reg(spark, sf):
 
 @query("mod_11_rf_text_reg")
 def mod_11(spark, sf):
-    return _jobs().run_text_regressor(_text_reg(spark, sf), algo="rf")
+    return _jobs().run_text_regressor(_text_reg(spark, sf), algo="rf", **LIGHT_TEXT)
 
 
 @query("mod_12_gbt_leaf_text_reg")
 def mod_12(spark, sf):
-    return _jobs().run_text_regressor(_text_reg(spark, sf), algo="gbt_leaf")
+    return _jobs().run_text_regressor(_text_reg(spark, sf), algo="gbt_leaf", **LIGHT_TEXT)
 
 
 @query("mod_13_gbt_depth_text_reg")
 def mod_13(spark, sf):
-    return _jobs().run_text_regressor(_text_reg(spark, sf), algo="gbt_depth")
+    return _jobs().run_text_regressor(_text_reg(spark, sf), algo="gbt_depth", **LIGHT_TEXT)
 
 
 @query("mod_14_compare_text_regressors")
 def mod_14(spark, sf):
-    return _jobs().compare_text_regressors(_text_reg(spark, sf))
+    return _jobs().compare_text_regressors(_text_reg(spark, sf), **LIGHT_TEXT)
 
 
 @query("mod_15_linear_text_class")
@@ -854,17 +857,17 @@ def mod_18(spark, sf):
 
 @query("xpl_1_tree_attributions_class")
 def xpl_1(spark, sf):
-    return _jobs().numeric_tree_attributions(_num_class(spark, sf), algo="rf")
+    return _jobs().numeric_tree_attributions(_num_class(spark, sf), algo="rf", **LIGHT)
 
 
 @query("xpl_1_tree_attributions_text")
 def xpl_1b(spark, sf):
-    return _jobs().text_tree_attributions(_text_class(spark, sf), algo="rf")
+    return _jobs().text_tree_attributions(_text_class(spark, sf), algo="rf", **LIGHT_TEXT)
 
 
 @query("xpl_2_tree_attributions_reg")
 def xpl_2(spark, sf):
-    return _jobs().numeric_tree_attributions(X.fx_num_reg(spark, sf), algo="gbt_depth", classifier=False)
+    return _jobs().numeric_tree_attributions(X.fx_num_reg(spark, sf), algo="gbt_depth", classifier=False, **LIGHT)
 
 
 @query("xpl_3_occlusion_attributions")
@@ -907,7 +910,7 @@ def xpl_6b(spark, sf):
 @query("top_7_best_candidate_model")
 def top_7b(spark, sf):
     return _jobs().select_best_candidate(_text_class(spark, sf), {
-        "trees-5": {"numTrees": 5}, "trees-10": {"numTrees": 10}, "trees-20": {"numTrees": 20}})
+        "trees-5": {"numTrees": 5}, "trees-10": {"numTrees": 10}, "trees-20": {"numTrees": 20}}, **LIGHT_TEXT)
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -995,3 +998,8 @@ def snk_2(spark, sf):
     path = f"{_files(spark, 'matrix')}/cm.csv"
     SK.write_confusion(X.fx_pred_multi(spark, sf), path)
     return SC.read_csv(spark, path, multi_line=False)
+
+
+from .facts import FACTS  # noqa: E402
+
+QUERIES.update(FACTS)

@@ -129,3 +129,22 @@ def test_label_paths_see_no_whole_column_in_one_task(spark):
     miss = missing_labels(a, b, "v")
     assert [r[0] for r in miss.collect()] == ["v3"]
     assert "Join" not in miss._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_term_counts_need_no_shuffle(spark):
+    from tabtext.operators.features import doc_terms
+    df = spark.createDataFrame([(1, "bb aa bb, cc aa bb"), (2, ""), (3, None), (4, "the The x")], "key int, sentence string")
+    a, b = doc_terms(df, stop_words=None), doc_terms(df, stop_words=None, by_key=True)
+    assert a.dtypes == b.dtypes
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) == [
+        (1, "aa", 2), (1, "bb", 3), (1, "cc", 1), (4, "the", 2)]
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_vocabulary_shuffles_no_text(spark):
+    from tabtext.plans.queries import QUERIES
+    df = QUERIES["top_3_vocabulary"](spark, SF001)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "REPARTITION_BY_COL" not in final

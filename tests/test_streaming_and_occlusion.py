@@ -16,7 +16,7 @@ from tabtext.streaming import score_stream
 
 def test_score_stream_matches_batch(spark):
     df = X.fx_num_class(spark, SF001).drop("p_type")
-    batch, model, mapping = J.run_numeric_classifier(df, algo="rf", return_model=True)
+    batch, model, mapping = J.run_numeric_classifier(df, algo="rf", return_model=True, profile="fast")
     va = df.filter("split = 'valid'").drop("target")
     folder = os.path.join(tempfile.mkdtemp(prefix="tabtext-stream-"), "in")
     va.write.parquet(folder)

@@ -68,7 +68,7 @@ def test_brute_force(seed):
 
 def test_additivity_forest_classifier(spark):
     df = X.fx_num_class(spark, SF001).drop("p_type")
-    _, model, _ = J.run_numeric_classifier(df, algo="rf", return_model=True)
+    _, model, _ = J.run_numeric_classifier(df, algo="rf", return_model=True, profile="fast")
     va = df.filter("split = 'valid'").drop("target")
     scored = model.transform(va)
     attr = tree_attributions(model, scored, ["p_size", "p_retailprice"])
@@ -83,7 +83,7 @@ def test_additivity_forest_classifier(spark):
 
 def test_additivity_boosted_regressor(spark):
     df = X.fx_num_reg(spark, SF001)
-    _, model = J.run_numeric_regressor(df, algo="gbt_depth", return_model=True)
+    _, model = J.run_numeric_regressor(df, algo="gbt_depth", return_model=True, profile="fast")
     va = df.filter("split = 'valid'")
     scored = model.transform(va)
     attr = tree_attributions(model, scored, ["c_acctbal", "days"])
@@ -95,6 +95,6 @@ def test_additivity_boosted_regressor(spark):
 
 def test_one_vs_rest_attributions_cover_classes(spark):
     df = X.fx_num_class(spark, SF001).drop("p_type")
-    attr = J.numeric_tree_attributions(df, algo="gbt_depth")
+    attr = J.numeric_tree_attributions(df, algo="gbt_depth", profile="fast")
     classes = {r["class"] for r in attr.select("class").distinct().collect()}
     assert classes <= set(range(6)) and len(classes) >= 2
