@@ -48,9 +48,19 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: Rows of an Arrow batch.  Rows carry whole texts: Spark's default of 10,000 would hold tens of MB several times over.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def in_tasks(df: DataFrame, task: Callable, schema) -> DataFrame:
-    """``df.mapInArrow(task, schema)`` with this package at hand in the tasks."""
-    ship_package(df.sparkSession)
+    """``df.mapInArrow(task, schema)`` with this package at hand in the tasks, in batches of ``BATCH_ROWS`` rows (or
+    fewer, where the session says so: the setting is the session's, and is lowered here)."""
+    spark = df.sparkSession
+    ship_package(spark)
+    rows = int(spark.conf.get(_BATCH))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(task, schema)
 
 
