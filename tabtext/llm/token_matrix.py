@@ -6,9 +6,10 @@ still fits in logarithmic time.  A block becomes one binary file: the id matrix
 segment lengths of each row and the position ids' resets.  Blocks are closed at a fixed number of ids, so memory and file
 size stay the same at every input size, and no id crosses the network.  The result says where each piece lies.
 
-File layout, little-endian: eight 64-bit numbers (magic, rows, capacity, segments, 0...), the matrix (unsigned
-32-bit ids, free places 0), ``cu_seqlens`` (row offsets first: rows + 1 64-bit numbers, then for each row the 32-bit ends of its
-segments), and ``positions`` is implied: it restarts at 0 where a segment begins (see ``read_block``).
+File layout, little-endian: eight 64-bit numbers (magic, rows, capacity, segments, bytes of an id, 0...), the matrix
+(unsigned ids of 16 bits where the vocabulary fits, else of 32; free places 0), ``cu_seqlens`` (row offsets first: rows + 1
+64-bit numbers, then for each row the 32-bit ends of its segments).  The position ids follow from them: they restart at 0
+where a segment begins (see ``read_block``).
 
 Defined cases: a null or empty text is one piece that holds the separator only; every row is packed on its own, repeated
 rows included; a null id stays null; further columns are ignored; an empty table gives an empty result and no file.
@@ -28,7 +29,7 @@ from .files import read_stream, shared_folder, write_bytes
 from .packing import CAPACITY, encode, pieces_of
 
 MAGIC = 0x314B434150
-#: A block is closed when it holds this many ids (16 MB of 32-bit ids).
+#: A block is closed when it holds this many ids (8 MB of 16-bit ids).
 BLOCK_IDS = 4_000_000
 
 
@@ -84,14 +85,20 @@ def pack_block(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
     return row, offset, n
 
 
-def block_bytes(pieces: list[np.ndarray], row: np.ndarray, offset: np.ndarray, rows: int, capacity: int) -> list[bytes]:
-    matrix = np.zeros((rows, capacity), "<u4")
+def id_bytes(tokenizer: str) -> int:
+    """2 where every id of the vocabulary file fits into 16 bits, else 4."""
+    from tokenizers import Tokenizer
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
+def block_bytes(pieces: list[np.ndarray], row: np.ndarray, offset: np.ndarray, rows: int, capacity: int, width: int) -> list[bytes]:
+    matrix = np.zeros((rows, capacity), f"<u{width}")
     for p, r, o in zip(pieces, row, offset):
         matrix[r, o:o + len(p)] = p
     order = np.lexsort((offset, row))
     ends = (offset + np.array([len(p) for p in pieces]))[order].astype("<i4")
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype("<i8")
-    head = np.array([MAGIC, rows, capacity, len(pieces), 0, 0, 0, 0], "<i8")
+    head = np.array([MAGIC, rows, capacity, len(pieces), width, 0, 0, 0], "<i8")
     return [head.tobytes(), matrix.tobytes(), first.tobytes(), ends.tobytes()]
 
 
@@ -102,9 +109,9 @@ def read_block(uri: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     head = np.frombuffer(data, "<i8", 8)
     if head[0] != MAGIC:
         raise ValueError(f"{uri} is not a block of packed ids")
-    rows, capacity, segments = (int(x) for x in head[1:4])
+    rows, capacity, segments, width = (int(x) for x in head[1:5])
     at = 64
-    matrix = np.frombuffer(data, "<u4", rows * capacity, at).reshape(rows, capacity)
+    matrix = np.frombuffer(data, f"<u{width}", rows * capacity, at).reshape(rows, capacity)
     at += matrix.nbytes
     first = np.frombuffer(data, "<i8", rows + 1, at)
     ends = np.frombuffer(data, "<i4", segments, at + first.nbytes)
@@ -121,14 +128,14 @@ def write_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, bl
                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the files and returns one row per piece:
     ``doc_id, piece, start, length, ids_crc32, file, row, offset``."""
-    folder = shared_folder(docs.sparkSession, "token-matrices")
+    folder, width = shared_folder(docs.sparkSession, "token-matrices"), id_bytes(tokenizer)
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
 
     def closed(ids: pa.Array, meta: list[tuple], pieces: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(p) for p in pieces])
         row, offset, n = pack_block(lengths, capacity)
-        uri = write_bytes(folder, "block", block_bytes(pieces, row, offset, n, capacity))
+        uri = write_bytes(folder, "block", block_bytes(pieces, row, offset, n, capacity, width))
         doc, piece, start, crc = zip(*meta)
         cols = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()),
                 pa.array(crc, pa.int64()), pa.array([uri] * len(row)), pa.array(row), pa.array(offset)]
