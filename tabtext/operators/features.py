@@ -230,7 +230,7 @@ def doc_terms(df: DataFrame, key: str = "key", text: str = "sentence",
         docs = df.select(key, *carry, text).repartition(key)
         return (docs.select(key, *carry, F.explode(toks).alias("term"))
                 .groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf")))
-    ordered = (df.select(key, *carry, F.explode(F.array(F.array_sort(toks))).alias("__s")).filter(F.size("__s") > 0))
+    ordered = (df.select(key, *carry, F.explode(F.array(F.sort_array(toks))).alias("__s")).filter(F.size("__s") > 0))
     at = F.sequence(F.lit(0), F.size("__s") - 1)
     heads = F.filter(at, lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", i - 1)))
     runs = ordered.select(key, *carry, "__s", F.explode(F.array(heads)).alias("__at"))
