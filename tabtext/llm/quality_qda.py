@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .common import in_tasks, own_names, plain_names, written
-from .quality_rules import LOWER, SHOUT, SYMBOLS, UPPER, Run
+from .quality_rules import LOWER, SHOUT, UPPER, Run
 
 DIGITS = ts.lut(b"0123456789")
 STOPS = ts.lut(b".?")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import exact_dedup, licenses, mixing, ngram_join, packing, quality_qda, quality_rules, secrets, sql, token_matrix, warc
