@@ -130,30 +130,31 @@ def linear_leave_one_out(cells: DataFrame, bias: Sequence[float | Column] = (0.0
     """XPL-3 of a fitted linear model over L2-normalised TF-IDF, exact and uncapped:
     ``(sample, token, class, shap_value)`` for every distinct token of every document.
 
-    ``cells``: one row per (document, kept term) with ``raw`` = tf x idf before normalising
-    and ``w``, an array of the term's coefficients, one per output.  With
+    ``cells``: one row per (document, term) with ``raw`` = tf x idf before normalising (0 for a term the
+    model does not know) and ``w``, an array of the term's coefficients, one per output.  With
     ``S = sum(raw * w)`` and ``N2 = sum(raw^2)`` over the document, the output is
     ``S / sqrt(N2) + bias``; without the term it is ``(S - raw * w) / sqrt(N2 - raw^2) + bias``,
-    and ``bias`` alone when no term is left.  The attribution is the difference.  So leaving out a term
+    and ``bias`` alone when no known term is left; a term of raw 0 changes nothing.  The attribution is the difference.  So leaving out a term
     needs no rescoring: the work is one per-document sum, linear in the tokens.
 
     ``link``: ``identity`` explains the outputs themselves (a regressor, or a score);
     ``softmax_logit`` the logits of the class probabilities of a multinomial model.
     """
     k = len(bias)
-    sums = cells.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("raw") * F.col("raw")).alias("__n2"),
+    sums = cells.groupBy(key).agg(F.count(F.when(F.col("raw") != 0, 1)).alias("__n"),
+                                  F.sum(F.col("raw") * F.col("raw")).alias("__n2"),
                                   F.array(*[F.sum(F.col("raw") * F.col("w")[i]) for i in range(k)]).alias("__s"))
     j = cells.join(sums, key)
     left = F.col("__n2") - F.col("raw") * F.col("raw")
     b = [x if isinstance(x, Column) else F.lit(float(x)) for x in bias]
-    full = [F.col("__s")[i] / F.sqrt("__n2") + b[i] for i in range(k)]
+    full = [F.when(F.col("__n2") > 0, F.col("__s")[i] / F.sqrt("__n2")).otherwise(F.lit(0.0)) + b[i] for i in range(k)]
     rest = [F.when((F.col("__n") > 1) & (left > 0), (F.col("__s")[i] - F.col("raw") * F.col("w")[i]) / F.sqrt(left))
             .otherwise(F.lit(0.0)) + b[i] for i in range(k)]
     if link == "softmax_logit":
         full, rest = _logits(full), _logits(rest)
     elif link != "identity":
         raise ValueError(f"unknown link {link!r}")
-    diff = F.array(*[f - r for f, r in zip(full, rest)])
+    diff = F.array(*[F.when(F.col("raw") == 0, F.lit(0.0)).otherwise(f - r) for f, r in zip(full, rest)])
     return (j.select(F.col(key).alias("sample"), F.col(term).alias("token"), F.posexplode(diff).alias("class", "shap_value"))
             .select("sample", "token", F.col("class").cast("int").alias("class"), "shap_value"))
 

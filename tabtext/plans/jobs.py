@@ -279,18 +279,20 @@ def scorer_occlusion_attributions(df: DataFrame, num: int | None = None, max_len
 
 
 def _raw_cells(df: DataFrame, rows: DataFrame, vocab_size: int, key: str, text: str) -> DataFrame:
-    """``(key, term, term_id, raw)`` of ``rows``: tf x idf over the vocabulary fitted on ``df``."""
+    """``(key, term, term_id, raw)`` of every term of ``rows``: tf x idf over the vocabulary fitted on ``df``;
+    a term outside it has no ``term_id`` and raw 0."""
     terms = FE.doc_terms(df, key, text)
     n = scalars(df.agg(F.count(F.lit(1)).alias("n")))["n"]
     idf = FE.vocabulary(terms, vocab_size, key).select("term", "term_id", FE.idf_expr(n, F.col("df")).alias("idf"))
     own = FE.doc_terms(rows, key, text, by_key=True)
-    return own.join(idf, "term").select(key, "term", "term_id", (F.col("tf") * F.col("idf")).alias("raw"))
+    return own.join(idf, "term", "left").select(
+        key, "term", "term_id", F.coalesce(F.col("tf") * F.col("idf"), F.lit(0.0)).alias("raw"))
 
 
 def text_linear_leave_one_out(df: DataFrame, vocab_size: int = 10_000, key: str = "key", text: str = "sentence",
                               label: str = "label") -> DataFrame:
     """``calculate_shap`` for the log-ratio scorer of ``text_linear_scores``: every token of every
-    validation document."""
+    validation document, 0 for tokens outside the vocabulary."""
     from ..operators.attributions import linear_leave_one_out
     _, va = FE.resplit(df)
     terms = FE.doc_terms(df, key, text, carry=("split", label))
@@ -303,8 +305,8 @@ def text_linear_leave_one_out(df: DataFrame, vocab_size: int = 10_000, key: str
 def text_model_leave_one_out(df: DataFrame, classifier: bool = True, profile: str = "reference", vocab_size: int = 10_000,
                              key: str = "key", text: str = "sentence", label: str = "label") -> DataFrame:
     """``calculate_shap`` re-aimed: fit the linear text model and attribute every token of every validation
-    document exactly.  Classifier: logits of the class probabilities, classes by code; regressor: the
-    raw output, class 0."""
+    document exactly, 0 in every class for tokens outside the vocabulary.  Classifier: logits of the class
+    probabilities, classes by code; regressor: the raw output, class 0."""
     from ..operators.attributions import linear_leave_one_out
     if classifier:
         _, model, _, vocab, _ = run_text_classifier(df, "linear", profile, vocab_size, key, text, label, return_model=True)
@@ -317,7 +319,9 @@ def text_model_leave_one_out(df: DataFrame, classifier: bool = True, profile: st
     w = df.sparkSession.createDataFrame([(i, [float(x) for x in coef[:, i]]) for i in range(len(vocab))],
                                         "term_id int, w array<double>")
     _, va = FE.resplit(df)
-    cells = _raw_cells(df, va, vocab_size, key, text).join(F.broadcast(w), "term_id")
+    zeros = F.array(*[F.lit(0.0)] * len(bias))
+    cells = _raw_cells(df, va, vocab_size, key, text).join(F.broadcast(w), "term_id", "left").withColumn(
+        "w", F.coalesce("w", zeros))
     return linear_leave_one_out(cells, bias, key, link="softmax_logit" if classifier else "identity")
 
 

@@ -53,3 +53,19 @@ def test_model_attributions_equal_the_models_own_scores(spark):
             assert abs(a[r["sample"], r["token"], r["class"]] - r["v"]) < 1e-6
             checked += 1
     assert checked > 20
+
+
+def test_tokens_outside_the_vocabulary_have_rows(spark):
+    """Every (document, token) cell has one row per class; without a vocabulary entry the value is 0."""
+    from tabtext.operators import features as FE
+    from tabtext.plans import jobs as J
+    rows = [(1, "train", "good fine good", 1), (2, "train", "bad poor bad", 0), (3, "train", "good bad", 1), (4, "valid", "good rare", 1),
+            (5, "valid", "unseen unheard", 0), (6, "valid", "bad good odd", 0)]
+    df = spark.createDataFrame(rows, "key int, split string, sentence string, label int")
+    want = {(r["key"], r["term"]) for r in FE.doc_terms(df.filter("split = 'valid'")).collect()}
+    assert len(want) == 7
+    for out, classes in [(J.text_linear_leave_one_out(df, vocab_size=2), 1), (J.text_model_leave_one_out(df, vocab_size=2), 2),
+                         (J.text_model_leave_one_out(df, classifier=False, vocab_size=2), 1)]:
+        got = {(r["sample"], r["token"], r["class"]): r["shap_value"] for r in out.collect()}
+        assert got.keys() == {(k, t, c) for k, t in want for c in range(classes)}
+        assert all((v == 0.0) == (t not in ("good", "bad")) for (_, t, _), v in got.items())
