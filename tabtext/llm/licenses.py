@@ -1,7 +1,9 @@
 """License scan by canonical digests (operator 5), DataFrame operations only.
 
-A text's canonical form: A-Z lower-cased; lines that open with a copyright mark dropped;
-equivalent spellings unified; every run of characters other than letters and digits turned into one space.
+A text's canonical form: notice lines dropped (copyright or (c) followed by a year, (c) or a name, and 'all rights
+reserved' as the whole line); A-Z lower-cased; line breaks and white space folded, then equivalent spellings unified;
+every run of characters other than letters and digits turned into one space.  So it doesn't depend on where lines break,
+as long as a notice has a line of its own.
 The SHA-256 of the canonical whole text is hash-joined to the digests of known licences
 (a fixed table of a few rows, so its broadcast has a proven bound).  The canonical lines of the text are
 matched against the same digests, which finds licence notices that stand as a line of a longer document.
@@ -29,7 +31,16 @@ SPELLINGS = (
     ("analogue", "analog"), ("http:", "https:"), ("per cent", "percent"), ("wilful", "willful"),
 )
 
-COPYRIGHT_LINE = r"(?m)^[ \t/*#;>-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Notice lines of lower-cased text; a line of prose that opens with 'copyright holders' or '(c) you must' is none.
+COPYRIGHT_LINE = (r"(?m)^[ \t/*#;>-]*(copyright[ \t:,]*(\(c\)|©|[<\[{(]?[0-9]{4}|[<\[{(]?yyyy|[<\[{(]year)|"
+                  r"\(c\)[ \t:,]*(copyright|[<\[{(]?[0-9]{4}|[<\[{(]?yyyy|[<\[{(]year)|©)[^\n]*$|"
+                  r"^[ \t/*#;>-]*all rights reserved[ \t\r.*/]*$")
+# Notice lines that only their capitals tell from prose: 'Copyright Jane Doe and the Example Authors', '(c) Jane Doe'.
+_NAME = r"[A-ZÀ-ÖØ-Þ][^\s,;:()]*[a-zà-öø-ÿ][^\s,;:()]*"
+NAME_LINE = (r"(?m)^[ \t/*#;>-]*(?:[Cc]opyright|COPYRIGHT|\([cC]\))[ \t:,]+(?:(?:by|the|The)[ \t]+)*"
+             r"(?!(?:Holder|Owner|Notice|Licen[sc]e|Law|Act|Treaty|Right|Statement)s?\b)" + _NAME +
+             rf"(?:[ \t,]+(?:{_NAME}|[A-Z]\.?|and|of|by|the|&|<[^>\n]*>))*[ \t\r.]*$")
+BROKEN_HYPHEN, BROKEN_LINE = r"-[ \t\r]*\n[ \t/*#;>-]*", r"[ \t\r]*\n[ \t/*#;>-]*"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 # Licence texts and notices as published.
@@ -73,23 +84,34 @@ language governing permissions and limitations under the License.""",
 }
 
 
-def canonical(text: str = "text") -> Column:
-    """The canonical text, line ends kept; words are separated by one space."""
-    c = lower_ascii(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    c = F.regexp_replace(c, COPYRIGHT_LINE, "")
+def _body(text: str) -> Column:
+    """The text without its notice lines, lower-cased."""
+    c = F.regexp_replace(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), NAME_LINE, "")
+    return F.regexp_replace(lower_ascii(c), COPYRIGHT_LINE, "")
+
+
+def _unified(c: Column) -> Column:
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(old), F.lit(new))
     return F.regexp_replace(c, NOT_WORD, " ")
 
 
-def one_line(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[ \n]+", " "))
+def canonical(body: Column) -> Column:
+    """The canonical lines; words are separated by one space."""
+    return _unified(F.regexp_replace(body, r"[ \t]+", " "))
+
+
+def one_line(body: Column) -> Column:
+    """The canonical text in one line: line breaks are folded before spellings are unified."""
+    c = F.regexp_replace(F.regexp_replace(body, BROKEN_HYPHEN, "-"), BROKEN_LINE, " ")
+    return F.trim(_unified(F.regexp_replace(c, r"[ \t\r]+", " ")))
 
 
 def canonical_text(text: str) -> str:
     """The canonical form of one text in one line, for the fixed table."""
-    c = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text)
-    c = re.sub(COPYRIGHT_LINE, "", c)
+    c = re.sub(NAME_LINE, "", text)
+    c = re.sub(COPYRIGHT_LINE, "", "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in c))
+    c = re.sub(r"[ \t\r]+", " ", re.sub(BROKEN_LINE, " ", re.sub(BROKEN_HYPHEN, "-", c)))
     for old, new in SPELLINGS:
         c = c.replace(old, new)
     return re.sub(r"[\W_]+", " ", c).strip()
@@ -106,11 +128,11 @@ def license_scan(docs: DataFrame, known: Mapping[str, str] = KNOWN, doc_id: str
     spark: SparkSession = docs.sparkSession
     by = digests(known)
     table = spark.createDataFrame([(v, k) for k, v in by.items()], "text_digest string, license_id string")
-    c = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), canonical(text).alias("c"))
-    line_digests = F.transform(F.split("c", "\n"), lambda x: F.sha2(F.trim(x), 256))
+    c = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), _body(text).alias("body"))
+    line_digests = F.transform(F.split(canonical(F.col("body")), "\n"), lambda x: F.sha2(F.trim(x), 256))
     known_list = F.array(*[F.lit(v) for v in by.values()])
     hits = F.filter(line_digests, lambda x: F.array_contains(known_list, x))
-    c = c.select("doc_id", F.sha2(one_line(F.col("c")), 256).alias("text_digest"), hits.alias("hits"))
+    c = c.select("doc_id", F.sha2(one_line(F.col("body")), 256).alias("text_digest"), hits.alias("hits"))
     names = F.create_map(*[F.lit(x) for k, v in by.items() for x in (v, k)])
     return (c.join(F.broadcast(table), "text_digest", "left")
             .select("doc_id", "text_digest", "license_id", F.size("hits").cast("long").alias("n_notices"),

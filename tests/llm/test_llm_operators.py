@@ -480,6 +480,34 @@ def test_license_scan(spark, hard, empty):
     assert licenses.license_scan(hard).count() == len(HARD) and licenses.license_scan(empty).count() == 0
 
 
+def rewrapped(text, width):
+    import textwrap
+    if width is None:
+        return " ".join(text.split())
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in text.split("\n\n"))
+
+
+def test_license_scan_any_wrap(spark):
+    """Known texts are found however their lines break; true notice lines don't count, prose about copyright does."""
+    rows, want = [], {}
+    for name, text in licenses.KNOWN.items():
+        for width in (None, 20, 30, 40, 60, 72, 80, 100, 117):
+            want[len(rows)] = name
+            rows.append((len(rows), rewrapped(text, width)))
+    mit = licenses.KNOWN["MIT"]
+    for notice in ("Copyright (c) 2020 Jane Doe", "Copyright 2020-2024, Example Inc.", "(c) 2019 Jane Doe", "© Jane Doe", "Copyright Jane Doe",
+                   "(C) Jane Doe and the Example Authors", "Copyright (c) <year> <owner>", "All rights reserved."):
+        want[len(rows)] = "MIT"
+        rows.append((len(rows), f"{notice}\n\n{mit}"))
+    for prose in ("Copyright holders may object to this.", "(c) You must retain, in the Source form, all notices", "Copyright Holders", "All rights reserved by law"):
+        want[len(rows)] = None
+        rows.append((len(rows), f"{prose}\n\n{mit}"))
+    rows += [(1000, "all copyright\nholders"), (1001, "all copyright owners"), (1002, "sub-\n * license"), (1003, "sublicense")]
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs(spark, rows)).collect()}
+    assert {i: got[i]["license_id"] for i in want} == want
+    assert got[1000]["text_digest"] == got[1001]["text_digest"] and got[1002]["text_digest"] == got[1003]["text_digest"]
+
+
 # -- 9 ----------------------------------------------------------------------------------------------
 
 def test_secret_scan(spark, hard, empty):
