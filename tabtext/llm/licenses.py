@@ -81,6 +81,56 @@ language governing permissions and limitations under the License.""",
     "MIT-notice": "Released under the MIT License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form
+or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to
+the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>""",
+}
+KNOWN |= {f"{k}+untitled": KNOWN[k].partition("\n\n")[2] for k in ("MIT", "ISC")}
+
+_BSD = ("""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:""", (
+    """Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.""",
+    """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.""",
+    """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""), """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""")
+for _n in (2, 3):
+    for _title in (f"BSD {_n}-Clause License", ""):
+        for _numbered in (True, False):
+            KNOWN[f"BSD-{_n}-Clause" + "+untitled" * (not _title) + "+bullets" * (not _numbered)] = "\n\n".join(
+                [_title, _BSD[0], *((f"{i}. " if _numbered else "* ") + x for i, x in enumerate(_BSD[1][:_n], 1)), _BSD[2]]).strip()
+
+# Digests of longer whole texts, in the wording of Debian's /usr/share/common-licenses.
+WHOLE = {
+    "Apache-2.0-text": "7dc0ccfedfe9cf9e59c97a3e43eea7b035a0e7a7be84d714acef36eb5c9fb4bc",
+    "Apache-2.0-text+no-appendix": "4f14b6cbdd362d5a6d1023eaee7538d57a6c9271c5e1de4bdc60e02a182c0730",
+    "Apache-2.0-text+no-end": "ac68c71d53e621b3beea1252644799f10f9c4712422f05798ef36f47219e5ad1",
+    "GPL-2.0-text": "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6",
+    "GPL-3.0-text": "42de4913c0ec220db6e274a84efcdc7a52715762d22943334032232048072bc1",
+    "LGPL-2.1-text": "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692",
+    "LGPL-3.0-text": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-2.0-text": "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13",
+    "CC0-1.0-text": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
 }
 
 
@@ -117,16 +167,17 @@ def canonical_text(text: str) -> str:
     return re.sub(r"[\W_]+", " ", c).strip()
 
 
-def digests(known: Mapping[str, str] = KNOWN) -> dict[str, str]:
-    """licence id -> SHA-256 of its canonical text."""
-    return {k: hashlib.sha256(canonical_text(v).encode()).hexdigest() for k, v in known.items()}
+def digests(known: Mapping[str, str] = KNOWN, whole: Mapping[str, str] = WHOLE) -> dict[str, str]:
+    """licence id -> SHA-256 of its canonical text; what follows a + in the id names the variant of the text."""
+    return {k: hashlib.sha256(canonical_text(v).encode()).hexdigest() for k, v in known.items()} | dict(whole)
 
 
-def license_scan(docs: DataFrame, known: Mapping[str, str] = KNOWN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, known: Mapping[str, str] = KNOWN, doc_id: str = "doc_id", text: str = "text",
+                 whole: Mapping[str, str] = WHOLE) -> DataFrame:
     """One row per document: ``doc_id, text_digest, license_id`` (of the entire text, or null), ``n_notices`` and
     ``notice_ids`` (the known texts that are a line of it, sorted, comma-separated)."""
     spark: SparkSession = docs.sparkSession
-    by = digests(known)
+    by = digests(known, whole)
     table = spark.createDataFrame([(v, k) for k, v in by.items()], "text_digest string, license_id string")
     c = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), _body(text).alias("body"))
     line_digests = F.transform(F.split(canonical(F.col("body")), "\n"), lambda x: F.sha2(F.trim(x), 256))

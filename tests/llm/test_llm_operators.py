@@ -508,6 +508,24 @@ def test_license_scan_any_wrap(spark):
     assert got[1000]["text_digest"] == got[1001]["text_digest"] and got[1002]["text_digest"] == got[1003]["text_digest"]
 
 
+DEBIAN = {"Apache-2.0-text": "Apache-2.0", "GPL-2.0-text": "GPL-2", "GPL-3.0-text": "GPL-3", "LGPL-2.1-text": "LGPL-2.1",
+          "LGPL-3.0-text": "LGPL-3", "MPL-2.0-text": "MPL-2.0", "CC0-1.0-text": "CC0-1.0"}
+
+
+def test_license_scan_whole_texts(spark):
+    """The whole texts that Debian ships are in the table, and every digest stands for one text."""
+    import os
+    assert len(set(licenses.digests().values())) == len(licenses.digests())
+    folder = "/usr/share/common-licenses"
+    found = {k: f"{folder}/{f}" for k, f in DEBIAN.items() if os.path.exists(f"{folder}/{f}")}
+    if not found:
+        pytest.skip("no licence texts on this machine")
+    rows = [(i, open(f, encoding="utf-8").read()) for i, f in enumerate(found.values())]
+    rows.append((len(rows), licenses.KNOWN["BSD-3-Clause"].upper()))
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == [*found, "BSD-3-Clause"]
+
+
 # -- 9 ----------------------------------------------------------------------------------------------
 
 def test_secret_scan(spark, hard, empty):
