@@ -15,8 +15,8 @@ A piece's rank among those of its length is its number within its task plus the
 of the tasks before, so no length, however frequent, meets in one task.
 
 Defined cases: a null or empty text is one piece that holds the separator only; every
-row is packed on its own, repeated rows and ids included; a null id stays null; texts
-that spell a special token are ordinary text; further columns are ignored; an empty
+row is packed on its own, repeated rows and ids included; a null id stays null; a text
+that spells an added token of the vocabulary file gets its id; further columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -41,31 +41,33 @@ SEPARATOR = 0
 # -- tokens ---------------------------------------------------------------------------------------
 
 @lru_cache(maxsize=4)
-def _encoder(path: str):
-    """An encoder of the byte-level BPE vocabulary file at ``path``.
+def _encoder(path: str, encode_special_tokens: bool = True):
+    """An encoder of the byte-level BPE vocabulary file at ``path``; ``encode_special_tokens`` is that of
+    ``tokenizers``: True spells the file's added tokens out as ordinary text, False gives their ids.
 
     The vocabulary is read with ``tokenizers``; the merges run in ``tiktoken``, which gives the same ids
     for byte-level BPE several times faster (tests compare the two)."""
     import tiktoken
     from tokenizers import Tokenizer
 
-    vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+    tokenizer = Tokenizer.from_file(path)
+    vocab = tokenizer.get_vocab(with_added_tokens=False)
+    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     # Byte-level vocabularies write the bytes that are not printable as the characters from 256 on.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain}
     byte |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte[c] for c in tok): i for tok, i in vocab.items() if all(c in byte for c in tok)}
     split = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    special = {t: i for t, i in vocab.items() if t == "<|endoftext|>"}
-    for t in special:
+    for t in added:
         ranks.pop(t.encode(), None)
-    return tiktoken.Encoding("byte-level", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-level", pat_str=split, mergeable_ranks=ranks, special_tokens={} if encode_special_tokens else added)
 
 
-def encode(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
-    enc = _encoder(path)
+def encode(texts: list[str | None], path: str, encode_special_tokens: bool = True) -> Iterator[np.ndarray]:
+    enc = _encoder(path, encode_special_tokens)
     for t in texts:
-        yield np.array([*enc.encode_ordinary(t or ""), SEPARATOR], dtype="<u4")
+        yield np.array([*enc.encode(t or "", allowed_special="all", disallowed_special=()), SEPARATOR], dtype="<u4")
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -89,7 +91,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_
             column = batch.column("text")
             for low in range(0, batch.num_rows, 256):
                 rows, out, flat = [], [], []
-                for i, ids in enumerate(encode(column.slice(low, 256).to_pylist(), tokenizer), low):
+                for i, ids in enumerate(encode(column.slice(low, 256).to_pylist(), tokenizer, False), low):
                     for k, (start, length) in enumerate(pieces_of(len(ids), capacity)):
                         ids_of = ids[start:start + length]
                         rows.append(i)

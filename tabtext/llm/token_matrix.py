@@ -148,7 +148,7 @@ def write_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, bl
             column = batch.column("text")
             known.append(batch.column("doc_id"))
             for low in range(0, batch.num_rows, 256):
-                for i, ids in enumerate(encode(column.slice(low, 256).to_pylist(), tokenizer), low):
+                for i, ids in enumerate(encode(column.slice(low, 256).to_pylist(), tokenizer, False), low):
                     for k, (start, length) in enumerate(pieces_of(len(ids), capacity)):
                         p = ids[start:start + length]
                         meta.append((base + i, k, start, zlib.crc32(p.tobytes())))

@@ -372,6 +372,19 @@ def test_encoder_equals_tokenizers():
     assert [x.tolist() for x in packing.encode(texts, tokenizer_path())] == hf_ids(texts)
 
 
+def test_pieces_hold_the_ids_of_added_tokens(spark):
+    """The ids are those of an unmodified tokenizer with add_special_tokens=False, markers in the text included."""
+    import numpy as np
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext", "no marker"]
+    rows = {r["doc_id"]: r for r in packing.pack_documents(docs(spark, list(enumerate(texts))), tokenizer_path(), with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        want = plain.encode(t, add_special_tokens=False).ids + [0]
+        assert list(rows[i]["ids"]) == want and rows[i]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+    assert list(rows[0]["ids"]) == [64, 220, 50256, 275, 0]
+
+
 def check_pieces(rows, source):
     import numpy as np
     ids = hf_ids([t for _, t in source])
