@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives (operator 9).
 
-Candidates are words of 8 characters or more with two digits or more, or with 12 capitals or more and no small letter
+Candidates are words of 8 characters or more with two digits or more, or with 12 capitals or more and no small letter,
+and, whatever their digits, words of 8 or more that match a published credential format or follow a secret's name with = or :
 (found vectorised in whole texts, quotes and punctuation around them stripped).  Their features: length, shares and transitions of character classes, entropy, how
 surprising their neighbouring characters are in the corpus's words, how much of them dictionary words cover, the path
 (``source``) they come from, and hashes of the neighbouring words.  The dictionary and the character transitions are counted over
@@ -46,6 +47,10 @@ SECRET_FORMATS = (r"AKIA[0-9A-Z]{16}", r"(?:password|passwd|pwd|secret)[=:]\S{8,
                   r"xox[abprs]-[0-9A-Za-z-]{10,}", r"eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}", r"AIza[0-9A-Za-z_-]{35}",
                   r"sk_live_[0-9A-Za-z]{16,}")
 SECRET_NAMES = r"(?:token|secret|apikey|api_key|access_key|password)"
+# Where such a word may be: the formats' openings and the names; then the name with what follows it in its word.
+HINT = re.compile(rb"AKIA|gh[pousr]_|xox[abprs]-|eyJ|AIza|sk_live_|(?i:password|passwd|pwd|secret|token|api_?key|access_key)")
+NAMED = re.compile(rb"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_key)[\"'`\])}]*(?:[=:]+(.*))?$", re.S)
+FORMATS = [re.compile(p) for p in SECRET_FORMATS]
 HEX_SECRET = r"[0-9a-f]{32,64}"
 HARMLESS_FORMATS = (r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", r"\d{1,3}(?:\.\d{1,3}){3}", r"\+?[\d()./-]*(?:\d[()./-]?){7,18}",
                     r"https?://\S+", r"\d{4}-\d{2}-\d{2}\S*")
@@ -130,6 +135,37 @@ def _inside(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.nd
     return np.searchsorted(at, ends) - np.searchsorted(at, starts)
 
 
+def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which words match a published format, hold a secret's name with = or : and a value, or are the value after one."""
+    out, raw = np.zeros(len(starts), bool), data.tobytes()
+    at = np.fromiter((m.start() for m in HINT.finditer(raw)), np.int64)
+    hinted = np.unique(np.searchsorted(starts, at, "right") - 1) if len(at) else at
+    strip = STRIP.encode()
+    for k in hinted[hinted >= 0].tolist():
+        word = raw[starts[k]:ends[k]]
+        bare = word.strip(strip)
+        if any(p.fullmatch(bare.decode("utf-8", "replace")) for p in FORMATS):
+            out[k] = True
+        m = NAMED.search(word)
+        if not m:
+            continue
+        value, sign = m[1], m[1] is not None
+        if value and value.strip(strip):
+            out[k] |= len(value.strip(strip)) >= MIN_LENGTH
+            continue
+        k += 1
+        if not sign and k < len(starts) and doc[k] == doc[k - 1]:  # the sign opens the next word or is all of it
+            word = raw[starts[k]:ends[k]]
+            sign = word[:1] in (b"=", b":")
+            if sign and word.strip(b"=:"):
+                out[k] = True
+                continue
+            k += 1
+        if sign and k < len(starts) and doc[k] == doc[k - 1]:
+            out[k] = True
+    return out
+
+
 def candidates(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text",
                path: str = "source") -> DataFrame:
     """``doc_id, start, candidate, before, x``: every candidate with its byte offset and features."""
@@ -148,6 +184,7 @@ def candidates(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], doc_id: st
                 many = (_inside(data, starts, ends, DIGIT) >= MIN_DIGITS) | (
                     _inside(data, starts, ends, CAPITAL) >= MIN_CAPITALS) & (_inside(data, starts, ends, SMALL) == 0)
                 doc = ts.doc_of(wb)
+                many |= _named(data, starts, ends, doc)
                 for k in np.flatnonzero(many & (ends - starts >= MIN_LENGTH)):
                     raw = data[starts[k]:ends[k]].tobytes()
                     word = raw.strip(STRIP.encode())

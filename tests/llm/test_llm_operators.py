@@ -562,6 +562,20 @@ def test_secret_scan(spark, hard, empty):
     assert secrets.secret_findings(hard).count() == 0 and secrets.secret_findings(empty).count() == 0
 
 
+def test_secret_candidates_without_digits(spark):
+    """Published formats and values after a secret's name are candidates whatever their digits."""
+    found = ["password=correcthorsebattery", "secret=Summer!Rain-Gate", "pwd: Grüne-Wiese", 'token = "AbcDefGhiJkl"', 'x={"api_key":"QwErTyUiOpAs"}',
+             "Password :correcthorse", "access_key =\n  lowercaseonly", "ghp_" + "aBcDeF" * 6, "client_secret=Summer!Rain", "two passwords passwd=firstvalue pwd=secondvalue"]
+    want = ["password=correcthorsebattery", "secret=Summer!Rain-Gate", "Grüne-Wiese", "AbcDefGhiJkl", 'x={"api_key":"QwErTyUiOpAs', ":correcthorse",
+            "lowercaseonly", "ghp_" + "aBcDeF" * 6, "client_secret=Summer!Rain", None]
+    other = ["the secret of tokenizers", "password", "token:", "secret passages everywhere", "pwd=short", None]
+    df = docs(spark, [(i, f"some words {t} at the end" if t else t) for i, t in enumerate(found + other)] + [(100, "password="), (101, "correcthorse battery")])
+    got = collections.defaultdict(list)
+    for r in secrets.candidates(df, secrets.dictionary(secrets.corpus_counts(df))).collect():
+        got[r["doc_id"]].append(r["candidate"])
+    assert {k: sorted(v) for k, v in got.items()} == {i: [w] if w else ["passwd=firstvalue", "pwd=secondvalue"] for i, w in enumerate(want)}
+
+
 def test_secret_forest_generalises(spark):
     """Labels of one half of the documents; the other half's formats are found without their rule."""
     rng = random.Random(10)
