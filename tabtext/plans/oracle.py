@@ -596,12 +596,13 @@ LINEAR_SCORES = f"""
 SQL["run_text_linear_scores"] = W(LINEAR_SCORES + " SELECT * FROM pred", "fx_text_class")
 
 SQL["xpl_3_occlusion_attributions"] = W(LINEAR_SCORES + """
-    , part AS (SELECT r.key, r.term, r.raw, w.w FROM raw r JOIN w0 w ON r.term = w.term
-               JOIN (SELECT key FROM fx_text_class WHERE split = 'valid') v ON v.key = r.key),
-    tot AS (SELECT key, count(*) AS n, sum(raw * w) AS s, sum(raw * raw) AS n2 FROM part GROUP BY key)
+    , part AS (SELECT dt.key, dt.term, COALESCE(dt.tf * idf.idf, 0.0) AS raw, w.w FROM dt LEFT JOIN idf ON idf.term = dt.term
+               JOIN w0 w ON dt.term = w.term
+               JOIN (SELECT key FROM fx_text_class WHERE split = 'valid') v ON v.key = dt.key),
+    tot AS (SELECT key, count(CASE WHEN raw <> 0 THEN 1 END) AS n, sum(raw * w) AS s, sum(raw * raw) AS n2 FROM part GROUP BY key)
     SELECT p.key AS sample, p.term AS token, 0 AS class,
-           round(t.s / sqrt(t.n2) - CASE WHEN t.n > 1 AND t.n2 - p.raw * p.raw > 0
-                 THEN (t.s - p.raw * p.w) / sqrt(t.n2 - p.raw * p.raw) ELSE 0.0 END, 9) + 0.0 AS shap_value
+           round(CASE WHEN p.raw = 0 THEN 0.0 ELSE t.s / sqrt(t.n2) - CASE WHEN t.n > 1 AND t.n2 - p.raw * p.raw > 0
+                 THEN (t.s - p.raw * p.w) / sqrt(t.n2 - p.raw * p.raw) ELSE 0.0 END END, 9) + 0.0 AS shap_value
     FROM part p JOIN tot t ON p.key = t.key""".replace("w0 w", """(
         SELECT dt.term, ln((sum(CASE WHEN f.split = 'train' AND f.label = 1 THEN tf ELSE 0 END) + 1.0)
                          / (sum(CASE WHEN f.split = 'train' AND f.label = 0 THEN tf ELSE 0 END) + 1.0)) AS w
