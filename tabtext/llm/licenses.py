@@ -8,6 +8,8 @@ The SHA-256 of the canonical whole text is hash-joined to the digests of known l
 (a fixed table of a few rows, so its broadcast has a proven bound).  The canonical lines of the text are
 matched against the same digests, which finds licence notices that stand as a line of a longer document.
 
+Every pattern takes linear time and no stack, so lines, words and runs of any length (megabytes) are scanned whole.
+
 Defined cases: a null text counts as empty, its canonical form is empty and is no licence; repeated rows are
 scanned one by one; a null id stays null; further columns are ignored; an empty table gives an empty result.
 """
@@ -31,16 +33,22 @@ SPELLINGS = (
     ("analogue", "analog"), ("http:", "https:"), ("per cent", "percent"), ("wilful", "willful"),
 )
 
+# What may stand before a notice on its line.
+LEAD = r"[ \t/*#;>-]*"
 # Notice lines of lower-cased text; a line of prose that opens with 'copyright holders' or '(c) you must' is none.
-COPYRIGHT_LINE = (r"(?m)^[ \t/*#;>-]*(copyright[ \t:,]*(\(c\)|©|[<\[{(]?[0-9]{4}|[<\[{(]?yyyy|[<\[{(]year)|"
-                  r"\(c\)[ \t:,]*(copyright|[<\[{(]?[0-9]{4}|[<\[{(]?yyyy|[<\[{(]year)|©)[^\n]*$|"
-                  r"^[ \t/*#;>-]*all rights reserved[ \t\r.*/]*$")
+COPYRIGHT_LINE = (rf"^{LEAD}(copyright[ \t:,]*(\(c\)|©|[<\[{{(]?[0-9]{{4}}|[<\[{{(]?yyyy|[<\[{{(]year)|"
+                  r"\(c\)[ \t:,]*(copyright|[<\[{(]?[0-9]{4}|[<\[{(]?yyyy|[<\[{(]year)|©)|"
+                  rf"^{LEAD}all rights reserved[ \t\r.*/]*$")
 # Notice lines that only their capitals tell from prose: 'Copyright Jane Doe and the Example Authors', '(c) Jane Doe'.
-_NAME = r"[A-ZÀ-ÖØ-Þ][^\s,;:()]*[a-zà-öø-ÿ][^\s,;:()]*"
-NAME_LINE = (r"(?m)^[ \t/*#;>-]*(?:[Cc]opyright|COPYRIGHT|\([cC]\))[ \t:,]+(?:(?:by|the|The)[ \t]+)*"
-             r"(?!(?:Holder|Owner|Notice|Licen[sc]e|Law|Act|Treaty|Right|Statement)s?\b)" + _NAME +
-             rf"(?:[ \t,]+(?:{_NAME}|[A-Z]\.?|and|of|by|the|&|<[^>\n]*>))*[ \t\r.]*$")
-BROKEN_HYPHEN, BROKEN_LINE = r"-[ \t\r]*\n[ \t/*#;>-]*", r"[ \t\r]*\n[ \t/*#;>-]*"
+# Every word is tested by itself, so that a line of any length takes linear time.
+NAME_HEAD = rf"^{LEAD}([Cc]opyright|COPYRIGHT|\([cC]\))[ \t:,]+"
+NAME_WORD = r"^[A-ZÀ-ÖØ-Þ][^\x09-\x0D ,;:()]*$"
+SMALL = r"[a-zà-öø-ÿ]"
+INITIAL = r"^[A-Z]\.?$"
+NOT_A_NAME = r"^(Holder|Owner|Notice|License|Licence|Law|Act|Treaty|Right|Statement)s?([^A-Za-z0-9_]|$)"
+BEFORE_NAME = ("by", "the", "The")
+BETWEEN_NAMES = ("and", "of", "by", "the", "&")
+ADDRESS = r"[ \t,]<[^<>]*>"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 # Licence texts and notices as published.
@@ -134,10 +142,27 @@ WHOLE = {
 }
 
 
+def _is_name(word: Column) -> Column:
+    return word.rlike(NAME_WORD) & F.substring(word, 2, 1 << 30).rlike(SMALL)
+
+
+def _names_only(line: Column) -> Column:
+    """Is what follows the head of a notice a list of names?"""
+    rest = F.rtrim(F.regexp_replace(F.regexp_replace(line, NAME_HEAD, ""), ADDRESS, " &"), F.lit(" \t\r."))
+    words = F.split(rest, r"[ \t,]+")
+    first = F.get(F.filter(words, lambda w: ~w.isin(*BEFORE_NAME)), F.lit(0))
+    listed = F.forall(words, lambda w: w.isin(*BETWEEN_NAMES) | w.rlike(INITIAL) | _is_name(w))
+    return F.coalesce(_is_name(first) & ~first.rlike(NOT_A_NAME) & listed, F.lit(False))
+
+
+def _is_notice(line: Column) -> Column:
+    return lower_ascii(line).rlike(COPYRIGHT_LINE) | F.when(line.rlike(NAME_HEAD), _names_only(line)).otherwise(F.lit(False))
+
+
 def _body(text: str) -> Column:
-    """The text without its notice lines, lower-cased."""
-    c = F.regexp_replace(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), NAME_LINE, "")
-    return F.regexp_replace(lower_ascii(c), COPYRIGHT_LINE, "")
+    """The lower-cased lines of the text; notice lines are empty."""
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return F.transform(F.split(whole, "\n"), lambda x: F.when(_is_notice(x), F.lit("")).otherwise(lower_ascii(x)))
 
 
 def _unified(c: Column) -> Column:
@@ -148,20 +173,40 @@ def _unified(c: Column) -> Column:
 
 def canonical(body: Column) -> Column:
     """The canonical lines; words are separated by one space."""
-    return _unified(F.regexp_replace(body, r"[ \t]+", " "))
+    return _unified(F.regexp_replace(F.array_join(body, "\n"), r"[ \t]+", " "))
 
 
 def one_line(body: Column) -> Column:
     """The canonical text in one line: line breaks are folded before spellings are unified."""
-    c = F.regexp_replace(F.regexp_replace(body, BROKEN_HYPHEN, "-"), BROKEN_LINE, " ")
+    ends = F.transform(body, lambda x: F.rtrim(x, F.lit(" \t\r")))
+    lines = F.transform(ends, lambda x, i: F.when(i == 0, x).otherwise(F.ltrim(x, F.lit(" \t/*#;>-"))))
+    c = F.replace(F.replace(F.array_join(lines, "\n"), F.lit("-\n"), F.lit("-")), F.lit("\n"), F.lit(" "))
     return F.trim(_unified(F.regexp_replace(c, r"[ \t\r]+", " ")))
 
 
+def _lower(text: str) -> str:
+    return "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text)
+
+
+def is_notice_line(line: str) -> bool:
+    """The same rule for one line, for the fixed table."""
+    if re.search(COPYRIGHT_LINE, _lower(line)):
+        return True
+    if not re.search(NAME_HEAD, line):
+        return False
+    rest = re.sub(ADDRESS, " &", re.sub(NAME_HEAD, "", line)).rstrip(" \t\r.")
+    words = re.split(r"[ \t,]+", rest)
+    name = lambda w: bool(re.search(NAME_WORD, w) and re.search(SMALL, w[1:]))
+    first = next((w for w in words if w not in BEFORE_NAME), "")
+    return (name(first) and not re.search(NOT_A_NAME, first)
+            and all(w in BETWEEN_NAMES or bool(re.search(INITIAL, w)) or name(w) for w in words))
+
+
 def canonical_text(text: str) -> str:
     """The canonical form of one text in one line, for the fixed table."""
-    c = re.sub(NAME_LINE, "", text)
-    c = re.sub(COPYRIGHT_LINE, "", "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in c))
-    c = re.sub(r"[ \t\r]+", " ", re.sub(BROKEN_LINE, " ", re.sub(BROKEN_HYPHEN, "-", c)))
+    lines = ["" if is_notice_line(x) else _lower(x).rstrip(" \t\r") for x in text.split("\n")]
+    c = "\n".join(x if not i else x.lstrip(" \t/*#;>-") for i, x in enumerate(lines)).replace("-\n", "-").replace("\n", " ")
+    c = re.sub(r"[ \t\r]+", " ", c)
     for old, new in SPELLINGS:
         c = c.replace(old, new)
     return re.sub(r"[\W_]+", " ", c).strip()

@@ -56,21 +56,36 @@ FROM h WINDOW g AS (PARTITION BY text_sha256)"""
 
 
 def _op5() -> str:
-    from .licenses import COPYRIGHT_LINE, SPELLINGS, digests
-    q = lambda s: s.replace("'", "''")
-    c = f"regexp_replace({LOWER}, '{q(COPYRIGHT_LINE)}', '', 'g')"
-    for old, new in SPELLINGS:
-        c = f"replace({c}, '{q(old)}', '{q(new)}')"
-    c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
-    known = ", ".join(f"('{v}', '{k}')" for k, v in digests().items())
+    """Lines first: notices are emptied, the rest is lower-cased; then the canonical lines and the canonical text."""
+    from . import licenses as L
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    small = "translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    name = L.NAME_WORD[1:-1] + L.SMALL + L.NAME_WORD[L.NAME_WORD.index("[^"):-1]  # a capital, then a small letter anywhere
+    between = "|".join(L.BETWEEN_NAMES)
+    names = (rf"{L.NAME_HEAD}((by|the|The)[ \t,]+)*{name}([ \t,]+({name}|[A-Z]\.?|{between}|<[^<>]*>))*[ \t\r.]*$")
+    no_name = rf"{L.NAME_HEAD}((by|the|The)[ \t,]+)*({L.NOT_A_NAME[1:]}|(by|the|The)?[ \t\r.]*$)"
+    notice = (f"regexp_matches({small}, {q(L.COPYRIGHT_LINE)}) OR "
+              f"(regexp_matches(x, {q(names)}) AND NOT regexp_matches(x, {q(no_name)}))")
+
+    def unified(c: str) -> str:
+        for old, new in L.SPELLINGS:
+            c = f"replace({c}, {q(old)}, {q(new)})"
+        return f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+
+    folded = ("regexp_replace(regexp_replace(array_to_string(body, chr(10)), '-[ \\t\\r]*\\n[ \\t/*#;>-]*', '-', 'g'), "
+              "'[ \\t\\r]*\\n[ \\t/*#;>-]*', ' ', 'g')")
+    whole = unified(f"regexp_replace({folded}, '[ \\t\\r]+', ' ', 'g')")
+    lines = unified("regexp_replace(array_to_string(body, chr(10)), '[ \\t]+', ' ', 'g')")
+    known = ", ".join(f"('{v}', '{k}')" for k, v in L.digests().items())
     return f"""
 WITH known(text_digest, license_id) AS (VALUES {known}),
-c AS (SELECT doc_id, row_number() OVER () AS r, {c} AS c FROM documents),
+c AS (SELECT doc_id, row_number() OVER () AS r,
+             [CASE WHEN {notice} THEN '' ELSE {small} END FOR x IN string_split(coalesce(text, ''), chr(10))] AS body FROM documents),
 hit AS (
   SELECT r, k.license_id AS notice
-  FROM (SELECT r, sha256(trim(unnest(string_split(c, chr(10))))) AS d FROM c) l JOIN known k ON k.text_digest = l.d),
+  FROM (SELECT r, sha256(trim(unnest(string_split({lines}, chr(10))))) AS d FROM c) l JOIN known k ON k.text_digest = l.d),
 found AS (SELECT r, count(*) AS n, string_agg(DISTINCT notice, ',' ORDER BY notice) AS ids FROM hit GROUP BY r),
-whole AS (SELECT doc_id, r, sha256(trim(regexp_replace(c, '[ \\n]+', ' ', 'g'))) AS text_digest FROM c)
+whole AS (SELECT doc_id, r, sha256(trim({whole})) AS text_digest FROM c)
 SELECT doc_id, whole.text_digest, license_id, coalesce(n, 0) AS n_notices, coalesce(ids, '') AS notice_ids
 FROM whole LEFT JOIN known USING (text_digest) LEFT JOIN found ON whole.r = found.r"""
 
