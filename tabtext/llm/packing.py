@@ -16,7 +16,8 @@ of the tasks before, so no length, however frequent, meets in one task.
 
 Defined cases: a null or empty text is one piece that holds the separator only; every
 row is packed on its own, repeated rows and ids included; a null id stays null; a text
-that spells an added token of the vocabulary file gets its id; further columns are ignored; an empty
+that spells an added token of the vocabulary file gets its id; runs of blanks, letters or marks of any length are
+encoded; further columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -64,10 +65,22 @@ def _encoder(path: str, encode_special_tokens: bool = True):
     return tiktoken.Encoding("byte-level", pat_str=split, mergeable_ranks=ranks, special_tokens={} if encode_special_tokens else added)
 
 
+@lru_cache(maxsize=4)
+def _tokenizer(path: str, encode_special_tokens: bool):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = encode_special_tokens
+    return tokenizer
+
+
 def encode(texts: list[str | None], path: str, encode_special_tokens: bool = True) -> Iterator[np.ndarray]:
     enc = _encoder(path, encode_special_tokens)
     for t in texts:
-        yield np.array([*enc.encode(t or "", allowed_special="all", disallowed_special=()), SEPARATOR], dtype="<u4")
+        try:
+            ids = enc.encode(t or "", allowed_special="all", disallowed_special=())
+        except ValueError:  # its splitter gives up on runs of about a million blanks
+            ids = _tokenizer(path, encode_special_tokens).encode(t, add_special_tokens=False).ids
+        yield np.array([*ids, SEPARATOR], dtype="<u4")
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:

@@ -8,11 +8,11 @@ size stay the same at every input size, and no id crosses the network.  The resu
 
 File layout, little-endian: eight 64-bit numbers (magic, rows, capacity, segments, bytes of an id, 0...), the matrix
 (unsigned ids of 16 bits where the vocabulary fits, else of 32; free places 0), ``cu_seqlens`` (row offsets first: rows + 1
-64-bit numbers, then for each row the 32-bit ends of its segments).  The position ids follow from them: they restart at 0
-where a segment begins (see ``read_block``).
+64-bit numbers, then for each row the 32-bit ends of its segments), ``resets`` (for each row the 32-bit places where its
+position ids restart at 0, one a segment).
 
 Defined cases: a null or empty text is one piece that holds the separator only; every row is packed on its own, repeated
-rows included; a null id stays null; further columns are ignored; an empty table gives an empty result and no file.
+rows included; runs of blanks, letters or marks of any length are encoded; a null id stays null; further columns are ignored; an empty table gives an empty result and no file.
 """
 
 from __future__ import annotations
@@ -97,9 +97,10 @@ def block_bytes(pieces: list[np.ndarray], row: np.ndarray, offset: np.ndarray, r
         matrix[r, o:o + len(p)] = p
     order = np.lexsort((offset, row))
     ends = (offset + np.array([len(p) for p in pieces]))[order].astype("<i4")
+    resets = offset[order].astype("<i4")
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype("<i8")
     head = np.array([MAGIC, rows, capacity, len(pieces), width, 0, 0, 0], "<i8")
-    return [head.tobytes(), matrix.tobytes(), first.tobytes(), ends.tobytes()]
+    return [head.tobytes(), matrix.tobytes(), first.tobytes(), ends.tobytes(), resets.tobytes()]
 
 
 def read_block(uri: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -115,11 +116,12 @@ def read_block(uri: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     at += matrix.nbytes
     first = np.frombuffer(data, "<i8", rows + 1, at)
     ends = np.frombuffer(data, "<i4", segments, at + first.nbytes)
+    resets = np.frombuffer(data, "<i4", segments, at + first.nbytes + ends.nbytes)
     cu, positions = [], np.zeros((rows, capacity), np.int64)
     for r in range(rows):
-        c = np.concatenate([[0], ends[first[r]:first[r + 1]]])
-        cu.append(c)
-        for a, b in zip(c[:-1], c[1:]):
+        mine = slice(first[r], first[r + 1])
+        cu.append(np.concatenate([[0], ends[mine]]))
+        for a, b in zip(resets[mine], ends[mine]):
             positions[r, a:b] = np.arange(b - a)
     return matrix, cu, positions
 
