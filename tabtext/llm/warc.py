@@ -11,7 +11,7 @@ Reader: a task streams an archive from front to back, decompresses member by mem
 It holds one read buffer, and the payload only if asked to.
 
 Defined cases: a null page counts as the empty payload; a null url gives no target header; line ends and blanks in
-a url are percent-encoded; repeated rows each get a record, and all rows that share the smallest id are responses; pages
+a url are percent-encoded, and a url may be of any length; repeated rows each get a record, and all rows that share the smallest id are responses; pages
 with a null id are revisits of the smallest id of their payload, and responses where no page with that payload has an
 id; further columns are ignored; an empty table gives no archive and an empty result.
 """
@@ -113,12 +113,17 @@ class Members:
                 return True
         return False
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (at := self.plain.find(mark)) < 0:
-            if len(self.plain) > most or not self.fill():
+    def until(self, mark: bytes) -> bytes:
+        """The bytes before ``mark``, however many; the member ends without it: an error."""
+        held = bytearray(self.plain)
+        seen = 0
+        while (at := held.find(mark, max(0, seen - len(mark)))) < 0:
+            seen, self.plain = len(held), b""
+            if not self.fill():
                 raise WarcError("a record has no end of headers")
-        out, self.plain = self.plain[:at], self.plain[at + len(mark):]
-        return out
+            held += self.plain
+        self.plain = bytes(held[at + len(mark):])
+        return bytes(held[:at])
 
     def exactly(self, n: int) -> Iterator[bytes]:
         while n:
