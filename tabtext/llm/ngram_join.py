@@ -262,11 +262,15 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with its columns.  Rows with that id all stay, and
-    so do rows without an id."""
-    out = ngram_components(docs, doc_id, text)
-    gone = written(out.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")), "ngram-gone")
+    """One document of each component, the one with the smallest id (null is the largest), with its columns.
+
+    A row is known by its id and its text: rows that share an id but not a text are decided one by one, and rows equal in
+    both stay or go together."""
+    inner, at = plain_names(docs)
+    c = F.col(at[doc_id])
+    inner = inner.withColumn("__row", F.struct(c.isNull().alias("none"), c.alias("id"), F.xxhash64(F.col(at[text]).cast("string")).alias("h")))
+    out = ngram_components(inner, "__row", at[text])
+    gone = written(out.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "ngram-gone")
     if gone.count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    inner, at = plain_names(docs)
-    return own_names(inner.join(gone, F.col(at[doc_id]) == F.col("__gone"), "left_anti"), at)
+    return own_names(inner.join(gone, F.col("__row") == F.col("__gone"), "left_anti"), at)
