@@ -33,7 +33,10 @@ from pyspark.sql import functions as F
 from .common import attach, lower_ascii, own_names, plain_names, written
 
 BITS_PER_ROW = 16
-MAX_BROADCAST_WORDS = 1 << 20
+#: Words of one broadcast part of the filter (16 bytes each), and how many parts are broadcast at most.
+MAX_BROADCAST_WORDS, MAX_PARTS = 1 << 20, 8
+#: Groups of equal texts (48 bytes each) that are broadcast to rows that carry their text, beyond that filter size.
+MAX_BROADCAST_GROUPS = 1 << 20
 
 
 def text_key(text: str = "text") -> Column:
@@ -68,13 +71,22 @@ def repeat_filter(keys: DataFrame, words: int) -> DataFrame:
 
 
 def probe(rows: DataFrame, bloom: DataFrame, words: int) -> DataFrame:
-    """Pass 2: the rows with ``__again`` (possibly repeated).  No row moves while the filter may be broadcast."""
-    side = F.broadcast(bloom) if words <= MAX_BROADCAST_WORDS else bloom
+    """Pass 2: the rows with ``__again`` (possibly repeated).  No row moves while the filter fits into ``MAX_PARTS`` ranges
+    of words, each broadcast; beyond that the rows, which must be narrow, are joined with it."""
     cols = rows.columns
     both = F.expr("shiftleft(1L, __bit1) | shiftleft(1L, __bit2)")
-    return (rows.select(*[F.col(f"`{c}`") for c in cols], *_bits(words)).join(side, "__word", "left")
-            .select(*[F.col(f"`{c}`") for c in cols],
-                    F.coalesce(F.col("__mask").bitwiseAND(both) == both, F.lit(False)).alias("__again")))
+    out, masks = rows.select(*[F.col(f"`{c}`") for c in cols], *_bits(words)), []
+    for low in range(0, words, MAX_BROADCAST_WORDS) if fits(words) else (0,):
+        part = bloom.filter(F.col("__word").between(low, low + MAX_BROADCAST_WORDS - 1)) if fits(words) else bloom
+        masks.append(f"__mask{len(masks)}")
+        part = part.withColumnRenamed("__mask", masks[-1])
+        out = out.join(F.broadcast(part) if fits(words) else part, "__word", "left")
+    mask = F.coalesce(*masks)
+    return out.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(mask.bitwiseAND(both) == both, F.lit(False)).alias("__again"))
+
+
+def fits(words: int) -> bool:
+    return words <= MAX_BROADCAST_WORDS * MAX_PARTS
 
 
 def mark_duplicates(rows: DataFrame, keys: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -88,14 +100,21 @@ def mark_duplicates(rows: DataFrame, keys: DataFrame, doc_id: str = "doc_id") ->
     groups = written(probe(keys, bloom, words).filter("__again").groupBy("__key")
                      .agg(F.max(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
                      .filter("group_size > 1"), "dedup-groups")
+    if not fits(words) and rows is not keys:  # rows that carry texts don't meet the filter
+        grouped = rows.join(F.broadcast(groups), "__key", "left") if groups.count() <= MAX_BROADCAST_GROUPS else attach(
+            rows, groups, "__key", "group_size", total)
+        return _decided(grouped, doc_id)
     probed = probe(rows, bloom, words)
     alone = (probed.filter("not __again").drop("__again")
              .withColumns({"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("long")}))
-    grouped = attach(probed.filter("__again").drop("__again"), groups, "__key", "group_size", total)
-    grouped = grouped.withColumns({"keep_id": F.when(F.col("group_size").isNull(), F.col(doc_id)).otherwise(F.col("keep_id")),
-                                   "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
-    both = alone.unionByName(grouped)
-    return both.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
+    return _decided(alone.unionByName(attach(probed.filter("__again").drop("__again"), groups, "__key", "group_size", total)), doc_id)
+
+
+def _decided(rows: DataFrame, doc_id: str) -> DataFrame:
+    """Rows without a group are their own; then ``kept``."""
+    rows = rows.withColumns({"keep_id": F.when(F.col("group_size").isNull(), F.col(doc_id)).otherwise(F.col("keep_id")),
+                             "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+    return rows.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
 
 
 def _marked(inner: DataFrame, doc_id: str, text: str) -> DataFrame:
