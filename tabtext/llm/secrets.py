@@ -1,11 +1,13 @@
 """Secret scan with a random forest that removes false positives (operator 9).
 
 Candidates are words of 8 characters or more with two digits or more, or with 12 capitals or more and no small letter,
+words of 16 or more that change between small letters and capitals four times or more,
 and, whatever their digits, words of 8 or more that match a published credential format or follow a secret's name with = or :
-(found vectorised in whole texts, quotes and punctuation around them stripped).  Their features: length, shares and transitions of character classes, entropy, how
-surprising their neighbouring characters are in the corpus's words, how much of them dictionary words cover, the path
-(``source``) they come from, and hashes of the neighbouring words.  The dictionary and the character transitions are counted over
-all documents.
+(found vectorised in whole texts, quotes and punctuation around them stripped).  Their features: length, shares and
+transitions of character classes, entropy, how surprising their neighbouring characters are in the corpus's words, how much of
+them dictionary words cover, the path (``source``) they come from, and hashes of the neighbouring words.  The dictionary and
+the character transitions are counted over all documents; the dictionary holds every word that occurs at least twice and in
+at least one of ``DICTIONARY_RATE`` words, and the candidates' parts are looked up in it by a join, without a bound on its size.
 
 A random forest is trained on labelled findings (``label`` 1 secret, 0 harmless).  ``rule_labels`` labels findings
 by strict published formats; findings that no rule decides are only scored.  At most ``TRAIN_ROWS`` labelled
@@ -30,10 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import in_tasks, written
+from .common import attach, in_tasks, written
 
 MIN_LENGTH, MIN_DIGITS, MIN_CAPITALS = 8, 2, 12
-DICTIONARY_WORDS = 50_000
+#: A word of letters is a candidate if it is that long and changes between small letters and capitals that often.
+MIXED_LENGTH, MIN_CHANGES = 16, 4
+#: A word belongs to the dictionary if it occurs twice at least, and once in so many words of the corpus.
+DICTIONARY_RATE, DICTIONARY_COUNT = 1_000_000, 2
 TRAIN_ROWS = 20_000
 SEED = 5
 TREES, DEPTH = 40, 8
@@ -79,7 +84,9 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 hashes.append(ts.span_hashes(data, starts, ends, ts.FOLDED))
                 f = _fold(data).astype(np.uint16)
                 inside = ts.IS_WORD[data]
-                p = (f[:-1] << 8 | f[1:])[inside[:-1] & inside[1:]]
+                both = inside[:-1] & inside[1:]
+                both[offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(data))] - 1] = False  # two documents
+                p = (f[:-1] << 8 | f[1:])[both]
                 pairs += np.bincount(p, minlength=65536)
             if not hashes:
                 continue
@@ -93,14 +100,29 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return in_tasks(narrow, task, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
-def dictionary(counts: DataFrame, words: int = DICTIONARY_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes of the most frequent words, log probability of a byte given the one before): bounded by ``words``
-    and by the 65,536 byte pairs."""
-    top = counts.filter("kind = 0").orderBy(F.desc("n"), "code").limit(words).select("code").collect()
+def transitions(counts: DataFrame) -> np.ndarray:
+    """Log probability of a byte given the one before: at most 65,536 byte pairs."""
     pairs = np.ones((256, 256))
     for r in counts.filter("kind = 1").collect():
         pairs[r["code"] >> 8, r["code"] & 255] += r["n"]
-    return np.sort(np.array([r["code"] for r in top], np.int64)), np.log2(pairs / pairs.sum(axis=1, keepdims=True))
+    return np.log2(pairs / pairs.sum(axis=1, keepdims=True))
+
+
+def covered(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """``found`` (a written table with ``parts``) with the share of each candidate that the dictionary covers in ``x``.
+
+    The dictionary is the count table itself, and the candidates' parts are looked up in it by a join."""
+    parts = found.select("row", "size", F.explode("parts").alias("part")).select("row", "size", "part.code", "part.bytes")
+    need = parts.groupBy("code").agg(F.count(F.lit(1)).alias("rows"))
+    words = counts.filter("kind = 0")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    known = words.filter((F.col("n") >= DICTIONARY_COUNT) & (F.col("n") * DICTIONARY_RATE >= total)).select("code")
+    known = written(need.join(known, "code"), "secret-dictionary")
+    share = (attach(parts, known, "code", "rows", parts.count(), how="inner").groupBy("row")
+             .agg((F.sum("bytes") / F.first("size")).alias("covered")))
+    at = NUMBERS.index("covered")
+    x = F.transform("x", lambda v, i: F.when(i == at, F.coalesce("covered", F.lit(0.0))).otherwise(v))
+    return found.join(share, "row", "left").withColumn("x", x).drop("row", "size", "parts", "covered")
 
 
 def _hash(b: bytes) -> int:
@@ -108,15 +130,19 @@ def _hash(b: bytes) -> int:
     return int(ts.span_hashes(a, np.array([0]), np.array([len(a)]), ts.FOLDED).view(np.int64)[0]) if len(a) else 0
 
 
-def _features(word: bytes, raw: bytes, before: bytes, after: bytes, path: str | None, words: set[int], logp: np.ndarray) -> list[float]:
+def _parts(word: bytes) -> list[tuple[int, int]]:
+    """(hash, bytes) of the runs of small letters of the folded word."""
+    return [(_hash(x), len(x)) for x in re.findall(rb"[a-z\x80-\xff]{3,}", _fold(np.frombuffer(word, np.uint8)).tobytes())]
+
+
+def _features(word: bytes, raw: bytes, before: bytes, after: bytes, path: str | None, logp: np.ndarray) -> list[float]:
+    """The numbers of ``NUMBERS`` but for ``covered``, which is 0 here."""
     a = np.frombuffer(word, np.uint8)
     kind = np.where((a >= 97) & (a <= 122), 0, np.where((a >= 65) & (a <= 90), 1, np.where((a >= 48) & (a <= 57), 2, 3)))
     counts = np.bincount(a)
     p = counts[counts > 0] / len(a)
     folded = _fold(a)
     surprise = -float(logp[folded[:-1], folded[1:]].mean()) if len(a) > 1 else 0.0
-    parts = re.findall(rb"[a-z\x80-\xff]{3,}", folded.tobytes())
-    covered = sum(len(x) for x in parts if _hash(x) in words) / len(a)
     runs = 1 + int((kind[1:] != kind[:-1]).sum())
     mixed = int(((kind[1:] == 2) != (kind[:-1] == 2)).sum())
     near = [[0.0] * CONTEXT_BUCKETS, [0.0] * CONTEXT_BUCKETS]
@@ -124,7 +150,7 @@ def _features(word: bytes, raw: bytes, before: bytes, after: bytes, path: str |
         for w in text.split()[-3 if slot is near[0] else 0:][:3]:
             slot[_hash(w) % CONTEXT_BUCKETS] = 1.0
     place = _hash((path or "").encode()) % 64 if path is not None else -1
-    return [float(len(a)), float(-(p * np.log2(p)).sum()), surprise, covered, runs / len(a), mixed / len(a),
+    return [float(len(a)), float(-(p * np.log2(p)).sum()), surprise, 0.0, runs / len(a), mixed / len(a),
             float(b"=" in word), float(raw[:1] in (b'"', b"'")), float(place),
             *(float((kind == k).mean()) for k in range(4)), *near[0], *near[1]]
 
@@ -166,16 +192,21 @@ def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarr
     return out
 
 
-def candidates(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text",
-               path: str = "source") -> DataFrame:
-    """``doc_id, start, candidate, before, x``: every candidate with its byte offset and features."""
+def _changes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How often each word changes between small letters and capitals."""
+    small, capital = SMALL[data], CAPITAL[data]
+    at = np.flatnonzero(small[:-1] & capital[1:] | capital[:-1] & small[1:])
+    return np.searchsorted(at, ends - 1) - np.searchsorted(at, starts)
+
+
+def candidates(docs: DataFrame, logp: np.ndarray, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+    """``doc_id, start, candidate, before, x, parts, size``: every candidate with its byte offset, its features without the
+    dictionary's, and what is to be looked up for it."""
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
                          F.col(f"`{path}`").cast("string").alias("path"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    hashes, logp = known
 
     def task(batches):
-        words = set(hashes.tolist())
         for batch in batches:
             rows, out = [], []
             paths = batch.column("path")
@@ -185,6 +216,7 @@ def candidates(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], doc_id: st
                     _inside(data, starts, ends, CAPITAL) >= MIN_CAPITALS) & (_inside(data, starts, ends, SMALL) == 0)
                 doc = ts.doc_of(wb)
                 many |= _named(data, starts, ends, doc)
+                many |= (ends - starts >= MIXED_LENGTH) & (_changes(data, starts, ends) >= MIN_CHANGES)
                 for k in np.flatnonzero(many & (ends - starts >= MIN_LENGTH)):
                     raw = data[starts[k]:ends[k]].tobytes()
                     word = raw.strip(STRIP.encode())
@@ -197,14 +229,20 @@ def candidates(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], doc_id: st
                     rows.append(first + d)
                     out.append((int(starts[k] - offs[d]) + raw.index(word), word.decode("utf-8", "replace"),
                                 before.decode("utf-8", "replace"),
-                                _features(word, raw, before, after, paths[first + int(d)].as_py(), words, logp)))
+                                _features(word, raw, before, after, paths[first + int(d)].as_py(), logp), _parts(word), len(word)))
             if rows:
-                start, word, before, x = zip(*out)
+                start, word, before, x, parts, size = zip(*out)
+                parts = pa.array([[{"code": c, "bytes": n} for c, n in p] for p in parts], PARTS)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(rows)), pa.array(start, pa.int64()), pa.array(word), pa.array(before),
-                     pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "start", "candidate", "before", "x"])
+                     pa.array(x, pa.list_(pa.float64())), parts, pa.array(size, pa.int64())],
+                    names=["doc_id", "start", "candidate", "before", "x", "parts", "size"])
+
+    return in_tasks(narrow, task, f"doc_id {id_type}, start long, candidate string, before string, x array<double>, "
+                                  "parts array<struct<code:long,bytes:long>>, size long")
+
 
-    return in_tasks(narrow, task, f"doc_id {id_type}, start long, candidate string, before string, x array<double>")
+PARTS = pa.list_(pa.struct([("code", pa.int64()), ("bytes", pa.int64())]))
 
 
 def rule_labels() -> Column:
@@ -250,8 +288,9 @@ def secret_findings(docs: DataFrame, labelled: DataFrame | None = None, doc_id:
 
     ``labelled``: findings with ``x`` and ``label`` from elsewhere; by default the strict rules label those of ``docs``."""
     counts = written(corpus_counts(docs, text), "secret-counts")
-    found = candidates(docs, dictionary(counts), doc_id, text, path).withColumn("label", rule_labels())
-    found = written(found, "secret-candidates")
+    found = candidates(docs, transitions(counts), doc_id, text, path).withColumns({
+        "label": rule_labels(), "row": F.monotonically_increasing_id()})
+    found = written(covered(written(found, "secret-found"), counts), "secret-candidates")
     model = train(labelled if labelled is not None else found)
     return scored(found, model).select(
         "doc_id", "start", F.length("candidate").cast("long").alias("length"), F.col("label").alias("rule"),
