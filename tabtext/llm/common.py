@@ -75,14 +75,18 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, freq: str, total: int,
     Keys that hold at least 1 / HOT_SHARE of ``total`` rows are at most HOT_SHARE rows of
     ``groups`` (a proven bound): they are broadcast and their rows never meet in one
     task.  Every other key holds fewer rows than that and is joined by a shuffle.  A null key
-    matches nothing.  ``groups`` should be a written table, as it is read twice."""
+    matches nothing, and its rows are spread by a hash of the row.  ``groups`` should be a written table, as it is read twice."""
     cut = F.lit(HOT_SHARE) * F.col(freq) >= F.lit(total)
     values = [c for c in groups.columns if c != key]
     hot = groups.filter(cut)
     cold = groups.filter(~cut)
     marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
     done = marked.filter("__hot").drop("__hot")
-    rest = marked.filter("__hot is null").drop("__hot", *values).join(cold, key, how)
+    plain = [c for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(HOT_SHARE))).otherwise(F.lit(0))
+    rest = marked.filter("__hot is null").drop("__hot", *values).withColumn("__spread", spread.cast("int"))
+    zero = F.pmod(F.col(freq), F.lit(1)).cast("int")  # as a literal, the optimizer would take it out of the join's keys
+    rest = rest.join(cold.withColumn("__spread", zero), [key, "__spread"], how).drop("__spread")
     return done.unionByName(rest)
 
 
