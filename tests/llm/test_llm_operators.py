@@ -571,7 +571,7 @@ def test_secret_candidates_without_digits(spark):
     other = ["the secret of tokenizers", "password", "token:", "secret passages everywhere", "pwd=short", None]
     df = docs(spark, [(i, f"some words {t} at the end" if t else t) for i, t in enumerate(found + other)] + [(100, "password="), (101, "correcthorse battery")])
     got = collections.defaultdict(list)
-    for r in secrets.candidates(df, secrets.dictionary(secrets.corpus_counts(df))).collect():
+    for r in secrets.candidates(df, secrets.transitions(secrets.corpus_counts(df))).collect():
         got[r["doc_id"]].append(r["candidate"])
     assert {k: sorted(v) for k, v in got.items()} == {i: [w] if w else ["passwd=firstvalue", "pwd=secondvalue"] for i, w in enumerate(want)}
 
@@ -583,7 +583,7 @@ def test_secret_forest_generalises(spark):
     rows = [(i, " ".join(words(15, i)) + (f' token = "{hexa(40)}" ' if i % 2 else f" {rng.randint(10**15, 10**16)} ") + "end", "s") for i in range(400)]
     df = docs(spark, rows)
     counts = secrets.corpus_counts(df)
-    found = secrets.candidates(df, secrets.dictionary(counts)).withColumn("label", (F.col("doc_id") % 2).cast("int"))
+    found = secrets.candidates(df, secrets.transitions(counts)).withColumn("label", (F.col("doc_id") % 2).cast("int"))
     model = secrets.train(found.filter("doc_id < 200"))
     out = secrets.scored(found.filter("doc_id >= 200"), model)
     assert out.filter("(score >= 0.5) <> (label = 1)").count() <= 2
