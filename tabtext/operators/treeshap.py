@@ -227,12 +227,15 @@ def ensemble_expected_value(spec: dict) -> np.ndarray:
 
 def tree_attributions(model, df: DataFrame, feature_names: Sequence[str], key: str = "key",
                       features_col: str = "features", classes: Sequence | None = None,
-                      binary_positive_only: bool = True) -> DataFrame:
+                      binary_positive_only: bool = True, background: DataFrame | None = None) -> DataFrame:
     """XPL-1/2: ``(sample, feature, class, shap_value)`` for every row of ``df``
     (which must hold ``features_col``).  ``OneVsRest`` models are attributed
     per class model (margin space); forest classifiers in probability space,
     boosted trees in margin space, regressors on one output (class 0).  Binary
-    forest classifiers keep class 1 only, as the reference does."""
+    forest classifiers keep class 1 only, as the reference does.
+
+    ``background``: rows with ``features_col``; attributions are then interventional, against the mean over all of
+    these rows (``background_shap``), instead of path-dependent."""
     spark = df.sparkSession
     m = _tree_model(model)
     specs = []
@@ -241,6 +244,9 @@ def tree_attributions(model, df: DataFrame, feature_names: Sequence[str], key: s
             specs.append((c, extract_trees(spark, sub)))
     else:
         specs.append((None, extract_trees(spark, m)))
+    if background is not None:
+        from .background_shap import background_attributions
+        return background_attributions(specs, df, background, feature_names, key, features_col, classes, binary_positive_only)[0]
     used = sorted({int(f) for _, s in specs for t in s["trees"] for f in t["feature"] if f >= 0})
     specs = [(c, _remap(s, used)) for c, s in specs]
     names = [feature_names[i] for i in used]

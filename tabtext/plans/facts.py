@@ -172,6 +172,37 @@ def xpl_2_facts(spark, sf):
     return _additivity(spark, df.filter("split = 'valid'"), model, ["c_acctbal", "days"], False)
 
 
+def _background_additivity(spark, df, model, feats, classifier: bool) -> DataFrame:
+    """``key, class, residual``: prediction minus the mean prediction over all train rows minus the sum of the
+    attributions against these rows.  The mean is Spark's, over the model's own predictions."""
+    from ..operators.treeshap import tree_attributions
+    scored = model.transform(df.select("key", "split", *feats))
+    value = M.class_scores(scored) if classifier else F.array(F.col("prediction"))
+    p = scored.select("key", "split", F.posexplode(value).alias("class", "p"))
+    mean = p.filter("split = 'train'").groupBy("class").agg(F.avg("p").alias("base"))
+    tr, va = scored.filter("split = 'train'"), scored.filter("split = 'valid'")
+    a = tree_attributions(model, va, feats, "key", background=tr).groupBy(F.col("sample").alias("key"), "class").agg(F.sum("shap_value").alias("s"))
+    valid = p.filter("split = 'valid'").drop("split").join(mean, "class")
+    return valid.join(a, ["key", "class"], "left").select("key", "class", (
+        F.round(F.col("p") - F.col("base") - F.coalesce("s", F.lit(0.0)), 6) + F.lit(0.0)).alias("residual"))
+
+
+@fact("xpl_1_background_additivity", W("""SELECT v.key, c.class, 0.0::DOUBLE AS residual FROM fx_num_class v,
+    (SELECT DISTINCT target AS class FROM fx_num_class) c WHERE v.split = 'valid'""", "fx_num_class"))
+def xpl_1_background_facts(spark, sf):
+    """The forest of ``xpl_1_background_attributions_class``, at its own strength."""
+    df = _num_class(spark, sf)
+    _, model, _ = J.run_numeric_classifier(df, return_model=True)
+    return _background_additivity(spark, df, model, ["p_size", "p_retailprice"], True)
+
+
+@fact("xpl_2_background_additivity", W("SELECT key, 0 AS class, 0.0::DOUBLE AS residual FROM fx_num_reg WHERE split = 'valid'", "fx_num_reg"))
+def xpl_2_background_facts(spark, sf):
+    df = X.fx_num_reg(spark, sf)
+    _, model = J.run_numeric_regressor(df, algo="gbt_depth", return_model=True, **FAST)
+    return _background_additivity(spark, df, model, ["c_acctbal", "days"], False)
+
+
 @fact("xpl_6_importance_facts", "SELECT 2::BIGINT AS n, 1.0::DOUBLE AS total")
 def xpl_6_facts(spark, sf):
     _, model, _ = J.run_numeric_classifier(_num_class(spark, sf), return_model=True, **FAST)

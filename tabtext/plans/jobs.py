@@ -237,6 +237,22 @@ def numeric_tree_attributions(df: DataFrame, target: str = "target", algo: str =
     return tree_attributions(model, scored, feats, key)
 
 
+def numeric_background_attributions(df: DataFrame, target: str = "target", algo: str = "rf", profile: str = "reference",
+                                    classifier: bool = True, key: str = "key", background_rows: int | None = None) -> DataFrame:
+    """XPL-1/2 against background data, as the boosted numeric jobs of the reference explain: the validation rows
+    against the train split, all of it or (on request) its first ``background_rows`` rows by key."""
+    from ..operators.topk import head
+    from ..operators.treeshap import tree_attributions
+    feats = _features(df, target, key)
+    if classifier:
+        _, model, _ = run_numeric_classifier(df, target, algo, profile, return_model=True)
+    else:
+        _, model = run_numeric_regressor(df, target, algo, profile, return_model=True)
+    tr, va = FE.resplit(df.select(key, "split", *feats))
+    tr = head(tr, background_rows, key) if background_rows is not None else tr
+    return tree_attributions(model, model.transform(va), feats, key, background=model.transform(tr))
+
+
 def text_tree_attributions(df: DataFrame, algo: str = "rf", profile: str = "reference", vocab_size: int = 10_000,
                            classifier: bool = True, key: str = "key") -> DataFrame:
     """XPL-1/2 for the text jobs: token attributions (non-zero only) of the

@@ -870,6 +870,21 @@ def xpl_2(spark, sf):
     return _jobs().numeric_tree_attributions(X.fx_num_reg(spark, sf), algo="gbt_depth", classifier=False, **LIGHT)
 
 
+@query("xpl_1_background_attributions_class")
+def xpl_1c(spark, sf):
+    return _jobs().numeric_background_attributions(_num_class(spark, sf), algo="rf")
+
+
+@query("xpl_1_background_attributions_boosted")
+def xpl_1d(spark, sf):
+    return _jobs().numeric_background_attributions(_num_class(spark, sf), algo="gbt_leaf", **LIGHT)
+
+
+@query("xpl_2_background_attributions_reg")
+def xpl_2b(spark, sf):
+    return _jobs().numeric_background_attributions(X.fx_num_reg(spark, sf), algo="gbt_depth", classifier=False, **LIGHT)
+
+
 @query("xpl_3_occlusion_attributions")
 def xpl_3b(spark, sf):
     return rounded(_jobs().text_linear_leave_one_out(_text_class(spark, sf)), {"shap_value": P9})
