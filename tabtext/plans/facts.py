@@ -237,6 +237,71 @@ def fea_9_facts(spark, sf):
     return v.select("key", *[F.round(F.col("v")[i], 6).alias(c) for i, c in enumerate(HOLES)])
 
 
+OFF = 1.3e-7  # keeps exact sums away from the middle between two rounded values
+
+
+@fact("mod_2_first_histogram", W("""
+    , tr AS (SELECT target, p_size FROM fx_num_class WHERE split = 'train'),
+    prior AS (SELECT target AS k, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM tr) AS p FROM tr GROUP BY target)
+    SELECT k AS class, p_size AS upto, count(*) AS n, round(sum(p - CASE WHEN target = k THEN 1 ELSE 0 END) + 1.3e-7, 6) + 0.0 AS gradient,
+           round(sum(p * (1 - p)) + 1.3e-7, 6) AS hessian FROM tr, prior GROUP BY k, p_size""", "fx_num_class").replace("\n    , tr AS", ", tr AS", 1))
+def mod_2_first_histogram(spark, sf):
+    """The booster's root histogram of ``p_size`` in round one: gradient and hessian sums of each class and bin."""
+    from ..operators import boosting as B
+    tr = _num_class(spark, sf).filter("split = 'train'")
+    k = tr.select("target").distinct().count()
+    s = B.leaf("softmax")
+    rows, edges, _ = B.training_table(tr, ["p_size"], "target", "key", s, k)
+    hist = B.histograms(rows, s, [], [B.Tree() for _ in range(k)], [{0: None} for _ in range(k)]).filter(F.col("code") != B.TOTAL)
+    upto = F.array(*[F.lit(int(e)) for e in edges[0]])
+    return hist.select(F.col("k").alias("class"), F.element_at(upto, F.col("code") + 1).alias("upto"), "n",
+                       (F.round(F.col("g") + OFF, 6) + F.lit(0.0)).alias("gradient"), F.round(F.col("h") + OFF, 6).alias("hessian"))
+
+
+@fact("mod_9_missing_directions", W("""
+    , t AS (SELECT CASE WHEN key % 7 <> 0 THEN p_size END AS x, CAST(p_retailprice AS DOUBLE) AS y FROM fx_num_class WHERE split = 'train'),
+    m AS (SELECT avg(y) AS m, count(*) AS n, count(*) - count(x) AS n_miss, sum(CASE WHEN x IS NULL THEN y ELSE 0 END) AS y_miss, sum(y) AS y_all FROM t),
+    b AS (SELECT x, count(*) AS n, sum(y) AS y FROM t WHERE x IS NOT NULL GROUP BY x),
+    c AS (SELECT x, sum(n) OVER (ORDER BY x) AS n, sum(y) OVER (ORDER BY x) AS y FROM b),
+    d AS (SELECT x, left_too, c.n + CASE WHEN left_too THEN n_miss ELSE 0 END AS nl, c.y + CASE WHEN left_too THEN y_miss ELSE 0 END AS yl, m.n, m, y_all
+          FROM c, m, (SELECT unnest([false, true]) AS left_too) w)
+    SELECT x AS upto, left_too AS missing_left, round((nl * m - yl) * (nl * m - yl) / nl
+           + ((n - nl) * m - (y_all - yl)) * ((n - nl) * m - (y_all - yl)) / (n - nl), 3) + 0.0 AS gain, CAST(nl AS BIGINT) AS n_left
+    FROM d WHERE nl >= 20 AND n - nl >= 20""", "fx_num_class").replace("\n    , t AS", ", t AS", 1))
+def mod_9_missing_directions(spark, sf):
+    """Gains of every root split of a feature with nulls, the rows without it on the right and on the left."""
+    from ..operators import boosting as B
+    f = _num_class(spark, sf).filter("split = 'train'")
+    f = f.select("key", F.when(F.col("key") % 7 != 0, F.col("p_size")).alias("x"), F.col("p_retailprice").cast("double").alias("y"))
+    s = B.leaf("squared")
+    rows, edges, _ = B.training_table(f, ["x"], "y", "key", s, 1)
+    gains = B.split_gains(B.histograms(rows, s, [], [B.Tree()], [{0: None}]), s)
+    upto = F.array(*[F.lit(int(e)) for e in edges[0]])
+    return gains.select(F.element_at(upto, F.col("bin") + 1).alias("upto"), "missing_left", (F.round("gain", 3) + F.lit(0.0)).alias("gain"), "n_left")
+
+
+@fact("mod_2_boosted_probabilities", W("SELECT key, target AS label, true AS known, true AS sums_to_one FROM fx_num_class WHERE split = 'valid'", "fx_num_class"))
+def mod_2_boosted_probabilities(spark, sf):
+    """The class probabilities of the booster sum to 1, and the predicted label is the most probable class of train."""
+    df = _num_class(spark, sf)
+    out = J.run_boosted(df, ["p_size", "p_retailprice"], "target", "depth", 1)
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    seen = df.filter("split = 'train'").select(F.col("target").alias("predicted_label")).distinct().withColumn("known", F.lit(True))
+    return out.join(seen, "predicted_label", "left").select("key", "label", F.coalesce("known", F.lit(False)).alias("known"),
+                                                            (F.abs(total - 1) < 1e-12).alias("sums_to_one"))
+
+
+@fact("top_7_first_stage", W("""
+    , m AS (SELECT avg(target) AS m FROM fx_num_reg WHERE split = 'train')
+    SELECT round(avg((target - m) * (target - m)) / 1e6, 6) AS mse_of_the_start, 2 AS n_rounds, 1 AS n_best
+    FROM fx_num_reg, m WHERE split = 'valid'""", "fx_num_reg").replace("\n    , m AS", ", m AS", 1))
+def top_7_first_stage(spark, sf):
+    """The staged metric starts at 1 / MSE of the train mean, and one round is the best."""
+    r = J.best_round(X.fx_num_reg(spark, sf), ["c_acctbal", "days"], "target", "depth", 1, classifier=False)
+    return r.agg(F.round(F.max(F.when(F.col("round") == 0, 1 / F.col("metric"))) / 1e6, 6).alias("mse_of_the_start"),
+                 F.count(F.lit(1)).cast("int").alias("n_rounds"), F.count(F.when(F.col("best"), 1)).cast("int").alias("n_best"))
+
+
 @fact("mod_16_normal_equations", W("""
     , m AS (SELECT var_pop(c_acctbal) AS xx, var_pop(days) AS yy, covar_pop(c_acctbal, days) AS xy, covar_pop(c_acctbal, target) AS xz,
                    covar_pop(days, target) AS yz, avg(c_acctbal) AS mx, avg(days) AS my, avg(target) AS mz

@@ -89,12 +89,15 @@ def _check_feature_names(feats: Sequence[str], target: str) -> None:
         raise ValueError(f"feature columns {clash} collide with prediction columns {RESERVED}")
 
 
-def _fit(estimator, train: DataFrame):
+def _fit(estimator, train: DataFrame, key: str = "key"):
     """Fit with the training rows persisted: tree learners scan their input once
     per level, and the input may be a whole text pipeline.  Executors that are
     lost recompute their blocks from lineage."""
     from pyspark import StorageLevel
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    sc = train.sparkSession.sparkContext
+    # A small set of large files is few partitions: deal the rows out, so that no core idles.
+    parts = max(sc.defaultParallelism, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    train = train.repartition(parts, *([key] if key in train.columns else [])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator.fit(train)
     finally:
@@ -196,6 +199,67 @@ def compare_text_regressors(df: DataFrame, algos: Sequence[str] = ("rf", "gbt_de
     return E.regression_metrics_by(out, "model")
 
 
+def _booster(growth: str, objective: str, rounds: int):
+    from ..operators import boosting as B
+    return {"leaf": B.leaf, "depth": B.depth}[growth](objective, rounds=rounds)
+
+
+def fit_boosted(df: DataFrame, features: str | Sequence[str], target: str, growth: str = "leaf", rounds: int = 100,
+                classifier: bool = True, key: str = "key"):
+    """(model, label mapping or None) of the histogram booster on the train rows: softmax over the classes of train (logistic
+    for two), or squared error.  Null features stay null: each split learns their direction."""
+    from ..operators import boosting as B
+    tr, _ = FE.resplit(df)
+    if not classifier:
+        return B.fit(tr, features, target, _booster(growth, "squared", rounds), key=key), None
+    tr_e, mapping = M.encode_target(tr, target)
+    mapping = cut_lineage(mapping)
+    k = mapping.count()
+    s = _booster(growth, "softmax" if k > 2 else "logistic", rounds)
+    return B.fit(tr_e, features, "code", s, k if k > 2 else 1, key), mapping
+
+
+def run_boosted(df: DataFrame, features: str | Sequence[str], target: str, growth: str = "leaf", rounds: int = 100,
+                classifier: bool = True, key: str = "key") -> DataFrame:
+    """MOD-2/3/5/6/9/10/12/13 by the histogram booster: ``(key, label, predicted_label)`` of the validation rows, and the
+    class probabilities ``p`` in the order of the label codes."""
+    model, mapping = fit_boosted(df, features, target, growth, rounds, classifier, key)
+    _, va = FE.resplit(df)
+    out = model.predictions(model.scores(va, key)).drop("y", "f")
+    labels = va.select(F.col(key).alias("key"), F.col(target).alias("label"))
+    if not classifier:
+        return labels.join(out, "key").select(F.col("key").alias(key), "label", F.col("prediction").alias("predicted_label"))
+    out = out.withColumn("predicted_code", F.col("prediction").cast("int"))
+    out = M.decode_target(labels.join(out, "key"), mapping)
+    return out.select(F.col("key").alias(key), "label", "predicted_label", "p")
+
+
+def text_vectors(df: DataFrame, label: str, vocab_size: int = 10_000, key: str = "key", text: str = "sentence") -> DataFrame:
+    """``key, split, label, features``: TF-IDF vectors, written once."""
+    tfidf, _ = M.fit_text_features(df, vocab_size, key, text)
+    feats = tfidf.transform(M.with_tokens(df, text)).withColumnRenamed("tfidf", "features")
+    return cut_lineage(feats.select(key, "split", label, "features"))
+
+
+def best_round(df: DataFrame, features: str | Sequence[str], target: str, growth: str = "leaf", rounds: int = 100,
+               classifier: bool = True, key: str = "key") -> DataFrame:
+    """TOP-7: one fit, the validation metric after each of its rounds from cumulative scores in one pass, the best
+    round marked (the first of equals).  ``(round, metric, best)``: macro F1, or 1 / MSE of a regressor."""
+    from ..operators.topk import select_best
+    model, mapping = fit_boosted(df, features, target, growth, rounds, classifier, key)
+    _, va = FE.resplit(df)
+    if classifier:
+        va = FE.encode_labels(va, target, mapping, out="code", unseen="error")
+    staged = model.predictions(model.staged_scores(va, key, "code" if classifier else target))
+    pred = cut_lineage(staged.select("round", F.col("y").alias("label"), F.col("prediction").alias("predicted_label")))
+    if classifier:
+        runs = E.summary(pred.withColumn("label", F.col("label").cast("int")), by=("round",)).select("round", F.col("macro_f1").alias("metric"))
+    else:
+        runs = pred.groupBy("round").agg(F.try_divide(F.lit(1.0), F.avg((F.col("label") - F.col("predicted_label")) ** 2)).alias("metric"))
+    best = select_best(runs, "metric", "round").select("round", F.lit(True).alias("best"))
+    return runs.join(best, "round", "left").select("round", "metric", F.coalesce("best", F.lit(False)).alias("best"))
+
+
 def run_dummy_classifier(df: DataFrame, categorical: Sequence[str], target: str = "target",
                          profile: str = "reference", key: str = "key") -> DataFrame:
     """MOD-7 (+ SET-1, FEA-4, PRJ-6/1, EVA-7): dummies over both splits, forest on

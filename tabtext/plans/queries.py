@@ -852,6 +852,42 @@ def mod_18(spark, sf):
     return _jobs().score_with_saved_model(_num_class(spark, sf))
 
 
+# ------------------------------------------------------------------ histogram boosters
+# A round takes several passes over the rows, and one pass about a second here whatever the table's size
+# (README: "Model fits"): the registered queries run three rounds over all rows and all 10,000 terms.
+ROUNDS = 3
+
+
+@query("mod_2_boost_leaf_num_class")
+def mod_2b(spark, sf):
+    return _jobs().run_boosted(_num_class(spark, sf), ["p_size", "p_retailprice"], "target", "leaf", ROUNDS)
+
+
+@query("mod_3_boost_depth_num_class")
+def mod_3b(spark, sf):
+    return _jobs().run_boosted(_num_class(spark, sf), ["p_size", "p_retailprice"], "target", "depth", ROUNDS)
+
+
+@query("mod_5_boost_leaf_text_class")
+def mod_5b(spark, sf):
+    return _jobs().run_boosted(_jobs().text_vectors(_text_class(spark, sf), "label"), "features", "label", "leaf", ROUNDS)
+
+
+@query("mod_12_boost_leaf_text_reg")
+def mod_12b(spark, sf):
+    return _jobs().run_boosted(_jobs().text_vectors(_text_reg(spark, sf), "label"), "features", "label", "leaf", ROUNDS, classifier=False)
+
+
+@query("top_7_best_round_class")
+def top_7c(spark, sf):
+    return _jobs().best_round(_num_class(spark, sf), ["p_size", "p_retailprice"], "target", "depth", ROUNDS)
+
+
+@query("top_7_best_round_reg")
+def top_7d(spark, sf):
+    return _jobs().best_round(X.fx_num_reg(spark, sf), ["c_acctbal", "days"], "target", "depth", ROUNDS, classifier=False)
+
+
 # ------------------------------------------------------------------ tree attributions (rows-only + additivity tests)
 
 
