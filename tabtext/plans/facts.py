@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import WORD_PATTERN
 from ..operators import features as FE
 from ..operators import models as M
 from . import fixtures as X
@@ -28,6 +29,9 @@ FAST = {"profile": "fast"}
 WORDS = {"profile": "fast", "vocab_size": 500}
 
 
+TOKENS = f"regexp_extract_all(lower(sentence), '{WORD_PATTERN}')"
+
+
 def fact(name: str, sql: str):
     def deco(fn):
         FACTS[name] = fn
@@ -203,6 +207,24 @@ def xpl_2_background_facts(spark, sf):
     return _background_additivity(spark, df, model, ["c_acctbal", "days"], False)
 
 
+@fact("xpl_3_partition_additivity", W(f"""SELECT key, class, 0.0::DOUBLE AS residual, CAST(len({TOKENS}) AS BIGINT) AS n_tokens
+    FROM fx_text_class, (SELECT unnest([0, 1]) AS class) c WHERE split = 'valid' AND len({TOKENS}) > 0""", "fx_text_class"))
+def xpl_3_partition_facts(spark, sf):
+    """Span values of a scorer add up to the score of the whole text minus that of the empty text, for every token
+    position of every document with tokens.  The scorer is the fitted linear classifier's logits."""
+    from ..operators.owen import partition_attributions
+    df = _text_class(spark, sf)
+    _, model, tfidf, _, _ = J.run_text_classifier(df, "linear", return_model=True)
+    score = J.model_scorer(tfidf, model)
+    va = df.filter("split = 'valid'").select("key", "sentence")
+    own = score(va).select("key", F.posexplode("scores").alias("class", "score"))
+    empty = score(spark.createDataFrame([(-1, "")], "key long, sentence string")).select(F.posexplode("scores").alias("class", "empty"))
+    a = partition_attributions(va, score, evaluations=12).groupBy(F.col("sample").alias("key"), "class").agg(
+        F.sum("shap_value").alias("s"), F.count(F.lit(1)).alias("n_tokens"))
+    return a.join(own, ["key", "class"]).join(empty, "class").select("key", "class", (
+        F.round(F.col("score") - F.col("empty") - F.col("s"), 6) + F.lit(0.0)).alias("residual"), "n_tokens")
+
+
 @fact("xpl_6_importance_facts", "SELECT 2::BIGINT AS n, 1.0::DOUBLE AS total")
 def xpl_6_facts(spark, sf):
     _, model, _ = J.run_numeric_classifier(_num_class(spark, sf), return_model=True, **FAST)

@@ -332,18 +332,30 @@ def text_tree_attributions(df: DataFrame, algo: str = "rf", profile: str = "refe
 
 
 def model_scorer(tfidf, model, text: str = "sentence"):
-    """UDF-3: a DataFrame -> DataFrame scorer for the explainer: tokens, the
+    """UDF-3: a DataFrame -> DataFrame scorer for the explainers: tokens, the
     fitted TF-IDF stage and a fitted probabilistic classifier; ``scores`` =
-    logit of the class probabilities (the reference explains in that space)."""
+    logit of the class probabilities (the reference explains in that space).  The logits of a
+    linear model come from its margins, so a sure prediction has a finite score; other models'
+    probabilities are kept ``SURE`` away from 0 and 1."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.functions import vector_to_array
     from ..functions.scalars import logit_array
+    from ..operators.attributions import _logits
 
     def score(d: DataFrame) -> DataFrame:
         feats = tfidf.transform(M.with_tokens(d, text)).withColumnRenamed("tfidf", "features")
         out = model.transform(feats)
-        return out.withColumn("scores", logit_array(M.class_scores(out)))
+        if isinstance(model, LogisticRegressionModel):
+            raw = vector_to_array(F.col("rawPrediction"))
+            return out.withColumn("scores", F.array(*_logits([raw[i] for i in range(model.numClasses)])))
+        p = F.transform(M.class_scores(out), lambda x: F.greatest(F.lit(SURE), F.least(F.lit(1 - SURE), x)))
+        return out.withColumn("scores", logit_array(p))
     return score
 
 
+SURE = 1e-12
+
+
 def scorer_occlusion_attributions(df: DataFrame, num: int | None = None, max_len: int | None = None,
                                   algo: str = "linear", profile: str = "reference", vocab_size: int = 10_000,
                                   key: str = "key") -> DataFrame:
@@ -358,6 +370,19 @@ def scorer_occlusion_attributions(df: DataFrame, num: int | None = None, max_len
     return occlusion_attributions(rows, model_scorer(tfidf, model), key, max_len=max_len)
 
 
+def scorer_partition_attributions(df: DataFrame, num: int | None = None, evaluations: int | None = 500, algo: str = "linear",
+                                  profile: str = "reference", vocab_size: int = 10_000, key: str = "key") -> DataFrame:
+    """``calculate_shap`` over any fitted text classifier: values of token spans by rescoring whole documents (UDF-3).
+    ``num``: the first validation rows by key (PRJ-8), on request; ``evaluations``: texts a document may cost."""
+    from ..operators.owen import partition_attributions
+    from ..operators.topk import head
+    _, model, tfidf, _, _ = run_text_classifier(df, algo, profile, vocab_size, return_model=True)
+    _, va = FE.resplit(df)
+    rows = va.select(key, "sentence")
+    rows = head(rows, num, key) if num is not None else rows
+    return partition_attributions(rows, model_scorer(tfidf, model), key, evaluations=evaluations)
+
+
 def _raw_cells(df: DataFrame, rows: DataFrame, vocab_size: int, key: str, text: str) -> DataFrame:
     """``(key, term, term_id, raw)`` of every term of ``rows``: tf x idf over the vocabulary fitted on ``df``;
     a term outside it has no ``term_id`` and raw 0."""

@@ -936,6 +936,12 @@ def xpl_3d(spark, sf):
     return _jobs().text_model_leave_one_out(_text_reg(spark, sf), classifier=False)
 
 
+@query("xpl_3_partition_attributions")
+def xpl_3e(spark, sf):
+    """UDF-3: the fitted classifier as a scorer of whole validation documents, 44 texts each: spans of an eighth."""
+    return _jobs().scorer_partition_attributions(_text_class(spark, sf), evaluations=44)
+
+
 @query("jon_4_key_zip")
 def jon_4(spark, sf):
     p = X.fx_pred_bin(spark, sf)
