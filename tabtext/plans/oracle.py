@@ -629,6 +629,10 @@ SQL["src_1_read_pair"] = W(f"""
     SELECT split, {na('sentence')} AS sentence, CAST(label AS BIGINT) AS label FROM fx_text_class""",
                            "fx_text_class")
 
+SQL["jon_4_positional_zip"] = W(f"""
+    SELECT row_number() OVER (ORDER BY key) - 1 AS number, {na('sentence')} AS sentence, label,
+           CAST(n_chars >= 1000 AS INTEGER) AS predicted_label FROM fx_text_class""", "fx_text_class")
+
 SQL["src_2_read_confusion"] = W(f"""
     SELECT CAST(label AS VARCHAR) AS label, CAST(predicted_label AS VARCHAR) AS predicted_label, n
     FROM ({confusion('fx_pred_multi')})""", "fx_pred_multi")

@@ -949,6 +949,21 @@ def jon_4(spark, sf):
     return p.join(d, "key")
 
 
+@query("jon_4_positional_zip")
+def jon_4b(spark, sf):
+    """Two keyless files, texts and predictions in one order, zipped row by row."""
+    from ..sources import csv as SC
+    from ..sources import csv_split as SS
+    from ..sources import sinks as SK
+    base = _files(spark, "zip")
+    rows = X.fx_text_class(spark, sf).orderBy("key")
+    SK.write_table(rows.select("sentence", "label"), f"{base}/rows.csv")
+    SK.write_table(rows.select((F.col("n_chars") >= 1000).cast("int").alias("predicted_label")), f"{base}/predictions.csv")
+    left, right = (SS.read_numbered(spark, f"{base}/{n}.csv") for n in ("rows", "predictions"))
+    na = [F.when(F.col("sentence").isin(list(SC.NA_VALUES)), F.lit(None)).otherwise(F.col("sentence")).alias("sentence")]
+    return SS.zip_by_position(left, right).select("number", *na, *[F.col(c).cast("int").alias(c) for c in ("label", "predicted_label")])
+
+
 @query("mod_15_linear_embeddings")
 def mod_15b(spark, sf):
     e = table(spark, sf, "embeddings").select(

@@ -1,12 +1,11 @@
 """CSV sources (SRC-1..5).
 
 The reference reads two CSV files (train, validation) with pandas.  Here:
-``spark.read.csv`` with header, ``multiLine`` and doubled-quote escaping, all
+header, line ends inside quotes and doubled-quote escaping, all
 columns first as strings; the pandas missing-value tokens become NULL; then
 types are inferred in one aggregate pass (integer, double, boolean, string;
 an integer column holding a NULL becomes double, as in pandas) or taken from a
-given schema.  ``multiLine`` files are not splittable: tables of numbers and
-tokens are read without it, large text inputs are converted to parquet once.
+given schema.  Files whose values hold line ends are split, too (``csv_split``).
 """
 
 from __future__ import annotations
@@ -23,7 +22,15 @@ BOOL_VALUES = ("True", "False", "true", "false", "TRUE", "FALSE")
 
 
 def _raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """``multi_line``: values may hold line ends, and a file is then one task.  Without it large files are split."""
+    """``multi_line``: values may hold line ends; records are then found over split ranges (``csv_split``)."""
+    if multi_line:
+        from .csv_split import read_numbered
+        return read_numbered(spark, path, "__number").drop("__number")
+    return _plain(spark, path, False)
+
+
+def _plain(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Spark's own reader; with ``multi_line`` a file is one task."""
     return (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
             .option("mode", "FAILFAST").csv(path))
 
@@ -69,13 +76,14 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
 def read_pair(spark: SparkSession, train: str, valid: str, schema: StructType | None = None,
               key: str = "key") -> DataFrame:
     """SRC-1: train and validation files as one DataFrame tagged by ``split``, with
-    a ``key`` (file row identity: ``monotonically_increasing_id * 2 + split``,
-    unique over both files, stable for a given file layout).  Types are
+    a ``key`` (``2 * number in file order + split``: unique over both files and
+    a position, the same at every split size).  Types are
     inferred over both files together so the two sides agree."""
     def tagged(path, tag, bit):
-        raw = _raw(spark, path)
-        return raw.select((F.monotonically_increasing_id() * 2 + bit).alias(key), F.lit(tag).alias("split"),
-                          *[F.col(f"`{c}`") for c in raw.columns])
+        from .csv_split import read_numbered
+        raw = read_numbered(spark, path, "__number")
+        return raw.select((F.col("__number") * 2 + bit).alias(key), F.lit(tag).alias("split"),
+                          *[F.col(f"`{c}`") for c in raw.columns if c != "__number"])
     both = tagged(train, "train", 0).unionByName(tagged(valid, "valid", 1), allowMissingColumns=True)
     cols = [c for c in both.columns if c not in (key, "split")]
     nulled = both.select(key, "split", *[F.when(F.col(f"`{c}`").isin(list(NA_VALUES)), F.lit(None))
@@ -131,7 +139,7 @@ def check_source(spark: SparkSession, path: str, column: str | None = None) -> t
     """SRC-5: a missing or unreadable file is reported, not raised: reads the
     header and one row (``FAILFAST``), then checks ``column`` if given."""
     try:
-        df = _raw(spark, path)
+        df = _plain(spark, path)
         df.limit(1).collect()
     except Exception as e:  # noqa: BLE001 - the point is to report any failure
         msg = str(e).split("\n")[0]
