@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_blanks
@@ -141,10 +141,10 @@ def linear_leave_one_out(cells: DataFrame, bias: Sequence[float | Column] = (0.0
     ``softmax_logit`` the logits of the class probabilities of a multinomial model.
     """
     k = len(bias)
-    sums = cells.groupBy(key).agg(F.count(F.when(F.col("raw") != 0, 1)).alias("__n"),
-                                  F.sum(F.col("raw") * F.col("raw")).alias("__n2"),
-                                  F.array(*[F.sum(F.col("raw") * F.col("w")[i]) for i in range(k)]).alias("__s"))
-    j = cells.join(sums, key)
+    # A document's distinct terms meet in one task; cells that are dealt by document already are not dealt again.
+    doc = Window.partitionBy(key)
+    j = cells.withColumns({"__n": F.count(F.when(F.col("raw") != 0, 1)).over(doc), "__n2": F.sum(F.col("raw") * F.col("raw")).over(doc),
+                           "__s": F.array(*[F.sum(F.col("raw") * F.col("w")[i]).over(doc) for i in range(k)])})
     left = F.col("__n2") - F.col("raw") * F.col("raw")
     b = [x if isinstance(x, Column) else F.lit(float(x)) for x in bias]
     full = [F.when(F.col("__n2") > 0, F.col("__s")[i] / F.sqrt("__n2")).otherwise(F.lit(0.0)) + b[i] for i in range(k)]

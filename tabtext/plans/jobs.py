@@ -383,15 +383,20 @@ def scorer_partition_attributions(df: DataFrame, num: int | None = None, evaluat
     return partition_attributions(rows, model_scorer(tfidf, model), key, evaluations=evaluations)
 
 
-def _raw_cells(df: DataFrame, rows: DataFrame, vocab_size: int, key: str, text: str) -> DataFrame:
-    """``(key, term, term_id, raw)`` of every term of ``rows``: tf x idf over the vocabulary fitted on ``df``;
-    a term outside it has no ``term_id`` and raw 0."""
+def _raw_cells(df: DataFrame, rows: DataFrame, vocab_size: int, key: str, text: str, weights: DataFrame, on: str, k: int) -> DataFrame:
+    """``(key, term, raw, w)`` of every term of ``rows``: tf x idf over the vocabulary fitted on ``df`` and the term's ``k``
+    coefficients (``weights``: ``on, w``); a term outside the vocabulary has raw 0 and coefficients 0.
+
+    The vocabulary meets its coefficients first and is broadcast (at most ``vocab_size`` rows), so no token,
+    however frequent, is a join key of the documents' terms, and these stay dealt by document."""
+    from ..operators.common import bounded_broadcast
     terms = FE.doc_terms(df, key, text)
     n = scalars(df.agg(F.count(F.lit(1)).alias("n")))["n"]
     idf = FE.vocabulary(terms, vocab_size, key).select("term", "term_id", FE.idf_expr(n, F.col("df")).alias("idf"))
+    known = idf.join(weights, on).select("term", "idf", "w")
     own = FE.doc_terms(rows, key, text, by_key=True)
-    return own.join(idf, "term", "left").select(
-        key, "term", "term_id", F.coalesce(F.col("tf") * F.col("idf"), F.lit(0.0)).alias("raw"))
+    return own.join(bounded_broadcast(known, vocab_size), "term", "left").select(
+        key, "term", F.coalesce(F.col("tf") * F.col("idf"), F.lit(0.0)).alias("raw"), F.coalesce("w", F.array(*[F.lit(0.0)] * k)).alias("w"))
 
 
 def text_linear_leave_one_out(df: DataFrame, vocab_size: int = 10_000, key: str = "key", text: str = "sentence",
@@ -403,8 +408,7 @@ def text_linear_leave_one_out(df: DataFrame, vocab_size: int = 10_000, key: str
     terms = FE.doc_terms(df, key, text, carry=("split", label))
     n = lambda c: F.sum(F.when((F.col("split") == "train") & (F.col(label) == c), F.col("tf")).otherwise(0))
     w = terms.groupBy("term").agg(F.array(F.log((n(1) + F.lit(1.0)) / (n(0) + F.lit(1.0)))).alias("w"))
-    cells = _raw_cells(df, va, vocab_size, key, text)
-    return linear_leave_one_out(cells.join(w, "term"), (0.0,), key)
+    return linear_leave_one_out(_raw_cells(df, va, vocab_size, key, text, w, "term", 1), (0.0,), key)
 
 
 def text_model_leave_one_out(df: DataFrame, classifier: bool = True, profile: str = "reference", vocab_size: int = 10_000,
@@ -424,9 +428,7 @@ def text_model_leave_one_out(df: DataFrame, classifier: bool = True, profile: st
     w = df.sparkSession.createDataFrame([(i, [float(x) for x in coef[:, i]]) for i in range(len(vocab))],
                                         "term_id int, w array<double>")
     _, va = FE.resplit(df)
-    zeros = F.array(*[F.lit(0.0)] * len(bias))
-    cells = _raw_cells(df, va, vocab_size, key, text).join(F.broadcast(w), "term_id", "left").withColumn(
-        "w", F.coalesce("w", zeros))
+    cells = _raw_cells(df, va, vocab_size, key, text, w, "term_id", len(bias))
     return linear_leave_one_out(cells, bias, key, link="softmax_logit" if classifier else "identity")
 
 
