@@ -854,8 +854,8 @@ def mod_18(spark, sf):
 
 # ------------------------------------------------------------------ histogram boosters
 # A round takes several passes over the rows, and one pass about a second here whatever the table's size
-# (README: "Model fits"): the registered queries run three rounds over all rows and all 10,000 terms.
-ROUNDS = 3
+# (README: "Model fits"): the registered queries run two rounds over all rows and all 10,000 terms.
+ROUNDS = 2
 
 
 @query("mod_2_boost_leaf_num_class")
