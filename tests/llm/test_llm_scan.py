@@ -71,5 +71,37 @@ def test_cascade_gives_the_same_verdict_in_any_order():
         assert survivors(Run(data, offs), rules).tolist() == want
 
 
+def test_part_of_a_run_equals_a_run_of_its_documents():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "é ", "B|", " ", "\n", "ab ", "!"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    (_, data, offs), = runs(texts)
+    for keep in ([], [0], [3, 4, 9, 39], list(range(40))):
+        part = Run(data, offs).rows(np.arange(40)).rows(np.array(keep, np.int64))
+        got = runs([texts[i] for i in keep])
+        want = Run(*got[0][1:]) if got else Run(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        for name in ("data", "offs", "wb", "starts", "ends", "hashes", "n_words", "word_chars", "n_lines", "n_symbols", "n_dup_lines",
+                     "n_repeat_words"):
+            assert getattr(part, name).tolist() == getattr(want, name).tolist(), (name, keep)
+
+
+def test_cascade_scans_less_than_all_rules(monkeypatch):
+    texts = ["word " * 30 + str(i) if i % 4 else " ".join(f"{i}w{k}" for k in range(40)) for i in range(200)]
+    (_, data, offs), = runs(texts)
+    scanned = []
+    plain = ts.count_bytes
+    monkeypatch.setattr(ts, "count_bytes", lambda d, *a: scanned.append(len(d)) or plain(d, *a))
+    work = {}
+    for name in ("all", "cascade"):
+        run = Run(data, offs)
+        run.base()
+        scanned.clear()
+        if name == "all":
+            kept = np.flatnonzero(~np.any([r.rejects(run) for r in RULES], axis=0))
+        else:
+            assert survivors(run, RULES).tolist() == kept.tolist() and len(kept) == 50
+        work[name] = sum(scanned)
+    assert work["cascade"] * 2 < work["all"], work
+
+
 def test_cascade_order_is_rejection_per_cost():
     assert cascade_order([("a", 1.0, 0.1), ("b", 0.1, 0.1), ("c", 1.0, 0.5), ("d", 1.0, 0.0)]) == ["b", "c", "a", "d"]
