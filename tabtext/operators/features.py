@@ -65,14 +65,19 @@ def label_mapping(df: DataFrame, col: str, fit_on: DataFrame | None = None) -> D
     classes there are; only the list of ranges goes through one ordered window.
     """
     src = (fit_on if fit_on is not None else df).select(F.col(col).alias("value"))
-    values = src.filter(F.col("value").isNotNull()).distinct().repartitionByRange("value")
-    ranged = written_table(values.withColumn("__range", F.spark_partition_id()), "label-values")
+    return _coded(src.filter(F.col("value").isNotNull()).distinct())
+
+
+def _coded(values: DataFrame) -> DataFrame:
+    """Distinct ``value`` rows with ``code``, their rank from 0; further columns stay."""
+    extra = [c for c in values.columns if c != "value"]
+    ranged = written_table(values.repartitionByRange("value").withColumn("__range", F.spark_partition_id()), "label-values")
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     rank = F.row_number().over(Window.partitionBy("__range").orderBy("value"))
     return written_table(ranged.withColumn("__rank", rank).join(offsets, "__range").select(
-        "value", (F.col("__base") + F.col("__rank") - 1).cast("int").alias("code")), "label-codes")
+        "value", (F.col("__base") + F.col("__rank") - 1).cast("int").alias("code"), *extra), "label-codes")
 
 
 def encode_labels(df: DataFrame, col: str, mapping: DataFrame, out: str = "code",
@@ -171,6 +176,56 @@ def dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
     return df.select(*others, *new)
 
 
+def level_codes(df: DataFrame, col: str) -> DataFrame:
+    """``(value, code, n)``: the non-null levels of a column in natural order and their rows."""
+    return _coded(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def sparse_dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = True, numeric: Sequence[str] = (),
+                   out: str = "features", active: str = "active",
+                   broadcast_levels: int = MAX_LEVELS) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """FEA-4 for any number of levels: one sparse vector column instead of a column per level.
+
+    Returns the rows without ``cols``, with ``active`` (positions of the row's ones, ascending) and ``out`` (the
+    ``numeric`` columns, then the dummies in the order of ``dummies``), and the layout: first position and width per
+    column.  The levels stay in written tables; only their numbers reach the driver.  A column of at most
+    ``broadcast_levels`` levels meets its codes by a broadcast, a wider one by ``hot_key_join``, where a level that holds a
+    third of the rows does not meet in one task.  Null is no level and has no position; so is the first level if
+    ``drop_first``.  ``numeric`` must not be null."""
+    from pyspark.ml.feature import OneHotEncoder
+    from .joins import hot_key_join
+    others = [c for c in df.columns if c not in cols]
+    skip, at, layout, wide = int(drop_first), len(numeric), {}, []
+    coded = df
+    for j, c in enumerate(cols):
+        codes = level_codes(df, c)
+        levels = codes.count()
+        width = max(0, levels - skip)
+        layout[c] = (at, width)
+        if width:
+            wide.append((f"__d{j}", at, width))
+            codes = codes.select(F.col("value").alias(c), (F.col("code") - skip).alias(f"__d{j}"), "n")
+            if levels <= broadcast_levels:
+                coded = coded.join(bounded_broadcast(codes.drop("n"), levels), c, "left")
+            else:
+                coded = hot_key_join(coded, codes, c, "n", how="left")
+        at += width
+    place = [F.when(F.col(d) >= 0, F.col(d) + start) for d, start, _ in wide]
+    rows = coded.select(*others, *[F.when(F.col(d) >= 0, F.col(d)).otherwise(F.lit(w)).cast("double").alias(d) for d, _, w in wide],
+                        F.array_compact(F.array(*place)).cast("array<int>").alias(active))
+    if wide:
+        # A position beyond the width is invalid, which "keep" encodes as no position at all.
+        widest = df.sparkSession.createDataFrame([tuple(float(w - 1) for _, _, w in wide)], ", ".join(f"{d} double" for d, _, _ in wide))
+        enc = OneHotEncoder(inputCols=[d for d, _, _ in wide], outputCols=[f"{d}v" for d, _, _ in wide], handleInvalid="keep").fit(widest)
+        rows = enc.transform(rows)
+    parts = [*numeric, *[f"{d}v" for d, _, _ in wide]]
+    if not parts:
+        raise ValueError("no level and no numeric column")
+    rows = VectorAssembler(inputCols=parts, outputCol="__x", handleInvalid="error").transform(rows)
+    # Without the attributes' names: a list of all levels has no place in a schema.
+    return rows.select(*[c for c in others if c != out], active, F.col("__x").alias(out, metadata={})), layout
+
+
 # ---------------------------------------------------------------- scaling
 
 def minmax_fit(df: DataFrame, col: str) -> DataFrame:

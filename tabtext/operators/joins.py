@@ -53,9 +53,9 @@ def hot_key_join(big: DataFrame, small: DataFrame, on: str, freq: str, hot_n: in
     * Every other key holds at most ``1 / hot_n`` of ``big`` (each is rarer than
       all hot keys) and goes through an ordinary shuffle join, which AQE may
       still turn into a broadcast after measuring ``small``.
-    * Rows already matched by the broadcast enter the shuffle join with a NULL
-      key, which matches nothing, and a hash spread column, so they are spread
-      over ``spread`` buckets instead of collecting on the NULL key's partition.
+    * Rows already matched by the broadcast, and rows whose own key is NULL, enter the
+      shuffle join with a NULL key, which matches nothing, and a hash spread column, so
+      they are spread over ``spread`` buckets instead of collecting on the NULL key's partition.
 
     One pass over ``big``; output = ``big``'s columns + ``small``'s value columns."""
     if how not in ("inner", "left"):
@@ -74,9 +74,9 @@ def hot_key_join(big: DataFrame, small: DataFrame, on: str, freq: str, hot_n: in
     atomic = [f.name for f in big.schema.fields
               if not isinstance(f.dataType, (ArrayType, MapType, StructType, UserDefinedType))] or big.columns
     b = b.select("*", F.struct(F.when(~is_hot, F.col(on)).alias("k"),
-                               F.when(is_hot, F.xxhash64(*atomic).bitwiseAND(F.lit(spread - 1)))
+                               F.when(is_hot | F.col(on).isNull(), F.xxhash64(*atomic).bitwiseAND(F.lit(spread - 1)))
                                .otherwise(F.lit(0)).cast("int").alias("s")).alias("__k"))
-    cold = small.select(F.struct(F.col(on).alias("k"), F.lit(0).alias("s")).alias("__k"),
+    cold = small.filter(F.col(on).isNotNull()).select(F.struct(F.col(on).alias("k"), F.lit(0).alias("s")).alias("__k"),
                         *[F.col(c).alias(f"__c_{c}") for c in vals], F.lit(True).alias("__cold"))
     j = b.join(cold, "__k", "left")
     if how == "inner":

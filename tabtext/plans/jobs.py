@@ -261,14 +261,32 @@ def best_round(df: DataFrame, features: str | Sequence[str], target: str, growth
 
 
 def run_dummy_classifier(df: DataFrame, categorical: Sequence[str], target: str = "target",
-                         profile: str = "reference", key: str = "key") -> DataFrame:
+                         profile: str = "reference", key: str = "key", sparse: bool = False) -> DataFrame:
     """MOD-7 (+ SET-1, FEA-4, PRJ-6/1, EVA-7): dummies over both splits, forest on
-    train, sign-collapsed metrics on validation."""
+    train, sign-collapsed metrics on validation.  ``sparse``: one sparse vector, for any number of levels."""
+    if sparse:
+        return E.collapsed_summary(run_sparse_dummies(df, categorical, target, profile, key))
     d = FE.dummies(df, categorical)
     pred = run_numeric_classifier(d, target, "rf", profile, key=key)
     return E.collapsed_summary(pred)
 
 
+def run_sparse_dummies(df: DataFrame, categorical: Sequence[str], target: str = "target", profile: str = "reference",
+                       key: str = "key") -> DataFrame:
+    """MOD-7 over sparse dummies: predictions ``(key, label, predicted_label)``.  The other features are
+    imputed with train means, as ``run_numeric_classifier`` does."""
+    plain = [c for c in _features(df, target, key) if c not in categorical]
+    means = scalars(FE.column_means(df.filter("split = 'train'"), plain)) if plain else None
+    df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), means[c]) for c in plain})
+    rows, _ = FE.sparse_dummies(df.select(key, "split", target, *plain, *categorical), categorical, numeric=plain)
+    tr, va = FE.resplit(rows)
+    tr_e, mapping = M.encode_target(tr, target)
+    va_e = FE.encode_labels(va, target, mapping, out="code", unseen="error")
+    model = _fit(M.classifier("rf", mapping.count(), profile), tr_e)
+    scored = M.predict_codes(model, va_e)
+    return M.decode_target(scored, mapping).select(key, F.col(target).alias("label"), "predicted_label")
+
+
 def score_with_saved_model(df: DataFrame, target: str = "target", algo: str = "rf",
                            profile: str = "reference", path: str | None = None) -> DataFrame:
     """SNK-3 + MOD-18: fit, save the fitted pipeline under the shared checkpoint

@@ -344,6 +344,16 @@ SQL["fea_4_dummies"] = W("SELECT key, split, target, " + ", ".join(
     + [f"""CAST(COALESCE(o_month = {m}, false) AS INTEGER) AS "o_month_{m}" """ for m in range(2, 13)])
     + " FROM fx_cat", "fx_cat")
 
+SQL["fea_4_sparse_dummies"] = """
+    WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 2 AS i FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+    l AS (SELECT lang, row_number() OVER (ORDER BY lang) - 2 AS i FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+    n AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 2 AS i FROM (SELECT DISTINCT n_chars FROM documents WHERE n_chars IS NOT NULL)),
+    w AS (SELECT (SELECT greatest(count(*) - 1, 0) FROM s) AS ws, (SELECT greatest(count(*) - 1, 0) FROM l) AS wl,
+                 (SELECT greatest(count(*) - 1, 0) FROM n) AS wn)
+    SELECT d.doc_id AS key, CAST(list_filter([CASE WHEN s.i >= 0 THEN s.i END, CASE WHEN l.i >= 0 THEN l.i + ws END,
+             CASE WHEN n.i >= 0 THEN n.i + ws + wl END], lambda x: x IS NOT NULL) AS INTEGER[]) AS active, ws + wl + wn AS n_features
+    FROM documents d LEFT JOIN s USING (source) LEFT JOIN l USING (lang) LEFT JOIN n USING (n_chars), w"""
+
 SQL["fea_5_label_encoder"] = W("SELECT key, p_type, target FROM fx_num_class", "fx_num_class")
 
 SQL["fea_6_decode"] = W("""

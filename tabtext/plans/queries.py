@@ -400,6 +400,13 @@ def fea_4(spark, sf):
     return FE.dummies(X.fx_cat(spark, sf), ["o_orderstatus", "o_orderpriority", "o_month"])
 
 
+@query("fea_4_sparse_dummies")
+def fea_4_sparse(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "source", "lang", "n_chars")
+    rows, layout = FE.sparse_dummies(d, ["source", "lang", "n_chars"])
+    return rows.select("key", "active", F.lit(sum(w for _, w in layout.values())).cast("long").alias("n_features"))
+
+
 @query("fea_5_label_encoder")
 def fea_5(spark, sf):
     return X.fx_num_class(spark, sf).select("key", "p_type", "target")
@@ -792,6 +799,11 @@ def mod_7(spark, sf):
     return _jobs().run_dummy_classifier(X.fx_cat(spark, sf), ["o_orderstatus", "o_orderpriority", "o_month"])
 
 
+@query("mod_7_rf_sparse_dummies")
+def mod_7_sparse(spark, sf):
+    return _jobs().run_dummy_classifier(X.fx_cat(spark, sf), ["o_orderstatus", "o_orderpriority", "o_month"], sparse=True)
+
+
 @query("mod_8_rf_num_reg")
 def mod_8(spark, sf):
     return _jobs().run_numeric_regressor(X.fx_num_reg(spark, sf), algo="rf")
