@@ -98,6 +98,23 @@ def mod_7_facts(spark, sf):
     return _scored_class(J.run_numeric_classifier(df, **FAST), df.filter("split = 'train'"), "target")
 
 
+@fact("mod_15_first_gradient", W("""SELECT label, (SELECT count(*) FROM fx_text_class WHERE split = 'train') AS n,
+    round((SELECT count(*) FROM fx_text_class WHERE split = 'train') / count(DISTINCT label) OVER () - n_label, 4) AS bias_gradient,
+    round(ln(count(DISTINCT label) OVER ()), 6) AS loss
+    FROM (SELECT label, count(*) AS n_label FROM fx_text_class WHERE split = 'train' GROUP BY label)""", "fx_text_class"))
+def mod_15_first_gradient(spark, sf):
+    """At zero weights every class is equally likely: a class's bias gradient is the rows' share less its own rows."""
+    from ..operators import epochs as EP
+    t = EP.Training()
+    tr = _text_class(spark, sf).filter("split = 'train'")
+    m = FE.label_mapping(tr, "label")
+    rows = FE.encode_labels(tr.withColumn("ids", EP.gram_ids(F.col("sentence"), t.buckets)), "label", m, out="y")
+    grads, loss, n = EP.gradient_pass(rows, EP.new_head(m.count(), t), True)
+    got = spark.createDataFrame([(k, n, round(float(g), 4), round(loss / n, 6)) for k, g in enumerate(grads[2])],
+                                "code int, n long, bias_gradient double, loss double")
+    return m.join(got, "code").select(F.col("value").alias("label"), "n", "bias_gradient", "loss")
+
+
 @fact("mod_14_facts", W("""SELECT m.model, count(*) AS n FROM fx_text_reg, (SELECT unnest(['rf', 'gbt_depth', 'gbt_leaf']) AS model) m
     WHERE split = 'valid' GROUP BY m.model""", "fx_text_reg"))
 def mod_14_facts(spark, sf):

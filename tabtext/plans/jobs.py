@@ -181,6 +181,42 @@ def run_text_regressor(df: DataFrame, algo: str = "rf", profile: str = "referenc
     return (out, model, tfidf, vocab) if return_model else out
 
 
+def train_text_head(df: DataFrame, classifier: bool = True, training=None, key: str = "key", text: str = "sentence",
+                    label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """MOD-15/16 by epochs: predictions ``(key, label, predicted_label, text)`` of the validation rows by the best epoch, and
+    ``(epoch, loss, metric, best)``; the metric is macro F1, or 1 / MSE on the min-max scaled label."""
+    from ..operators import epochs as EP
+    from ..session import written_table
+    t = training or EP.Training()
+    rows = df.select(key, "split", label, text, EP.gram_ids(F.col(text), t.buckets).alias("ids"))
+    tr, va = FE.resplit(rows)
+    if classifier:
+        mapping = FE.label_mapping(tr, label)
+        tr, va = (FE.encode_labels(x, label, mapping, out="y", unseen=u) for x, u in ((tr, "error"), (va, "keep")))
+        outputs = mapping.count()
+    else:
+        stats, outputs = FE.minmax_fit(tr, label), 1
+        tr, va = (FE.minmax_transform(x.withColumn(label, F.col(label).cast("double")), label, stats, out="y") for x in (tr, va))
+    va = written_table(va, "epochs-valid")
+
+    def metric(head) -> float:
+        out = EP.score(va.filter("y is not null"), head, ["y"], classifier)
+        if classifier:
+            return E.summary(out, "y", "output").first()["macro_f1"]
+        return 1 / max(out.agg(F.avg((F.col("output") - F.col("y")) ** 2)).first()[0], 1e-300)
+
+    head, log = EP.train(tr, key, outputs, classifier, metric, t)
+    out = EP.score(va, head, [key, label, text], classifier)
+    if classifier:
+        out = M.decode_target(out.withColumn("output", F.col("output").cast("int")), mapping, "output").select(
+            key, F.col(label).alias("label"), "predicted_label", text)
+    else:
+        out = FE.minmax_inverse(out, ["output"], stats).select(key, F.col(label).alias("label"), F.col("output").alias("predicted_label"), text)
+    epochs = df.sparkSession.createDataFrame([(x.epoch, float(x.loss), float(x.metric), x.best) for x in log],
+                                             "epoch int, loss double, metric double, best boolean")  # one row an epoch
+    return out, epochs
+
+
 def compare_text_regressors(df: DataFrame, algos: Sequence[str] = ("rf", "gbt_depth", "gbt_leaf"),
                             profile: str = "reference", vocab_size: int = 10_000, key: str = "key",
                             text: str = "sentence", label: str = "label") -> DataFrame:

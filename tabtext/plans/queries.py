@@ -799,6 +799,16 @@ def mod_7(spark, sf):
     return _jobs().run_dummy_classifier(X.fx_cat(spark, sf), ["o_orderstatus", "o_orderpriority", "o_month"])
 
 
+@query("mod_15_epochs_text_class")
+def mod_15_epochs(spark, sf):
+    return _jobs().train_text_head(_text_class(spark, sf))[0]
+
+
+@query("mod_16_epochs_text_reg")
+def mod_16_epochs(spark, sf):
+    return _jobs().train_text_head(_text_reg(spark, sf), classifier=False)[1]
+
+
 @query("mod_7_rf_sparse_dummies")
 def mod_7_sparse(spark, sf):
     return _jobs().run_dummy_classifier(X.fx_cat(spark, sf), ["o_orderstatus", "o_orderpriority", "o_month"], sparse=True)
