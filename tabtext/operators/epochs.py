@@ -131,12 +131,12 @@ def gradients(head: Head, ids: np.ndarray, offs: np.ndarray, y: np.ndarray, clas
 def gradient_pass(rows: DataFrame, head: Head, classes: bool) -> tuple[list[np.ndarray], float, int]:
     """Sums of the gradients and of the loss over ``rows`` (ids, y), and their number."""
     spark = rows.sparkSession
-    held = spark.sparkContext.broadcast(head)
+    held = spark.sparkContext.broadcast(head.parts())  # plain arrays: executors need no copy of this package
     dim, outputs = head.embed.shape[1], len(head.bias)
     names = ["i", *(f"c{j}" for j in range(dim + 1))]
 
     def task(batches):
-        h, total, loss, n = held.value, None, 0.0, 0
+        h, total, loss, n = Head(*held.value), None, 0.0, 0
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             for low, ids, offs in chunks(batch.column(0)):
@@ -173,14 +173,15 @@ def gradient_pass(rows: DataFrame, head: Head, classes: bool) -> tuple[list[np.n
 
 def score(rows: DataFrame, head: Head, carry: list[str], classes: bool) -> DataFrame:
     """``carry`` columns and ``output``: the class of the highest score (the first of equal ones) or the value."""
-    held = rows.sparkSession.sparkContext.broadcast(head)
+    held = rows.sparkSession.sparkContext.broadcast(head.parts())
     kept = rows.select("ids", *carry)
     schema = kept.drop("ids").withColumn("output", F.lit(0.0)).schema
 
     def task(batches):
+        h = Head(*held.value)
         for batch in batches:
             for low, ids, offs in chunks(batch.column(0)):
-                s = forward(held.value, ids, offs)[1]
+                s = forward(h, ids, offs)[1]
                 out = s.argmax(1).astype(np.float64) if classes else s[:, 0]
                 some = batch.slice(low, len(offs) - 1)
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(out)], names=[*carry, "output"])

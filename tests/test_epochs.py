@@ -94,3 +94,8 @@ def test_losses_fall_and_the_best_epoch_stays(spark, classifier):
     from tabtext.operators import evaluate as E
     if classifier:
         assert E.summary(pred).first()["macro_f1"] == pytest.approx(best[0]["metric"])
+
+
+def test_broadcast_needs_no_copy_of_the_package():
+    import pickle
+    assert b"tabtext" not in pickle.dumps(EP.new_head(2, SMALL).parts())
