@@ -100,3 +100,28 @@ def test_background_rows_and_bound(spark, monkeypatch):
     monkeypatch.setattr(B, "MAX_MASKS", 5)
     with pytest.raises(ValueError, match="too deep"):
         J.numeric_background_attributions(df, profile="fast")
+
+
+def test_rows_of_one_cell_are_walked_once(spark):
+    """Cells stand for their rows at every leaf, and rows of a cell, also with a null key, each get its values."""
+    rng = np.random.default_rng(3)
+    trees = [_random_tree(rng, 4, 3, 2) for _ in range(3)]
+    trees.append(dict(left=np.array([1, -1, -1]), right=np.array([2, -1, -1]), feature=np.array([3, -1, -1]), threshold=np.zeros(3),
+                      value=np.array([[0.0, 0.0], [1.0, 2.0], [4.0, 3.0]]), cats={0: np.array([2.0])}))
+    x = np.c_[rng.normal(size=(300, 3)), rng.integers(0, 4, 300)]
+    x[::7, 1] = np.nan
+    cuts = B.thresholds(trees, 4)
+    assert cuts[3] is None and all(len(c) for c in cuts[:3] if len(c))
+    own = B.cells(x, cuts)
+    for t in trees:
+        for (a, s, m), (b, r, n) in zip(B.leaf_masks(x, t), B.leaf_masks(own, B.over_cells(t, cuts))):
+            assert a == b and s == r and (m == n).all()
+    values = [-1.0, 0.25, 2.0]
+    stump = dict(left=np.array([1, -1, -1]), right=np.array([2, -1, -1]), feature=np.array([0, -1, -1]), threshold=np.array([0.5, 0, 0]),
+                 value=np.array([[0.0], [1.0], [5.0]]))
+    df = spark.createDataFrame([(None if i % 5 == 0 else i, [values[i % 3] + i * 1e-6]) for i in range(60)], "key long, features array<double>")
+    out, base = B.background_attributions([(0, {"trees": [stump], "weights": [1.0]})], df, df, ["a"])
+    got = out.collect()
+    assert len(got) == 60 and sum(r["sample"] is None for r in got) == 12
+    assert np.allclose(base[0], 7 / 3)
+    assert all(abs(r["shap_value"] - ((5.0 if r["sample"] % 3 == 2 else 1.0) - 7 / 3)) < 1e-9 for r in got if r["sample"] is not None)
