@@ -1,6 +1,7 @@
 """Histogram boosting: the same trees as a plain best-first build, probabilities, nulls, sparse vectors, stages."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -179,3 +180,51 @@ def test_booster_is_explained_against_background(spark):
     total = {r["sample"]: r["s"] for r in attr.groupBy("sample").agg(F.sum("shap_value").alias("s")).collect()}
     got = {r["key"]: r["f"][0] for r in m.scores(df).collect()}
     assert all(abs(got[i] - m.start[0] - base[0][0] - total.get(i, 0.0)) < 1e-9 for i in got)
+
+
+def test_batches_are_summed_before_cells_are_handed_over(spark):
+    """A task of 400 rows in 40 batches hands over each cell once, and the sums are those of all rows."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        x, y = data(400, 9)
+        s = B.leaf("squared", max_bins=8)
+        table, _, _ = B.training_table(frame(spark, x, y), ["a", "b", "c"], "y", "key", s, 1)
+        rows = table.coalesce(1)
+        seen = spark.sparkContext.accumulator(0)
+        batches = rows.select("codes").mapInArrow(lambda it: (b for b in it if seen.add(1) is None), "codes array<int>").count()
+        assert batches == 400 and seen.value >= 40
+        hist = B.histograms(rows, s, [], [B.Tree()], [{0: None}])
+        cells = {r["code"]: r for r in hist.collect()}
+        assert cells[B.TOTAL]["n"] == 400 and len(cells) == 1 + table.selectExpr("explode(codes) c").distinct().count()
+        whole = pa.concat_arrays([b.column("codes") for b in table.select("codes").toArrow().to_batches()])
+        parts = [pa.RecordBatch.from_arrays([whole[i:i + 10]], names=["codes"]) for i in range(0, 400, 10)]
+        assert [b.num_rows for b in B.joined(iter(parts), "codes", 1 << 22)] == [400]
+        assert sum(b.num_rows for b in B.joined(iter(parts), "codes", 50)) == 400 and len(list(B.joined(iter(parts), "codes", 50))) > 10
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_vector_entries_without_filling_up(spark):
+    v = [Vectors.sparse(2_000_000, {3: 1.0, 7: 0.0, 1_999_999: -2.0}), Vectors.dense([0.0, 5.0, float("nan")]), Vectors.sparse(4, {}), None]
+    df = spark.createDataFrame(list(enumerate(v)), ["key", "features"])
+    got = {r["key"]: [tuple(p) for p in r["has"]] if r["has"] is not None else None for r in B.sparse_rows(df, "features", "key", None).collect()}
+    assert got[0] == [(3, 1.0), (1_999_999, -2.0)] and got[1] == [(1, 5.0)] and got[2] == []
+
+
+def test_a_tree_takes_about_a_pass_a_level(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 3))
+    y = np.sin(3 * x[:, 0]) + x[:, 1] ** 2 + x[:, 2] * x[:, 0]
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "key long, a double, b double, c double, y double")
+    passes, real = [], B.histograms
+    monkeypatch.setattr(B, "histograms", lambda *a: passes.append(1) or real(*a))
+    B.fit(df, ["a", "b", "c"], "y", B.depth("squared", rounds=1, max_depth=4))
+    assert len(passes) == 5
+    del passes[:]
+    t = B.fit(df, ["a", "b", "c"], "y", B.leaf("squared", rounds=1, num_leaves=15)).rounds[0][0]
+    level = {0: 0}
+    for j in range(len(t.left)):
+        if t.left[j] >= 0:
+            level[t.left[j]] = level[t.right[j]] = level[j] + 1
+    assert sum(v < 0 for v in t.left) == 15 and len(passes) <= max(level.values()) + 2
