@@ -102,3 +102,13 @@ def test_fitted_model_as_scorer(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "key long, sentence string")
     assert partition_attributions(df, scorer(spark)).count() == 0
+
+
+def test_levels_hold_spans_not_texts(spark, monkeypatch):
+    """A document's tokens are written once, not with every span in every context."""
+    from tabtext.operators import owen
+    written, real = {}, owen.written_table
+    monkeypatch.setattr(owen, "written_table", lambda df, name: written.setdefault(name, []).append(df.columns) or real(df, name))
+    df = spark.createDataFrame([(1, " ".join(DOCS)), (2, "good film")], "key long, sentence string")
+    assert partition_attributions(df, scorer(spark), evaluations=12).count() == 2 * (sum(len(t.split()) for t in DOCS) + 2)
+    assert [n for n, every in written.items() if any("tokens" in c for c in every)] == ["owen-documents"]
