@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 INT_RE = r"^\s*[+-]?[0-9]+\s*$"
+#: How every text begins that casts to a double (others may, too): the cast of a text that is no number throws and catches.
+NUMBER_RE = r"^[\x00-\x20]*[0-9+\-.iInN]"
 BOOL_VALUES = ("True", "False", "true", "false", "TRUE", "FALSE")
 
 
@@ -43,7 +45,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         col = F.col(f"`{c}`")
         checks += [F.count(col).alias(f"{c}__n"),
                    F.count(F.when(col.rlike(INT_RE), 1)).alias(f"{c}__i"),
-                   F.count(col.try_cast("double")).alias(f"{c}__d"),
+                   F.count(F.when(col.rlike(NUMBER_RE), col.try_cast("double"))).alias(f"{c}__d"),
                    F.count(F.when(col.isin(list(BOOL_VALUES)), 1)).alias(f"{c}__b"),
                    (F.count(F.lit(1)) - F.count(col)).alias(f"{c}__null")]
     r = df.agg(*checks).first()
@@ -65,14 +67,17 @@ def infer_types(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
              na_values=NA_VALUES, multi_line: bool = True) -> DataFrame:
     """One CSV file (or folder) as a typed DataFrame."""
-    raw = _raw(spark, path, multi_line)
-    nulled = raw.select(*[F.when(F.col(f"`{c}`").isin(list(na_values)), F.lit(None))
-                          .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    nulled = _nulled(_raw(spark, path, multi_line), na_values)
     if schema is not None:
         return nulled.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
     return infer_types(nulled)
 
 
+def _nulled(raw: DataFrame, na_values=NA_VALUES) -> DataFrame:
+    return raw.select(*[F.when(F.col(f"`{c}`").isin(list(na_values)), F.lit(None))
+                        .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
 def read_pair(spark: SparkSession, train: str, valid: str, schema: StructType | None = None,
               key: str = "key") -> DataFrame:
     """SRC-1: train and validation files as one DataFrame tagged by ``split``, with
@@ -130,9 +135,12 @@ def read_attributions(spark: SparkSession, path: str, fmt: str | None = None) ->
     (``.csv``, else parquet), and a damaged file is an error."""
     if (fmt or ("csv" if path.endswith(".csv") else "parquet")) == "parquet":
         return spark.read.parquet(path)
-    df = read_csv(spark, path, multi_line=False)
-    return df.select(F.col("sample").cast("bigint"), F.col("token").cast("string"), F.col("class"),
-                     F.col("shap_value").cast("double"))
+    df = _nulled(_raw(spark, path, multi_line=False))
+    # Only the class has a type of the file's own: the pass that infers it reads no other column.
+    kind = infer_types(df.select("class")).schema["class"].dataType
+    value = F.trim("class") if kind.typeName() in ("long", "double") else F.lower("class") if kind.typeName() == "boolean" else F.col("class")
+    whole = F.coalesce(F.trim("sample").try_cast("bigint"), F.col("sample").cast("double").cast("bigint"))
+    return df.select(whole.alias("sample"), "token", value.cast(kind).alias("class"), F.col("shap_value").cast("double").alias("shap_value"))
 
 
 def check_source(spark: SparkSession, path: str, column: str | None = None) -> tuple[bool, str]:
