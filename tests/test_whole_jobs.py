@@ -12,7 +12,7 @@ class Seen(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["mod_12_boost_leaf_text_reg", "mod_5_boost_leaf_text_class"])
+@pytest.mark.parametrize("name", ["mod_12_boost_leaf_text_reg", "mod_5_boost_leaf_text_class", "top_7_best_round_reg"])
 def test_boosters_run_a_hundred_rounds(spark, monkeypatch, name):
     def fit(df, features, label, settings, *more, **named):
         raise Seen(settings.rounds)
