@@ -58,7 +58,7 @@ def test_rows_without_a_split_and_no_rows(spark):
     assert B.fit(df.limit(0), ["a"], "y", B.leaf("squared", rounds=4)).rounds == []
 
 
-@pytest.mark.parametrize("name", ["xpl_3_partition_additivity"])
+@pytest.mark.parametrize("name", ["xpl_3_partition_additivity", "xpl_3_partition_attributions"])
 def test_documents_are_explained_with_the_usual_number_of_texts(spark, monkeypatch, name):
     """A document of 16 and more tokens costs 172 texts: the next level would pass 500."""
     seen = []
